@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ._common import table
 
 
+def op3_language_id(spark, sf_dir):
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     from .packing import pack
 
@@ -17,7 +25,17 @@ def op9_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_quality_classifier(spark, sf_dir):
+    """The host of a document is its source; the path is its source and language."""
+    from .quality import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.concat_ws("/", "source", "lang").alias("path"))
+    return quality(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
