@@ -33,7 +33,14 @@ def op10_quality_classifier(spark, sf_dir):
     return quality(docs, table(spark, sf_dir, "labels"))
 
 
+def op8_weighted_fingerprints(spark, sf_dir):
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_weighted_fingerprints": op8_weighted_fingerprints,
     "op3_language_id": op3_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op9_toxicity": op9_toxicity,
