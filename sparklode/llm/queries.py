@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 from ._common import table
 
 
+#: Weights that the mixing query aims at.
+MIX_TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
+
+
+def op1_soft_mixing(spark, sf_dir):
+    from .mixing import domains_of, mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mix(docs, domains_of(table(spark, sf_dir, "labels")), MIX_TARGETS).drop("text")
+
+
 def op3_language_id(spark, sf_dir):
     from .language import identify
 
@@ -40,6 +51,7 @@ def op8_weighted_fingerprints(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op8_weighted_fingerprints": op8_weighted_fingerprints,
     "op3_language_id": op3_language_id,
     "op10_quality_classifier": op10_quality_classifier,
