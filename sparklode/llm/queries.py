@@ -50,7 +50,14 @@ def op8_weighted_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op1_soft_mixing": op1_soft_mixing,
     "op8_weighted_fingerprints": op8_weighted_fingerprints,
     "op3_language_id": op3_language_id,
