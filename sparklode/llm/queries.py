@@ -56,7 +56,14 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    from .substring_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op1_soft_mixing": op1_soft_mixing,
     "op8_weighted_fingerprints": op8_weighted_fingerprints,
