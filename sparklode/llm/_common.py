@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stages")
+    df.write.parquet(path := f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}")
+    return spark.read.parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of reduce partitions that the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -166,3 +166,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; rows of fold 0 of 5 are never learned from."""
     model = learn(docs, labels, fold("doc_id", 5) != 0)
     return score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: dict | None, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (text, ...) that score under ``limit``, all columns; rows are judged where they are, nothing is shuffled."""
+    prepare(docs.sparkSession)
+    place = docs.columns.index("text")
+
+    def judged(batches):
+        distance = model and Distance(model["toxic"], model["ordinary"])
+        for batch in batches:
+            if model and batch.num_rows:
+                x = np.array([distance.features(t.as_py()) for t in batch.column(place)])
+                batch = batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ model["weights"], -30, 30))) < limit))
+            yield batch
+
+    return docs.mapInArrow(judged, docs.schema)
