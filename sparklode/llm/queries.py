@@ -70,7 +70,16 @@ def op2_line_dedup(spark, sf_dir):
     return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_chroma_fingerprints(spark, sf_dir):
+    """Vectors of ``embeddings`` played as recordings; queries are those whose id is divisible by 20, against all."""
+    from .media import align, rendered
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return align(rendered(vectors), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
+    "op5_chroma_fingerprints": op5_chroma_fingerprints,
     "op2_line_dedup": op2_line_dedup,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
