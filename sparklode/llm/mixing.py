@@ -45,16 +45,16 @@ def measures(text: Column) -> dict[str, Column]:
     spaces = without(text, SPACES)
     return {
         "tokens": (spaces + 1).cast("double"),
-        "m0": binned(without(text, SYMBOLS) / size),
-        "m1": binned(without(text, CAPITALS) / size),
-        "m2": binned(without(text, DIGITS) / size),
-        "m3": F.least(F.lit(BINS - 1), F.floor(2 * F.log2(size))).cast("int"),
-        "m4": F.least(F.lit(BINS - 1), F.floor(2 * size / (spaces + 1))).cast("int"),
-        "m5": binned((F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("")))) / size),
+        "_m0": binned(without(text, SYMBOLS) / size),
+        "_m1": binned(without(text, CAPITALS) / size),
+        "_m2": binned(without(text, DIGITS) / size),
+        "_m3": F.least(F.lit(BINS - 1), F.floor(2 * F.log2(size))).cast("int"),
+        "_m4": F.least(F.lit(BINS - 1), F.floor(2 * size / (spaces + 1))).cast("int"),
+        "_m5": binned((F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("")))) / size),
     }
 
 
-MEASURES = [f"m{i}" for i in range(6)]
+MEASURES = [f"_m{i}" for i in range(6)]
 
 
 def learn(measured: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[list[str], np.ndarray, np.ndarray]:
