@@ -116,7 +116,7 @@ def _distinct(documents: list[Counter]) -> list[Counter]:
     seen, out = set(), []
     for found in documents:
         long = [w for w in found if len(w) > 7]
-        if sum(w in seen for w in long) <= 0.5 * len(long):
+        if len(long) < 8 or sum(w in seen for w in long) <= 0.5 * len(long):
             out.append(found)
         seen.update(long)
     return out
