@@ -22,65 +22,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import cut, partitions, prepare
-from ._exchange import dealt, pack, packed
+from ._exchange import pack, packed
+from ._rarity import SKETCH, rarity
 from ._words import _ODD, U, mix, word_hashes
 from .substring_dedup import blocks
 
 SHINGLE = 5
 FEW = 8  # lines that share a token and are tried pair by pair
-SKETCH = 1 << 18  # counters
 ROWS = "kind int, token long, doc long, line int, n int, at int, other_doc long, other_line int"
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
 
 
-def line_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number and line number of each line that has tokens; line (its place in these) and hash of each distinct token, by line."""
+def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line (counted over all texts) and hash of every shingle, by line; and the number of each text's first line."""
     data = b"\n".join(texts)
     start, found = word_hashes(data)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    begin = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
+    first = np.searchsorted(ends, begin[:-1])
     size = len(found) - SHINGLE + 1
     if size < 1:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), first
     of = np.searchsorted(ends, start)
     runs = mix(sum((found[i : size + i] * _ODD[i] for i in range(SHINGLE)), U(0)))
     inside = of[:size] == of[SHINGLE - 1 :]
-    of, runs = of[:size][inside], runs[inside]
-    order = np.lexsort((runs, of))
-    of, runs = of[order], runs[order]
-    fresh = np.r_[True, (of[1:] != of[:-1]) | (runs[1:] != runs[:-1])][: len(of)]
-    of, runs = of[fresh], runs[fresh]
+    return of[:size][inside], runs[inside], first
+
+
+def line_tokens(texts: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and line number of each line that has tokens; line (its place in these) and hash of each distinct token, by line.
+
+    Tokens of a line are in the order of their hashes, or with ``counts`` of rarity and then of their hashes.
+    """
+    of, runs, first = shingles(texts)
+    if not len(of):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    key = runs if counts is None else counts[(runs & U(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << U(56) | runs >> U(8)
     lines, place = np.unique(of, return_inverse=True)
-    begin = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
-    first = np.searchsorted(ends, begin[:-1])  # number of each text's first line
+    order = np.argsort(key)
+    order = order[np.argsort(place[order].astype(np.uint16 if len(lines) < 1 << 16 else np.int64), kind="stable")]  # small numbers are sorted by radix
+    place, runs = place[order], runs[order]
+    fresh = np.r_[True, (place[1:] != place[:-1]) | (runs[1:] != runs[:-1])]
     text = np.searchsorted(first, lines, side="right") - 1
-    return text, lines - first[text], place, runs
+    return text, lines - first[text], place[fresh], runs[fresh]
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """Counts of tokens by hash, SKETCH of them whatever the corpus, on a scale of 256 steps."""
-
-    def counted(batches):
-        total = np.zeros(SKETCH, np.int64)
-        for _, texts in blocks(batches):
-            total += np.bincount((line_tokens(texts)[3] & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        for part in range(8):
-            size = SKETCH // 8
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total[part * size : (part + 1) * size].astype(np.uint32).tobytes()], pa.binary())], ["to", "blob"])
-
-    def added(batches):
-        total, part = np.zeros(SKETCH // 8, np.int64), None
-        for batch in batches:
-            for to, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.frombuffer(blob, np.uint32)
-                part = to
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["to", "blob"])
-
-    got = dealt(docs.mapInArrow(counted, "to int, blob binary"), 8).mapInArrow(added, "to int, blob binary").collect()  # 8 rows of a fixed size
-    total = np.zeros(SKETCH, np.int64)
-    for r in got:
-        total[r["to"] * (SKETCH // 8) : (r["to"] + 1) * (SKETCH // 8)] = np.frombuffer(r["blob"], np.int64)
-    return np.minimum(255, 16 * np.log2(np.maximum(total / max(1.0, total.mean()), 1.0))).astype(np.uint8)
+    return rarity(docs, lambda batches: (shingles(texts)[1] for _, texts in blocks(batches)))
 
 
 def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
@@ -94,7 +82,7 @@ def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
     def indexed(batches):
         counts = shared.value
         for ids, texts in blocks(batches):
-            text, number, line, token = line_tokens(texts)
+            text, number, line, token = line_tokens(texts, counts)
             if not len(text):
                 continue
             ids = np.array(ids, np.int64)
@@ -112,11 +100,10 @@ def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
             yield from rows(2, pack(parts, ids[text[lost]].astype(np.uint64), text[lost], own, [number[lost].astype(np.int32), ids[text[head]], number[head].astype(np.int32)]))
             kept = np.flatnonzero(first)
             yield from rows(1, pack(parts, key[kept], text[kept], own, [key[kept], number[kept].astype(np.int32)]))
-            order = np.lexsort((token, counts[(token & U(SKETCH - 1)).astype(np.int64)], line))
             at = np.arange(len(line)) - begin[line]
             prefix = n - (3 * n + 3) // 4 + 1
             chosen = (at < prefix[line]) & first[line]
-            token, line, at = token[order][chosen], line[chosen], at[chosen]
+            token, line, at = token[chosen], line[chosen], at[chosen]
             yield from rows(0, pack(parts, token, text[line], own, [token, at.astype(np.uint16), np.minimum(n[line], 1 << 30).astype(np.int32), number[line].astype(np.int32)]))
 
     return docs.mapInArrow(indexed, "kind int, to int, blob binary").repartitionById(parts, F.col("to"))
@@ -159,9 +146,8 @@ def candidates(indexed: DataFrame) -> DataFrame:
                 y += [runs + j] * j
         many = first[length > FEW], length[length > FEW]
         if len(many[0]):
-            rest = np.concatenate([np.arange(a + 1, a + k) for a, k in zip(*many, strict=True)])
             x.append(np.repeat(many[0], many[1] - 1))
-            y.append(rest)
+            y.append(np.concatenate([np.arange(a + 1, a + k) for a, k in zip(*many, strict=True)]))
             hot = np.concatenate([np.arange(a, a + k) for a, k in zip(*many, strict=True)])
             yield _batch(2, token=token[hot].view(np.int64), doc=doc[hot], line=line[hot], n=n[hot], at=at[hot])
         if x:
@@ -185,7 +171,7 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     salted = pairs.withColumn("salt", F.pmod(F.hash("doc", "line"), F.lit(64)))
     wanted = salted.select("doc", "line", *hub, "salt").unionByName(salted.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"), *hub, "salt").distinct())
     wanted = wanted.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("line", "hub_doc", "hub_line", "salt")).alias("wanted"))
-    texts = docs.join(wanted, "doc_id")
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id")  # texts needn't be sorted
     schema = "hub_doc long, hub_line int, salt int, doc long, line int, own binary"
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
 
@@ -249,7 +235,7 @@ def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``docs`` with the lines (doc, line) removed from its text, and n_lines, n_removed."""
     gone = lines.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list("line")).alias("_gone"))
     all_lines = F.split("text", "\n", -1)
-    rows = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left").withColumn("_lines", all_lines)
+    rows = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").withColumn("_lines", all_lines)
     left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)), "\n"))
     sizes = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
     kept = [c for c in docs.columns if c not in (*sizes, "text")]
