@@ -20,14 +20,17 @@ def limits(min_files: int = MIN_FILES, max_files: int = MAX_FILES) -> tuple[int,
     return low, max_files if max_files >= low else MAX_FILES
 
 
-def compact(store: Store, min_files: int = MIN_FILES, max_files: int = MAX_FILES, now: int | None = None) -> str | None:
-    """Merge the oldest flush files into a segment; its id, or None if there are too few.
+def compact(store: Store, min_files: int = MIN_FILES, max_files: int = MAX_FILES, now: int | None = None, below: int | None = None) -> str | None:
+    """Merge the oldest flush files into a segment; its id, or None if there are too few. With ``below`` only batches of smaller numbers are merged.
 
     Rows are dealt by ranges of time and sorted within, so a segment's files and row groups have narrow bounds. Readers go by the
     catalog, which swaps the sources for the segment at once: rows are never seen twice or not at all.
     """
     low, high = limits(min_files, max_files)
-    found = store.catalog.read().where("kind = 'flush'").orderBy("min_timestamp", "id").limit(high).select("id", "local_path", "row_count").collect()
+    flushed = store.catalog.read().where("kind = 'flush'")
+    if below is not None:
+        flushed = flushed.where(F.substring_index("id", "-", -1).cast("long") < below)
+    found = flushed.orderBy("min_timestamp", "id").limit(high).select("id", "local_path", "row_count").collect()
     if len(found) < low:
         return None
     now = time.time_ns() if now is None else now

@@ -72,12 +72,11 @@ class Store:
         payloads = valid_payloads(payloads)
         beside = f"{self.root}/flush/.partial-{index}-{batch}"
         flatten(payloads).write.mode("overwrite").option("compression", "zstd").parquet(beside)
-        row = describe(self.spark.read.schema(LOG_SCHEMA).parquet(beside).withColumn("id", F.lit(prefix)))
+        bounds = self.spark.read.schema(LOG_SCHEMA).parquet(beside).agg(F.coalesce(F.min("timestamp"), F.lit(0)).alias("lo"), F.coalesce(F.max("timestamp"), F.lit(0)).alias("hi")).first()
         # Keys of accepted streams are kept even if none of their values has a readable timestamp.
         keys = payloads.select(F.explode("streams").alias("s")).select(F.explode(F.map_keys("s.stream")).alias("key")).distinct()
         keys = sorted(r["key"] for r in keys.collect())  # bounded by the variety of keys
-        bounds = row.select("min_timestamp", "max_timestamp").first() or {"min_timestamp": 0, "max_timestamp": 0}
-        name = flush_name(index, bounds["min_timestamp"], bounds["max_timestamp"], batch)
+        name = flush_name(index, bounds["lo"], bounds["hi"], batch)
         path = f"{self.root}/flush/{name}"
         for old in again:
             self.files.delete(f"{self.root}/flush/{old}")

@@ -17,13 +17,14 @@ def payload_stream(store: Store, inbox: str, max_files: int = 1000) -> DataFrame
 def ingest(store: Store, payloads: DataFrame, checkpoint: str, trigger: dict | None = None, compact_after: int | None = None) -> StreamingQuery:
     """Flush each micro-batch under its own number: a batch that is run again replaces its flush file and catalog row.
 
-    Rows of any age are taken at any time; there is no watermark. With ``compact_after`` flush files are compacted once there are so many.
+    Rows of any age are taken at any time; there is no watermark. With ``compact_after`` flush files are compacted once there are so many
+    of batches before this one, which are committed and won't run again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         store.flush(batch, batch=number)
         if compact_after:
-            compact(store, min_files=compact_after)
+            compact(store, min_files=compact_after, below=number)
 
     trigger = trigger or {"processingTime": "1 second"}
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
