@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ._common import table
+from .oracles import NGRAM_JOIN, SUBSTRING_DEDUP
 
 
 #: Weights that the mixing query aims at.
@@ -90,4 +91,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+#: Of the others, models, packings and signatures can't be put in SQL, and pairs of lines are too many for it; tests/llm hold them against brute force.
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": NGRAM_JOIN, "op6_suffix_array_dedup": SUBSTRING_DEDUP}
