@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -24,7 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()  # Spark drops shuffle files once nothing on the driver refers to them
+    return done
 
 
 def stored(df: DataFrame) -> DataFrame:

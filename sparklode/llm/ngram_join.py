@@ -8,8 +8,8 @@ empty ones and ones that more than FEW sets share, and the small bands double se
 can't be allocated enough weight is compared with all of its band; one whose cheap segments are too few is ``heavy``.
 
 Candidates of a segment that few sets share are all pairs; of one that many share, pairs with its smallest id. What heavy
-sets share beyond that is compared once more, but only across the components found so far. Every candidate is verified
-on the sets themselves. Map tasks fold equal sets first; signatures travel packed; sets with many partners are salted.
+sets share beyond that is tried once more across the components found so far, by their rarest shingles: what makes segments
+hot, passages that many documents share, is left out of these prefixes. Every candidate is verified on the sets themselves. Map tasks fold equal sets first; signatures travel packed; sets with many partners are salted.
 
 Defined results: texts without a word have an empty set and no links; a null id is carried with a null component; rows with the
 same id count as linked; equal texts are linked; an empty table gives an empty result; other columns are ignored.
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._common import cut, partitions, prepare
 from ._components import components
-from ._exchange import dealt
+from ._exchange import dealt, pack, packed
+from ._rarity import SKETCH, rarity
 from ._words import U, mix, shingle_sets
 
 SHINGLE = 5
@@ -32,7 +33,7 @@ SLACK = 1.5
 DOUBLED = 5  # the highest band whose segments have one-deletion neighbourhoods
 ROSTERS = 64
 BATCH_BYTES, BATCH_DOCS = 8 << 20, 60_000
-FOUND = "kind int, a long, b long, n int, slack int"
+FOUND = "kind int, a long, b long, n int, slack int, need int"
 
 
 def segments(band: int) -> int:
@@ -48,9 +49,12 @@ def instances(n: int) -> list[tuple[int, int]]:
     return out + [(band + 1, (n + most) // 7)] if most >= 2 << band else out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, the number of the set of each, and the slack of each set: cheap segments beyond H + 1; below 0: not enough."""
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures and the number of the set of each; for each set its slack, the weight of its segments beyond H + 1 (below 0: not
+    enough), and its need: any partner shares at least so many of its segments.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
+    need = np.full(len(sets), 1 << 30, np.int64)
     slack = np.full(len(sets), 1 << 30, np.int64)
     groups: dict[int, list[tuple[int, int]]] = {}
     for i, n in enumerate(sizes.tolist()):
@@ -70,14 +74,15 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         salt = mix((np.uint64(band << 32) + segment.astype(np.uint64)) * U(0x9E3779B97F4A7C15))
         found.append(mix(total + salt))
         owner.append(own[at])
-        weight = np.bincount(at, minlength=len(own))
+        weight, most = np.bincount(at, minlength=len(own)), np.array([h for _, h in members])
+        np.minimum.at(need, own, np.maximum(1, weight - most) if band > DOUBLED else 1)
         if band <= DOUBLED:
             weight = weight + np.bincount(at, size > 1, len(own)).astype(np.int64)
             less = np.repeat(size > 1, size)
             found.append(mix((np.repeat(total, size) - spread + np.repeat(salt, size))[less]))
             owner.append(np.repeat(own[at], size)[less])
-        np.minimum.at(slack, own, weight - np.array([h for _, h in members]) - 1)
-    return (np.concatenate(found), np.concatenate(owner), slack) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), slack)
+        np.minimum.at(slack, own, weight - most - 1)
+    return (np.concatenate(found), np.concatenate(owner), slack, need) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), slack, need)
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -119,15 +124,15 @@ def index(docs: DataFrame, parts: int) -> DataFrame:
         def flush():
             sets = [s for _, s in waiting]
             ids, sizes = np.array([i for i, _ in waiting], np.int64), np.array([len(s) for s in sets], np.int64)
-            sig, owner, slack = signatures(sets)
+            sig, owner, slack, need = signatures(sets)
             yield from _pack(parts, sig, owner, ids, sizes, 0)
             bands = [(k, band) for k, n in enumerate(sizes.tolist()) for band, _ in instances(n)]
             roster = np.array([[k, band * ROSTERS + int(ids[k]) % ROSTERS] for k, band in bands], np.int64).reshape(-1, 2)
             yield from _pack(parts, mix(roster[:, 1].astype(np.uint64)), roster[:, 0], ids, sizes, 1)
             brute = np.array([[k, band * ROSTERS + r] for k, band in bands if slack[k] < 0 for r in range(ROSTERS)], np.int64).reshape(-1, 2)
             yield from _pack(parts, mix(brute[:, 1].astype(np.uint64)), brute[:, 0], ids, sizes, 2)
-            at = {int(i): int(s) for i, s in zip(ids, slack, strict=True)}
-            info = np.array([[d, r, n, min(at.get(d, 0), 1 << 30)] for d, r, n in about], np.int64).reshape(-1, 4)
+            at = {int(i): (int(s), int(x)) for i, s, x in zip(ids, slack, need, strict=True)}
+            info = np.array([[d, r, n, *at.get(d, (0, 1))] for d, r, n in about], np.int64).reshape(-1, 5)
             if len(info):
                 to = (mix(info[:, 0].astype(np.uint64)) % U(parts)).astype(np.int64)
                 some = np.unique(to)
@@ -158,7 +163,7 @@ def index(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def candidates(dealt_out: DataFrame) -> DataFrame:
-    """kind 0: a document (a), the equal one before it (b), n, slack; kind 1: a pair to verify; kind 2: a shared segment (a) of the set b."""
+    """kind 0: a document (a), the equal one before it (b), n, slack, need; kind 1: a pair and the number (n) of segments that it was found by; kind 2: a shared segment (a) of the set b."""
 
     def found(batches):
         table: dict[str, list] = {"ids": [], "n": [], "sig": [], "set": []}
@@ -168,8 +173,8 @@ def candidates(dealt_out: DataFrame) -> DataFrame:
             for to, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 kind, k, n = np.frombuffer(blob, np.int64, 3).tolist()
                 if kind == 3:
-                    info = np.frombuffer(blob, np.int64, 4 * n, 24).reshape(-1, 4)
-                    yield _found(0, info[:, 0], info[:, 1], info[:, 2], info[:, 3])
+                    info = np.frombuffer(blob, np.int64, 5 * n, 24).reshape(-1, 5)
+                    yield _found(0, *info.T)
                     continue
                 ids, sizes = np.frombuffer(blob, np.int64, k, 24), np.frombuffer(blob, np.int32, k, 24 + 8 * k)
                 at = 24 + 12 * k
@@ -187,7 +192,7 @@ def candidates(dealt_out: DataFrame) -> DataFrame:
                 part = to
         for s, lone in special[2].items():
             pairs = np.array([(a, b) for a, n in lone for b, o in special[1].get(s, ()) if a != b and 4 * min(n, o) >= 3 * max(n, o)], np.int64).reshape(-1, 2)
-            yield _found(1, pairs.min(axis=1, initial=1 << 62), pairs.max(axis=1, initial=-1 << 62)) if len(pairs) else None
+            yield _found(1, pairs.min(axis=1), pairs.max(axis=1), np.full(len(pairs), 1 << 20)) if len(pairs) else None
         if not base:
             return
         ids, n, sig, sets = (np.concatenate(table.pop(k)) for k in ("ids", "n", "sig", "set"))
@@ -211,8 +216,8 @@ def candidates(dealt_out: DataFrame) -> DataFrame:
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             a, b = np.minimum(a, b), np.maximum(a, b)
             near = (a != b) & (4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b]))
-            both = np.unique(a[near] * len(ids) + b[near])
-            yield _found(1, ids[both // len(ids)], ids[both % len(ids)])
+            both, shared = np.unique(a[near] * len(ids) + b[near], return_counts=True)
+            yield _found(1, ids[both // len(ids)], ids[both % len(ids)], shared)
         if len(hot[0]):
             at = np.concatenate([np.arange(a, a + k) for a, k in zip(*hot, strict=True)])
             yield _found(2, sig[at] << 20 | part, ids[sets[at]], size[sets[at]])
@@ -226,26 +231,94 @@ def candidates(dealt_out: DataFrame) -> DataFrame:
     return dealt_out.mapInArrow(batched, FOUND)
 
 
-def _found(kind: int, a, b, n=None, slack=None) -> pa.RecordBatch:
+def _found(kind: int, a, b, *more) -> pa.RecordBatch:
     zero = np.zeros(len(a), np.int32)
-    columns = [zero + kind, a, b, zero if n is None else n, zero if slack is None else slack]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    columns = [zero + kind, a, b, *more, *[zero] * (3 - len(more))]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), t, safe=False) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
 
-def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """The pairs (a, b) whose sets are at least 0.75 alike. The text of a document is shuffled once, its set once for each partner; a with many partners is salted."""
+def heavy_sets(docs: DataFrame, heavy: DataFrame) -> DataFrame:
+    """doc_id, component and own (the packed set) of the documents in ``heavy`` (doc_id, component)."""
+
+    def made(batches):
+        for batch in batches:
+            own = [s.tobytes() for s in shingle_sets([(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()], SHINGLE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["doc_id", "component", "own"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(heavy.hint("shuffle_hash"), "doc_id").select("doc_id", "component", "text")
+    return texts.mapInArrow(made, "doc_id long, component long, own binary")
+
+
+def set_hashes(batches):
+    for batch in batches:
+        for own in batch.column(2).to_pylist():
+            yield np.frombuffer(own, np.uint64)
+
+
+def prefix_pairs(sets: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share one of the |s| - ceil(0.75 |s|) + 1 rarest shingles of either, by length and position."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)  # SKETCH bytes
+
+    def sent(batches):
+        counts = shared.value
+        for batch in batches:
+            ids, part = np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(1).to_pylist(), np.int64)
+            keys, owner, place, sizes = [], [], [], np.zeros(len(ids), np.int32)
+            for k, own in enumerate(batch.column(2).to_pylist()):
+                own = np.frombuffer(own, np.uint64)
+                n = sizes[k] = len(own)
+                rarest = own[np.argsort(counts[(own & U(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << U(56) | own >> U(8), kind="stable")][: n - (3 * n + 3) // 4 + 1]
+                keys.append(rarest)
+                owner.append(np.full(len(rarest), k))
+                place.append(np.arange(len(rarest), dtype=np.int32))
+            if keys:
+                key = np.concatenate(keys)
+                yield from pack(parts, key, np.concatenate(owner), [ids, part, sizes], [key, np.concatenate(place)])
+
+    def found(batches):
+        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
+        (ids, part, sizes), owner, (key, place) = packed(blobs, ["i8", "i8", "i4"], ["u8", "i4"])
+        order = np.lexsort((part[owner], key))
+        key, owner, place = key[order], owner[order], place[order].astype(np.int64)
+        group = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        first = np.flatnonzero(group)
+        last = np.r_[first[1:], len(key)]
+        mixed = part[owner[first]] != part[owner[last - 1]] if len(first) else np.zeros(0, bool)
+        # The rows of a group are in the order of their components; each is paired with those of later ones.
+        run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[owner[1:]] != part[owner[:-1]])][: len(key)])
+        beyond = np.r_[run[1:], len(key)][np.searchsorted(run, np.arange(len(key)), side="right") - 1]
+        end = last[np.searchsorted(first, np.arange(len(key)), side="right") - 1] if len(first) else beyond
+        left = np.flatnonzero(np.repeat(mixed, last - first) & (end > beyond)) if len(first) else np.zeros(0, np.int64)
+        done = np.zeros(0, np.int64)
+        distinct = np.unique(ids)
+        for some in np.array_split(left, max(1, int((end[left] - beyond[left]).sum()) // 2_000_000 + 1)):
+            n = end[some] - beyond[some]
+            a = np.repeat(some, n)
+            b = np.repeat(beyond[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            x, y = sizes[owner[a]].astype(np.int64), sizes[owner[b]].astype(np.int64)
+            fits = (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & (7 * np.minimum(x - place[a], y - place[b]) >= 3 * (x + y))
+            p, q = np.searchsorted(distinct, ids[owner[a[fits]]]), np.searchsorted(distinct, ids[owner[b[fits]]])
+            done = np.unique(np.r_[done, np.minimum(p, q) * len(distinct) + np.maximum(p, q)])
+        for start in range(0, len(done), 1 << 16):
+            pair = done[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(distinct[pair // len(distinct)]), pa.array(distinct[pair % len(distinct)])], ["a", "b"])
+
+    return dealt(sets.mapInArrow(sent, "to int, blob binary"), parts).mapInArrow(found, "a long, b long")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, parts: int, kept: str = "text") -> DataFrame:
+    """The pairs (a, b) whose sets are at least 0.75 alike. ``docs`` has their texts, or as ``own`` their sets. The text of a document is shuffled once, its set once for each partner; a with many partners is salted."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("salts"))
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("salts")).cast("int"))
     wanted = salted.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), "salt").unionByName(salted.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), "salt").distinct())
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("hub").alias("hubs"), F.collect_list("salt").alias("salts"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), kept).join(wanted.hint("shuffle_hash"), "doc_id")
 
     def sets(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            for doc, text, hubs, salts in zip(ids, texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = shingle_sets([text], SHINGLE)[0].tobytes()
+            for doc, text, hubs, salts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                own = text if kept == "own" else shingle_sets([(text or "").encode("utf-8", "replace")], SHINGLE)[0].tobytes()
                 for start in range(0, len(hubs), 256):
                     some = hubs[start : start + 256]
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(salts[start : start + 256], pa.int32()), pa.array([doc] * len(some), pa.int64()), pa.array([own] * len(some), pa.binary())], ["hub", "salt", "doc", "own"])
@@ -278,25 +351,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     found = cut(candidates(index(docs, parts)))
-    about = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("equal"), F.col("n").alias("n_shingles"), "slack")
-    pairs = cut(found.where("kind = 1").select("a", "b").distinct())
+    about = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("equal"), F.col("n").alias("n_shingles"), "slack", "need")
+    hot = found.where("kind = 2").select(F.col("a").alias("segment"), F.col("b").alias("id"), F.col("n").alias("size"))
+    limits = about.where("equal = doc_id").groupBy("doc_id").agg(F.min("slack").alias("slack"), F.min("need").alias("need"))
+    limits = limits.join(hot.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("hot")), "doc_id", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    limits = cut(limits.select("doc_id", (F.col("need") - F.col("hot")).alias("need"), (F.col("hot") > F.col("slack")).alias("heavy")))
+    # A pair that shares fewer segments than each of the two needs with any partner, hot ones aside, can't be linked.
+    pairs = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for side in ("a", "b"):
+        pairs = pairs.join(limits.select(F.col("doc_id").alias(side), F.col("need").alias(f"need_{side}")), side)
+    pairs = cut(pairs.where("n >= need_a and n >= need_b").select("a", "b"))
     links = cut(about.where("equal <> doc_id").select(F.col("doc_id").alias("a"), F.col("equal").alias("b")).unionByName(verify(docs, pairs, parts)))
     joined = components(links)
-    hot = found.where("kind = 2").select(F.col("a").alias("segment"), F.col("b").alias("id"), F.col("n").alias("size"))
-    if hot.limit(1).count():
-        slack = about.where("equal = doc_id").groupBy("doc_id").agg(F.min("slack").alias("slack"))
-        heavy = hot.groupBy("id").agg(F.count("*").alias("n")).join(slack, F.col("id") == F.col("doc_id")).where("n > slack").select("id")
-        rest = hot.join(heavy, "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = rest.groupBy("segment").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("segment")
-        rest = cut(rest.join(split, "segment").distinct())
-        x, y = rest.alias("x"), rest.alias("y")
-        apart = (F.col("x.segment") == F.col("y.segment")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        alike = 4 * F.least("x.size", "y.size") >= 3 * F.greatest("x.size", "y.size")
-        more = x.join(y, apart & alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = cut(verify(docs, cut(more), parts))
+    heavy = cut(limits.where("heavy").select(F.col("doc_id").alias("id")).join(joined, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("component")))
+    if heavy.limit(1).count():
+        sets = cut(heavy_sets(docs, heavy))
+        more = prefix_pairs(sets, rarity(sets, set_hashes), parts).distinct().join(pairs, ["a", "b"], "left_anti")
+        more = cut(verify(sets.select("doc_id", "own"), cut(more), parts, "own"))
         if more.limit(1).count():
             joined = components(links.unionByName(more))
     out = about.select("doc_id", F.col("n_shingles").cast("long")).join(joined, F.col("doc_id") == F.col("id"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     lost = docs.where("doc_id is null")
     return out.unionByName(lost.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row of ``docs`` (doc_id, text, ...) with the smallest id of each component; rows that share an id are one document; null ids stay."""
+    found = near_duplicates(docs)
+    kept = cut(found.where("doc_id = component_id").select("doc_id").distinct())
+    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(docs.where("doc_id is null")).select(*docs.columns)
