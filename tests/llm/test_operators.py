@@ -344,3 +344,19 @@ def test_operators_are_native_where_asked(docs):
     for df in (fingerprints.fingerprints(docs), mixing.mix(docs, labelled, {"x": 1.0})):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("local", [10**6, 5])
+def test_components(spark, monkeypatch, local):
+    from sparklode.llm import _components
+
+    monkeypatch.setattr(_components, "LOCAL", local)
+    r = random.Random(6)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 120)]
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in range(130):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {x["id"]: x["component"] for x in _components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == root
