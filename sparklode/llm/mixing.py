@@ -25,12 +25,15 @@ from ._common import cut
 BINS = 32
 STEPS, CLOSE = 40, 1e-4  # most gradient steps; relative residual at which they end
 MOST_DOMAINS = 16
-SYMBOLS, CAPITALS, DIGITS, SPACES = "#$%&*!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \n\t\r\f"
+SPACES, SYMBOLS = " \n\t", "#$%&*"
 
 
-def without(text: Column, characters: str) -> Column:
-    """Number of the given characters in the text."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def without(text: Column, *pieces: str) -> Column:
+    """Number of characters that the given pieces take up in the text; replacing is a search over bytes, unlike translating."""
+    left = text
+    for piece in pieces:
+        left = F.replace(left, F.lit(piece), F.lit(""))
+    return F.length(text) - F.length(left)
 
 
 def binned(share: Column) -> Column:
@@ -39,29 +42,28 @@ def binned(share: Column) -> Column:
 
 
 def measures(text: Column) -> dict[str, Column]:
-    """tokens and the bin of each measure of a text; the text is gone through once for each character class."""
+    """tokens and the bin of each measure of a text: its symbols, shouting, punctuation, length and length of words."""
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1)).cast("double")
-    spaces = without(text, SPACES)
+    spaces = without(text, *SPACES)
     return {
         "tokens": (spaces + 1).cast("double"),
-        "_m0": binned(without(text, SYMBOLS) / size),
-        "_m1": binned(without(text, CAPITALS) / size),
-        "_m2": binned(without(text, DIGITS) / size),
+        "_m0": binned(without(text, *SYMBOLS) / size),
+        "_m1": binned(without(text, "!!") / size),
+        "_m2": binned(without(text, ". ", ", ", ".\n") / size),
         "_m3": F.least(F.lit(BINS - 1), F.floor(2 * F.log2(size))).cast("int"),
         "_m4": F.least(F.lit(BINS - 1), F.floor(2 * size / (spaces + 1))).cast("int"),
-        "_m5": binned((F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("")))) / size),
     }
 
 
-MEASURES = [f"_m{i}" for i in range(6)]
+MEASURES = [f"_m{i}" for i in range(5)]
 
 
 def learn(measured: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Domains, log priors and log likelihoods [measure, bin, domain]; ``measured`` has doc_id and bins, ``labelled`` doc_id and domain."""
     labelled = labelled.where("doc_id is not null and domain is not null").select("doc_id", "domain").dropDuplicates(["doc_id"])
     known = measured.join(labelled, "doc_id")
-    rows = known.select("domain", F.posexplode(F.array(*MEASURES)).alias("measure", "bin")).groupBy("domain", "measure", "bin").agg(F.count("*").alias("n")).collect()  # at most domains x 6 x 32 rows
+    rows = known.select("domain", F.posexplode(F.array(*MEASURES)).alias("measure", "bin")).groupBy("domain", "measure", "bin").agg(F.count("*").alias("n")).collect()  # at most domains x 5 x 32 rows
     sizes: dict[str, int] = {}
     for r in rows:
         if r["measure"] == 0:
@@ -121,8 +123,13 @@ def fit_rates(state: DataFrame, names: list[str], aims: np.ndarray, lo: float, h
     return best_steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, ...) with tokens, domain, posterior (of that domain), rate and copies.
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0) -> DataFrame:
+    """doc_id, tokens, domain, posterior, rate, copies of every row of ``docs`` (doc_id, text), as ``mix``, from one pass over the texts."""
+    return mix(docs.select("doc_id", "text"), labelled, targets, lo, hi, budget, keep=False)
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0, keep: bool = True) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, ...), or doc_id alone, with tokens, domain, posterior (of that domain), rate and copies.
 
     ``targets``: weight of each domain in the expected tokens; their sum is ``budget`` times all tokens. copies is the rate rounded up or down
     by a hash of the id, so that its mean is the rate.
@@ -131,7 +138,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: flo
     measured = cut(docs.select("doc_id", *(c.alias(k) for k, c in bins.items())))
     domains, priors, likelihoods = learn(measured, labelled, targets)
     weight = sum(targets.get(d, 0.0) for d in domains)
-    kept = [c for c in docs.columns if c not in ("tokens", "domain", "posterior", "rate", "copies")]
+    kept = [c for c in docs.columns if c not in ("tokens", "domain", "posterior", "rate", "copies")] if keep else ["doc_id"]
     if not weight:
         flat = docs.select(*kept).withColumn("tokens", bins["tokens"])
         return flat.withColumns({"domain": F.lit(None).cast("string"), "posterior": F.lit(0.0), "rate": F.lit(1.0), "copies": F.lit(1).cast("long")})
@@ -145,13 +152,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: flo
         total = sum((F.col(c) for c in names), F.lit(0.0))
         return rows.withColumns({c: F.col(c) / total for c in names}).drop(*logs)
 
-    state = cut(with_posteriors(measured).select("tokens", *names))
+    # Rows of equal bins have equal posteriors and so equal rates: the steps work on their sums.
+    state = cut(with_posteriors(measured.groupBy(*MEASURES).agg(F.sum("tokens").alias("tokens"))).select("tokens", *names))
     tokens = state.agg(F.sum("tokens").alias("n")).first()["n"] or 0.0
     aims = np.array([targets.get(d, 0.0) / weight for d in domains]) * tokens * budget
     steps = fit_rates(state, names, aims, lo, hi)
     top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
     domain = F.coalesce(*(F.when(F.col(c) == top, F.lit(d)) for c, d in zip(names, domains, strict=True)))
-    rows = docs.select(*kept).withColumns(bins)
+    rows = docs.select(*kept).withColumns(bins) if keep else measured
     rows = with_posteriors(rows).withColumns({"domain": domain, "posterior": top, "rate": rate([F.col(c) for c in names], steps, lo, hi)})
     even = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
     copies = F.floor("rate") + F.when(even < F.col("rate") - F.floor("rate"), 1).otherwise(0)

@@ -13,10 +13,10 @@ MIX_TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
 
 
 def op1_soft_mixing(spark, sf_dir):
-    from .mixing import domains_of, mix
+    from .mixing import domains_of, rates
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mix(docs, domains_of(table(spark, sf_dir, "labels")), MIX_TARGETS).drop("text")
+    return rates(docs, domains_of(table(spark, sf_dir, "labels")), MIX_TARGETS)
 
 
 def op3_language_id(spark, sf_dir):
