@@ -296,7 +296,7 @@ def test_fingerprints(docs, rows, empty):
         assert (found[i]["n_chars"], found[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
     prints = {}
     for i, t in ordered:
-        prints.setdefault(t.lower().split() and t, set()).add(found[i]["fingerprint"])
+        prints.setdefault(t, set()).add(found[i]["fingerprint"])
     assert all(len(p) == 1 for p in prints.values())
 
     def jaccard(a, b):
