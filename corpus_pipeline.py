@@ -22,7 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line matches go from the texts; every document stays."""
-    return line_dedup.dedup(docs).select(*docs.columns)
+    return line_dedup.dedup(docs, short=True).select(*docs.columns)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Line dedup: exact set-similarity join of lines by prefix, length and position, and removal of later matches.
 
-A line's tokens are its distinct word shingles of ``SHINGLE`` words. Tokens are ordered by rarity: counts come from a sketch of fixed size over
+A line's tokens are its distinct word shingles of ``SHINGLE`` words; with ``short`` a line of fewer words has its whole sequence as its one token. Tokens are ordered by rarity: counts come from a sketch of fixed size over
 all lines; any order that is the same everywhere keeps the join exact, the sketch only makes it cheap. Two lines of x and y tokens that are at
 least 0.75 alike share one of the x - ceil(0.75 x) + 1 rarest of the one and likewise of the other; their lengths and
 the positions of the shared token bound their overlap. What passes is verified on the lines themselves. A line goes if any
 earlier line, by doc_id and line number, matches it, whether that one goes as well or not.
 
-Equal lines are folded first, in map tasks and then by a hash of their token set. Of a token that many lines share, only
+Equal lines are folded first, in map tasks and then by a hash of their token set; lines of one token match equal ones only and end there. Of a token that many lines share, only
 pairs with its first line are tried at first; the lines that this leaves unmatched are then tried with all earlier ones.
 
-Defined results: lines with fewer words than a shingle are kept and match nothing; a null text stays null and has no lines; a document may be left
+Defined results: lines with fewer words than a shingle match lines of the same words with ``short``, else they are kept and match nothing; lines
+without words are kept; a null text stays null and has no lines; a document may be left
 with an empty text, which is kept; rows with the same id are told apart by their text, and equal ones lose the same lines; rows
 with a null id are left alone; an empty table gives an empty result; other columns are carried along.
 """
@@ -33,28 +34,36 @@ ROWS = "kind int, token long, doc long, line int, n int, at int, other_doc long,
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
 
 
-def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line (counted over all texts) and hash of every shingle, by line; and the number of each text's first line."""
+def shingles(texts: list[bytes], short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line (counted over all texts) and hash of every shingle, with ``short`` also of lines too short for one; and the number of each text's first line."""
     data = b"\n".join(texts)
     start, found = word_hashes(data)
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     begin = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
     first = np.searchsorted(ends, begin[:-1])
-    size = len(found) - SHINGLE + 1
-    if size < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), first
     of = np.searchsorted(ends, start)
-    runs = mix(sum((found[i : size + i] * _ODD[i] for i in range(SHINGLE)), U(0)))
-    inside = of[:size] == of[SHINGLE - 1 :]
-    return of[:size][inside], runs[inside], first
-
-
-def line_tokens(texts: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    lines, runs = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if (size := len(found) - SHINGLE + 1) > 0:
+        runs = mix(sum((found[i : size + i] * _ODD[i] for i in range(SHINGLE)), U(0)))
+        inside = of[:size] == of[SHINGLE - 1 :]
+        lines, runs = of[:size][inside], runs[inside]
+    if short and len(found):
+        begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        n = np.diff(np.r_[begin, len(of)])
+        begin, n = begin[n < SHINGLE], n[n < SHINGLE]
+        whole = n.astype(np.uint64) * U(77)
+        for i in range(SHINGLE - 1):
+            whole[n > i] += found[begin[n > i] + i] * _ODD[i]
+        lines, runs = np.r_[lines, of[begin]], np.r_[runs, mix(whole)]
+    return lines, runs, first
+
+
+def line_tokens(texts: list[bytes], counts: np.ndarray | None = None, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number and line number of each line that has tokens; line (its place in these) and hash of each distinct token, by line.
 
     Tokens of a line are in the order of their hashes, or with ``counts`` of rarity and then of their hashes.
     """
-    of, runs, first = shingles(texts)
+    of, runs, first = shingles(texts, short)
     if not len(of):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     key = runs if counts is None else counts[(runs & U(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << U(56) | runs >> U(8)
@@ -71,7 +80,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return rarity(docs, lambda batches: (shingles(texts)[1] for _, texts in blocks(batches)))
 
 
-def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
+def index(docs: DataFrame, counts: np.ndarray, parts: int, short: bool = False) -> DataFrame:
     """Prefix tokens (kind 0) and set hashes (kind 1) of the lines, each set once for each block, and what equals a line of its block (kind 2)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # SKETCH bytes
 
@@ -82,7 +91,7 @@ def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
     def indexed(batches):
         counts = shared.value
         for ids, texts in blocks(batches):
-            text, number, line, token = line_tokens(texts, counts)
+            text, number, line, token = line_tokens(texts, counts, short)
             if not len(text):
                 continue
             ids = np.array(ids, np.int64)
@@ -102,7 +111,7 @@ def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
             yield from rows(1, pack(parts, key[kept], text[kept], own, [key[kept], number[kept].astype(np.int32)]))
             at = np.arange(len(line)) - begin[line]
             prefix = n - (3 * n + 3) // 4 + 1
-            chosen = (at < prefix[line]) & first[line]
+            chosen = (at < prefix[line]) & first[line] & (n[line] > 1)
             token, line, at = token[chosen], line[chosen], at[chosen]
             yield from rows(0, pack(parts, token, text[line], own, [token, at.astype(np.uint16), np.minimum(n[line], 1 << 30).astype(np.int32), number[line].astype(np.int32)]))
 
@@ -211,12 +220,12 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     return spread.sortWithinPartitions("hub_doc", "hub_line", "salt", own_last).mapInArrow(compared, "doc long, line int")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc, line (from 0): every line that an earlier one matches. ``docs``: doc_id, text."""
+def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """doc, line (from 0): every line that an earlier one matches, with ``short`` also of lines with fewer words than a shingle. ``docs``: doc_id, text."""
     prepare(docs.sparkSession)
     parts = partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    found = cut(candidates(index(docs, sketch(docs), parts)))
+    found = cut(candidates(index(docs, sketch(docs), parts, short)))
     equal = found.where("kind = 0").select("doc", "line")
     pairs = found.where("kind = 1").select("doc", "line", "other_doc", "other_line").distinct()
     pairs = cut(pairs.join(equal.distinct(), ["doc", "line"], "left_anti"))
@@ -242,6 +251,6 @@ def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select(*kept, left.alias("text"), *(v.alias(k) for k, v in sizes.items()))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) without repeated lines, and n_lines, n_removed."""
-    return without_lines(docs, repeated_lines(docs))
+    return without_lines(docs, repeated_lines(docs, short))

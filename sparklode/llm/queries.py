@@ -67,7 +67,7 @@ def op2_line_dedup(spark, sf_dir):
     """One row per document: lines before, lines removed, and the digest of the text that is left."""
     from .line_dedup import dedup
 
-    left = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -129,6 +129,24 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, docs, rows):
+    more = [(9000 + i, f"Read more\nown line number {i} of page nine thousand\n\n \nshare  this\tPAGE", *rows[0][2:]) for i in range(30)] + [(9100, "read MORE\nread more now\nmore read\nread", *rows[0][2:])]
+    earlier, want = [], {}
+    for i, t, *_ in sorted(rows + more):
+        kept, gone = [], 0
+        for line in (t or "").split("\n"):
+            own = shingles(line)
+            if any(alike(own, e) for e in earlier):
+                gone += 1
+            else:
+                kept.append(line)
+            earlier.append(own) if own else None
+        want[i] = (None if t is None else "\n".join(kept), gone)
+    assert sum(gone for i, (_, gone) in want.items() if i >= 9000) >= 59
+    got = line_dedup.dedup(docs.unionByName(spark.createDataFrame(more, DOCS)), short=True)
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got.collect()} == want
+
+
 def test_substring_dedup(docs, rows, empty):
     seen, want = set(), {}
     for i, t, *_ in sorted(rows):
