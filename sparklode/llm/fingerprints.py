@@ -1,11 +1,10 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
 Terms are pairs of neighbouring words (lower case, between white spaces; the last word stands alone too), weighted by how often they
-occur. Each term falls into one of ``BINS`` bins by its hash. In its bin, improved consistent weighted sampling draws r and c from
-Gamma(2, 1) and b from U(0, 1) by hashes of the term; with weight S, t = floor(ln S / r + b) and ln a = ln c - r (t - b) - r;
-the term of least a and its t are the bin's sample. Two texts' samples of a bin agree with the probability of the
-generalised Jaccard similarity of what falls into that bin, and bins in which neither has a term don't count. One draw for
-each term, instead of one for each term and hash function, is what keeps whole texts affordable.
+occur. Weights are whole numbers, so a term of weight w is w elements: the term with 1, ..., w. Each of ``DRAWS`` hash functions orders
+all elements of a text, and the greatest is its sample: a term is drawn in proportion to its weight, and two texts' samples agree
+with the probability of their generalised Jaccard similarity, for each hash function. No logarithms are needed for whole weights,
+which is what makes every hash function over all elements affordable.
 
 Texts are shuffled once, by ranges of doc_id; a range also gets the first document of the range after it, so that each
 document meets the next one without a global sort. All grouping stays in that partitioning.
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._common import partitions
 
-BINS = 64
+DRAWS = 64  # hash functions
 CODE_BITS = 28  # of a sample's identity
 RANGE_ROWS, MOST_RANGES = 100, 100_000
 
@@ -56,43 +55,31 @@ def edit(text: Column, following: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), F.length(text) - half), F.substr(following, F.lit(1), half))
 
 
-def uniform(h: Column, shift: int) -> Column:
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / float(1 << 21)
-
-
-def sample(term: Column, weight: Column) -> Column:
-    """Least a first (as the greatest number), and the sample's identity in the low bits."""
-    h1, h2 = F.xxhash64(term, F.lit(1)), F.xxhash64(term, F.lit(2))
-    r = -F.log(uniform(h1, 0) * uniform(h1, 21))
-    c = F.log(-F.log(uniform(h2, 0) * uniform(h2, 21)))
-    b = uniform(h1, 42)
-    t = F.floor(F.log(weight) / r + b)
-    a = c - r * (t - b) - r
-    least = ((F.lit(16.0) - a) * float(1 << 27)).cast("long")
-    return F.shiftleft(least, CODE_BITS).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << CODE_BITS) - 1)))
+def drawn(element: Column, k: int) -> Column:
+    """The place of an element in the order of hash function k: a bijection, so that equal places are equal elements."""
+    salt = (k + 1) * 0x9E3779B97F4A7C15 & ((1 << 63) - 1)
+    return F.xxhash64(element.bitwiseXOR(F.lit(salt)))
 
 
 def signatures(texts: DataFrame, *keys: str) -> DataFrame:
-    """*keys and signature: sorted array of bin << CODE_BITS | identity. ``texts`` has keys and text, its partitioning kept."""
+    """*keys and signature: array of k << CODE_BITS | identity for each hash function k. ``texts`` has keys and text, its partitioning kept."""
     words = F.split(F.lower(F.trim(F.translate("text", "\n\r\t\f\v", "     "))), " +")
     pairs = texts.where(F.length("text") > 0).select(*keys, words.alias("w")).select(*keys, F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"))))
     pairs = pairs.where("a != ''").select(*keys, F.xxhash64("a", F.coalesce("b", F.lit(""))).alias("term"))
     weighted = pairs.groupBy(*keys, "term").agg(F.count("*").alias("weight"))
-    drawn = weighted.select(*keys, F.shiftrightunsigned("term", 58).cast("int").alias("bin"), sample(F.col("term"), F.col("weight").cast("double")).alias("drawn"))
-    least = drawn.groupBy(*keys, "bin").agg(F.max("drawn").alias("drawn"))
-    code = F.shiftleft(F.col("bin").cast("long"), CODE_BITS).bitwiseOR(F.col("drawn").bitwiseAND(F.lit((1 << CODE_BITS) - 1)))
-    return least.groupBy(*keys).agg(F.array_sort(F.collect_list(code)).alias("signature"))
+    elements = weighted.select(*keys, "term", F.explode(F.sequence(F.lit(1).cast("long"), "weight")).alias("copy")).select(*keys, F.xxhash64("term", "copy").alias("element"))
+    most = elements.groupBy(*keys).agg(*(F.max(drawn(F.col("element"), k)).alias(f"_d{k}") for k in range(DRAWS)))
+    code = [F.col(f"_d{k}").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).bitwiseOR(F.lit(k << CODE_BITS)) for k in range(DRAWS)]
+    return most.select(*keys, F.array(*code).alias("signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the bins that either has a sample in where both have the same."""
-    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, CODE_BITS))
-    either = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Share of the hash functions that have the same sample in both."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / float(DRAWS))
 
 
 def text_of(signature: Column) -> Column:
-    """Nine hexadecimal digits for each sample: bin and identity."""
+    """Nine hexadecimal digits for each sample: hash function and identity."""
     return F.concat_ws("", F.transform(signature, lambda v: F.lpad(F.lower(F.hex(v)), 9, "0")))
 
 

@@ -332,6 +332,24 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_skewed_weights(spark):
+    """A heavy term counts by its weight: for texts of one, two or four heavy pairs among many light ones."""
+    def text(heavy, n, light):
+        return " ".join([*(w for h in heavy for w in [h] * n), *light])
+
+    r, texts, true = random.Random(12), [], []
+    pairs = lambda t: Counter(zip(t.split(), [*t.split()[1:], ""]))
+    for k in range(60):
+        heavy = [f"h{k}x{i}" for i in range(r.choice((1, 2, 4)))]
+        both = [text(heavy, r.choice((100, 400, 1000)), [f"{side}{k}x{i}" for i in range(r.choice((20, 63, 150)))]) for side in "ab"]
+        a, b = map(pairs, both)
+        true.append(sum((a & b).values()) / sum((a | b).values()))
+        texts += [(2 * k, both[0]), (2 * k + 1, both[1])]
+    found = {x["doc_id"]: x["near_next"] for x in fingerprints.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    errors = np.array([found[2 * k] for k in range(60)]) - true
+    assert abs(errors.mean()) < 0.03 and np.abs(errors).mean() < 0.07 and np.abs(errors).max() < 0.3
+
+
 def test_fingerprints_cross_ranges_and_ties(spark):
     rows = [(i * 997, f"word{i} other{i} third{i}") for i in range(350)] + [(997, "again one"), (None, "nothing known")]
     found = sorted(fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, 0))
