@@ -2,11 +2,11 @@
 
 A naive Bayes classifier over a few shape measures of the whole text learns domains from a labelled table by grouped counts (a
 table of MEASURES x BINS x domains numbers, whatever the corpus) and gives every document a posterior over domains. A document
-of n tokens and posterior p, taken at rate x, is expected to add x n p[k] tokens to domain k. Distributed projected
-gradient least squares finds rates between ``lo`` and ``hi`` for which these totals match the targets: each step sums the totals over
-all documents (one small row), scales the residual by the inverse of sum(n p p'), and moves and clips all rates at
-once. As a rate depends on a document's posterior and the steps so far alone, it is an expression over the row: no rate is ever
-stored or shuffled.
+of n tokens and posterior p, taken at rate x, is expected to add x n p[k] tokens to domain k. Rates between ``lo`` and ``hi`` are
+the bounded least squares solution for these totals against the targets: with G = sum(n p p') they make residual' G^-1 residual least, and
+of all rates that do, up to a RIDGE, those nearest to 1. Such rates are clip(1 - p . s) for one vector s, a number for each domain, which
+Newton steps on the dual find: each sums totals, curvature and objective over all documents (one small row). So a rate is an
+expression over the row: none is ever stored or shuffled.
 
 Defined results: null and empty texts have one token; documents without a label are scored like all others; without a label
 that has a target every rate is 1; targets for domains that no label has are left out and the rest scaled up; domains
@@ -15,7 +15,7 @@ with labels but no target aim at weight 0; repeated rows are documents of their
 
 from __future__ import annotations
 
-import math
+import logging
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._common import cut
 
 BINS = 32
-STEPS, CLOSE = 40, 1e-4  # most gradient steps; relative residual at which they end
+STEPS, CLOSE = 200, 1e-6  # most Newton steps; relative gradient of the dual at which they end
+RIDGES = (1e-3, 1e-5)  # weights of the distance from 1, each solution the start of the next
+HALVINGS = 12  # shorter steps that are tried where a whole one does not lower the dual
 MOST_DOMAINS = 16
 SPACES, SYMBOLS = " \n\t", "#$%&*"
 
@@ -87,40 +89,72 @@ def posterior(priors: np.ndarray, likelihoods: np.ndarray) -> list[Column]:
     return logs
 
 
-def rate(posteriors: list[Column], steps: list[np.ndarray], lo: float, hi: float) -> Column:
-    """The rate after the given steps, from 1 on."""
-    x = F.lit(min(max(1.0, lo), hi))
-    for step in steps:
-        for p, s in zip(posteriors, step, strict=True):
-            x = x - p * float(s)
-        x = F.greatest(F.lit(lo), F.least(F.lit(hi), x))
-    return x
-
-
-def fit_rates(state: DataFrame, names: list[str], aims: np.ndarray, lo: float, hi: float) -> list[np.ndarray]:
-    """Steps of the projected gradient; ``state`` has tokens and a posterior column of each name."""
-    p, n = [F.col(c) for c in names], F.col("tokens")
-    pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-    moments = state.agg(*(F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
-    gram = np.zeros((len(p), len(p)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = moments[f"g{i}_{j}"] or 0.0
-    scale = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    steps: list[np.ndarray] = []
-    best, best_steps = math.inf, []
-    for _ in range(STEPS):
-        x = state.select(*(c for c in names), "tokens", rate(p, steps, lo, hi).alias("x"))
-        totals = x.agg(*(F.sum(F.col("x") * n * c).alias(name) for c, name in zip(p, names, strict=True))).first()
-        residual = np.array([totals[c] or 0.0 for c in names]) - aims
-        size = abs(residual).sum() / max(aims.sum(), 1e-9)
-        if size < best * (1 - 1e-3):
-            best, best_steps = size, list(steps)
-        else:
-            break
-        if size <= CLOSE:
-            break
-        steps.append(scale @ residual)
-    return best_steps
+def rate(posteriors: list[Column], shift: np.ndarray, lo: float, hi: float) -> Column:
+    """clip(1 - p . shift)."""
+    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.lit(1.0) - dot(posteriors, shift)))
+
+
+def dot(posteriors: list[Column], shift: np.ndarray) -> Column:
+    return sum((p * float(s) for p, s in zip(posteriors, shift, strict=True)), F.lit(0.0))
+
+
+def fit_rates(state: DataFrame, names: list[str], aims: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """The shift of all rates; ``state`` has tokens and a posterior column of each name.
+
+    For weight e of the distance, the shift s solves totals(s) - aims - e G s = 0. The left side is the negative gradient of the convex
+    dual, a sum over documents of -n (x - 1)^2 / 2 - n x p . s, plus aims . s + e s' G s / 2.
+    """
+    p, n, k = [F.col(c) for c in names], F.col("tokens"), len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def square(row, prefix: str) -> np.ndarray:
+        out = np.zeros((k, k))
+        for i, j in pairs:
+            out[i, j] = out[j, i] = row[f"{prefix}{i}_{j}"] or 0.0
+        return out
+
+    size = max(float(state.agg(F.sum("tokens")).first()[0] or 0.0), 1e-9)
+    n, aims = n / size, aims / size
+    gram = square(state.agg(*(F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first(), "g")
+
+    def dual(shift: np.ndarray) -> Column:
+        x = rate(p, shift, lo, hi)
+        return F.sum(-n * ((x - 1.0) * (x - 1.0) / 2 + x * dot(p, shift)))
+
+    def value(total: float | None, shift: np.ndarray, ridge: float) -> float:
+        return (total or 0.0) + aims @ shift + ridge / 2 * shift @ gram @ shift
+
+    def at(shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, the sum of n p p' over documents whose rate is within its bounds, and the documents' part of the dual."""
+        x = 1.0 - dot(p, shift)
+        free = (x > lo) & (x < hi)
+        row = state.agg(*(F.sum(n * p[i] * rate(p, shift, lo, hi)).alias(f"t{i}") for i in range(k)), *(F.sum(F.when(free, n * p[i] * p[j])).alias(f"g{i}_{j}") for i, j in pairs), dual(shift).alias("d")).first()
+        return np.array([row[f"t{i}"] or 0.0 for i in range(k)]), square(row, "g"), row["d"]
+
+    shift, left = np.zeros(k), STEPS
+    totals, curvature, sums = at(shift)
+    for ridge in RIDGES:
+        while abs(gradient := totals - aims - ridge * gram @ shift).sum() > CLOSE * max(aims.sum(), 1e-9):
+            if not left:
+                raise RuntimeError(f"mixing: rates did not converge in {STEPS} steps")
+            left -= 1
+            step = np.linalg.pinv(curvature + ridge * gram, rcond=1e-12, hermitian=True) @ gradient
+            before = value(sums, shift, ridge)
+            further = shift + step
+            now = at(further)
+            if value(now[2], further, ridge) >= before:
+                shorter = [shift + step / 2**h for h in range(1, HALVINGS)]
+                row = state.agg(*(dual(x).alias(f"d{m}") for m, x in enumerate(shorter))).first()
+                values = [value(row[f"d{m}"], x, ridge) for m, x in enumerate(shorter)]
+                if min(values) >= before - 1e-14 * max(1.0, abs(before)):
+                    break  # as near as double precision goes
+                further = shorter[int(np.argmin(values))]
+                now = at(further)
+            shift, (totals, curvature, sums) = further, now
+    missed = totals - aims
+    if abs(missed).sum() > 1e-3 * max(aims.sum(), 1e-9):
+        logging.getLogger(__name__).warning("mixing: targets are out of reach of rates from %g to %g: missed by %s of all tokens", lo, hi, dict(zip(names, missed.round(4).tolist(), strict=True)))
+    return shift
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0) -> DataFrame:
@@ -156,11 +190,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: flo
     state = cut(with_posteriors(measured.groupBy(*MEASURES).agg(F.sum("tokens").alias("tokens"))).select("tokens", *names))
     tokens = state.agg(F.sum("tokens").alias("n")).first()["n"] or 0.0
     aims = np.array([targets.get(d, 0.0) / weight for d in domains]) * tokens * budget
-    steps = fit_rates(state, names, aims, lo, hi)
+    shift = fit_rates(state, names, aims, lo, hi)
     top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
     domain = F.coalesce(*(F.when(F.col(c) == top, F.lit(d)) for c, d in zip(names, domains, strict=True)))
     rows = docs.select(*kept).withColumns(bins) if keep else measured
-    rows = with_posteriors(rows).withColumns({"domain": domain, "posterior": top, "rate": rate([F.col(c) for c in names], steps, lo, hi)})
+    rows = with_posteriors(rows).withColumns({"domain": domain, "posterior": top, "rate": rate([F.col(c) for c in names], shift, lo, hi)})
     even = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
     copies = F.floor("rate") + F.when(even < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return rows.withColumn("copies", copies.cast("long")).select(*kept, "tokens", "domain", "posterior", "rate", "copies")

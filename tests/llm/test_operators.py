@@ -233,6 +233,24 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, labelled, {"long": 1.0}).count() == 0
 
 
+@pytest.mark.parametrize("lo, hi, weights", [(0.0, 4.0, (0.3, 0.3, 0.4)), (1.0, 3.0, (0.9, 0.6, 0.1))])
+def test_mixing_rates_are_the_bounded_least_squares(spark, lo, hi, weights):
+    r = np.random.default_rng(11)
+    p = r.dirichlet((2.0, 0.7, 0.2), 300)
+    n = r.integers(1, 400, 300).astype(float)
+    aims = np.array(weights) * n.sum()
+    state = spark.createDataFrame([(float(a), *map(float, q)) for a, q in zip(n, p)], "tokens double, a double, b double, c double").coalesce(1).cache()
+    shift = mixing.fit_rates(state, ["a", "b", "c"], aims, lo, hi)
+    inverse = np.linalg.inv((p * n[:, None]).T @ p)
+    objective = lambda x: (d := (x * n) @ p - aims) @ inverse @ d / n.sum()
+    x = y = np.clip(np.ones(300), lo, hi)
+    for k in range(1, 5001):  # accelerated projected gradient, on all rates at once
+        z = np.clip(y - p @ inverse @ ((y * n) @ p - aims), lo, hi)
+        x, y = z, z + k / (k + 3) * (z - x)
+    found = np.clip(1 - p @ shift, lo, hi)
+    assert objective(found) <= objective(x) + 1e-4
+
+
 def tagged(r, lang, n=60):
     return " ".join("".join(r.choices(SYLLABLES[lang].split(), k=r.randint(1, 3))) for _ in range(n))
 
