@@ -55,4 +55,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: edges still changed after {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -414,3 +414,12 @@ def test_components(spark, monkeypatch, local):
                 root[a] = root[b] = min(root[a], root[b])
     got = {x["id"]: x["component"] for x in _components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == root
+
+
+def test_components_raise_when_rounds_run_out(spark, monkeypatch):
+    from sparklode.llm import _components
+
+    monkeypatch.setattr(_components, "LOCAL", 0)
+    chain = spark.range(60).selectExpr("id as a", "id + 1 as b")
+    with pytest.raises(RuntimeError, match="1 rounds"):
+        _components.components(chain, rounds=1)
