@@ -7,12 +7,14 @@ numbered within their length by per-partition counts and prefix sums, and number
 join with the pattern table, whose size depends on ``capacity`` alone.
 
 Defined results: a null text counts as empty (one end token); an empty table gives an empty result; repeated rows
-and repeated ids are packed as often as they occur; other columns are ignored; a null doc_id is carried as null.
+and repeated ids are packed as often as they occur; other columns are ignored; a null doc_id is carried as null; a special token's
+string in a text is that token, as the tokenizers file has it.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -26,26 +28,29 @@ CAPACITY = 1024
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[tuple[str, str], object] = {}
 
 
-def vocabulary(name: str = "byte_bpe_50k") -> str:
-    """Path of the vocabulary as ranks: the same ids as the tokenizers file of that name, from a faster library."""
+def vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str]:
+    """Paths of the vocabulary: the tokenizers file that defines the ids, and the same as ranks for a faster library."""
     import public_tokenizers
 
-    return public_tokenizers.path(f"{name}.tiktoken")
+    return public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken")
 
 
-def encoder(path: str):
-    """The byte-level BPE at ``path``; special tokens' strings are ordinary text. Kept once for each worker."""
-    if path not in _ENCODERS:
+def encoder(paths: tuple[str, str]):
+    """From text to ids: the byte-level BPE at ``paths``, its added tokens found in the text first. Kept once for each worker."""
+    if paths not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as lines:
+        with open(paths[0], encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        with open(paths[1], "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        _ENCODERS[paths] = tiktoken.Encoding(paths[1], pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    encoding, special = _ENCODERS[paths], _ENCODERS[paths].special_tokens_set
+    return lambda text: encoding.encode(text, allowed_special=special, disallowed_special=()) if any(s in text for s in special) else encoding.encode_ordinary(text)
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -54,13 +59,13 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return [first] + [capacity] * ((n - first) // capacity)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, paths: tuple[str, str] | None = None) -> DataFrame:
     """One row per piece; (part, k) numbers the pieces of one length within their partition."""
     prepare(docs.sparkSession)
-    path = path or vocabulary()
+    paths = paths or vocabulary()
 
     def tokenise(batches):
-        encode, part, seen = encoder(path).encode_ordinary, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, part, seen = encoder(paths), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -125,10 +130,10 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return slots
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, paths: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    cuts = cut(pieces(docs, capacity, end_id, path))
+    cuts = cut(pieces(docs, capacity, end_id, paths))
     counts = cut(cuts.groupBy("part", "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
