@@ -6,12 +6,12 @@ all elements of a text, and the greatest is its sample: a term is drawn in propo
 with the probability of their generalised Jaccard similarity, for each hash function. No logarithms are needed for whole weights,
 which is what makes every hash function over all elements affordable.
 
-Texts are shuffled once, by ranges of doc_id; a range also gets the first document of the range after it, so that each
+Texts are shuffled once, by ranges of doc_id between quantiles of a sample; a range also gets the first document of the range after it, so that each
 document meets the next one without a global sort. All grouping stays in that partitioning.
 
 Defined results: a null text counts as empty; texts without terms have the empty fingerprint, are wholly like each other (1.0) and
-unlike all others (0.0); rows with equal doc_id are ordered by text; null ids come before all others; with one row the
-next document is itself; an empty table gives an empty result; other columns are ignored.
+unlike all others (0.0); rows with equal doc_id are ordered by a hash of their text, so that many of them fall into several ranges; a null id
+counts as the smallest long; with one row the next document is itself; ids may be any longs; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,30 +22,54 @@ from ._common import partitions
 
 DRAWS = 64  # hash functions
 CODE_BITS = 28  # of a sample's identity
-RANGE_ROWS, MOST_RANGES = 100, 100_000
+RANGE_ROWS, MOST_RANGES, SAMPLED = 100, 16_384, 8
+
+
+def split_points(docs: DataFrame) -> list[tuple[int, int]]:
+    """(doc_id, hash of the text) of the first row of each range but the first, from a sample of SAMPLED rows a range: only balance hangs on them."""
+    n = docs.count()
+    many = min(MOST_RANGES, n // RANGE_ROWS)
+    if many < 2:
+        return []
+    got = docs.select("key", "hash").sample(min(1.0, 1.1 * SAMPLED * many / n), 29).collect()  # about SAMPLED * MOST_RANGES pairs of numbers at most
+    got = sorted((r["key"], r["hash"]) for r in got)
+    return sorted({got[i * len(got) // many] for i in range(1, many)}) if got else []
+
+
+def range_of(points: list[tuple[int, int]]) -> Column:
+    """Number of split points that are not behind the row, by binary search."""
+    if not points:
+        return F.lit(0)
+    keys, hashes = (F.split(F.lit(",".join(str(p[i]) for p in points)), ",").cast("array<bigint>") for i in range(2))  # folded into constants
+    steps = F.array(*(F.lit(1 << k) for k in range(len(points).bit_length() - 1, -1, -1)))
+
+    def further(at: Column, step: Column) -> Column:
+        k, h = F.get(keys, at + step - 1), F.get(hashes, at + step - 1)
+        return F.when((k < F.col("key")) | ((k == F.col("key")) & (h <= F.col("hash"))), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with its range, and (range to send to, doc_id) of every range's first document: about MOST_RANGES rows at most."""
-    size = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    rows = max(RANGE_ROWS, size["n"] // MOST_RANGES + 1)
-    lo, hi = size["lo"] or 0, size["hi"] or 0
-    width = max(1, -(-(hi - lo + 1) // max(1, -(-size["n"] // rows))))
-    placed = docs.withColumn("range", F.coalesce(F.expr(f"(doc_id - {lo}L) div {width}L"), F.lit(-1)))
-    firsts = placed.groupBy("range").agg(F.min("doc_id").alias("first"))
+    """``docs`` (key, hash, ...) with its range, and (range to send to, first key, hash) of every range: MOST_RANGES rows at most."""
+    placed = docs.withColumn("range", range_of(split_points(docs)))
+    firsts = placed.groupBy("range").agg(F.min(F.struct("key", "hash")).alias("first"))
     ends = firsts.agg(F.max("range").alias("last")).first()["last"]
     before = Window.orderBy("range")
-    return placed, firsts.select(F.coalesce(F.lag("range").over(before), F.lit(ends)).alias("to"), "first")
+    return placed, firsts.select(F.coalesce(F.lag("range").over(before), F.lit(ends)).alias("to"), F.col("first.key").alias("first_key"), F.col("first.hash").alias("first_hash"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """range, place, late, doc_id, text, next of every row; late rows are copies of the next range's first document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "hash": F.xxhash64("text")})
     placed, firsts = ranges(docs)
-    late = docs.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first")))  # MOST_RANGES rows at most
-    both = placed.select("range", F.lit(0).alias("late"), "doc_id", "text").unionByName(late.select(F.col("to").alias("range"), F.lit(1).alias("late"), "doc_id", "text"))
-    order = Window.partitionBy("range").orderBy("late", "doc_id", "text")
-    both = both.repartition(4 * partitions(docs.sparkSession), "range")
+    late = docs.join(F.broadcast(firsts), (F.col("key") == F.col("first_key")) & (F.col("hash") == F.col("first_hash")))  # firsts: MOST_RANGES rows at most
+    late = late.dropDuplicates(["to"])  # of equal rows one
+    columns = ["key", "hash", "doc_id", "text"]
+    both = placed.select("range", F.lit(0).alias("late"), *columns).unionByName(late.select(F.col("to").alias("range"), F.lit(1).alias("late"), *columns))
+    order = Window.partitionBy("range").orderBy("late", "key", "hash", "text")
+    both = both.repartition(4 * partitions(docs.sparkSession, docs), "range")
     return both.select("range", F.row_number().over(order).alias("place"), "late", "doc_id", "text", F.lead("text").over(order).alias("next"))
 
 
