@@ -48,6 +48,11 @@ def collected(batches, kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, k) for k in kinds]
 
 
+def _place(owners: int) -> str:
+    """Type of the place of one of so many owners."""
+    return "u2" if owners <= 1 << 16 else "u4"
+
+
 def pack(parts: int, key: np.ndarray, owner: np.ndarray, about: list[np.ndarray], fields: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows (to, blob) for the reduce partitions; a blob has what is said about the owners of its records once, not for each record."""
     to = (key % np.uint64(parts)).astype(np.int64)
@@ -60,7 +65,7 @@ def pack(parts: int, key: np.ndarray, owner: np.ndarray, about: list[np.ndarray]
         if b > a:
             here, place = np.unique(owner[a:b], return_inverse=True)
             tos.append(p)
-            blobs.append(b"".join([np.array([len(here), b - a], np.int64).tobytes(), *(x[here].tobytes() for x in about), place.astype(np.uint32).tobytes(), *(f[a:b].tobytes() for f in fields)]))
+            blobs.append(b"".join([np.array([len(here), b - a], np.int64).tobytes(), *(x[here].tobytes() for x in about), place.astype(_place(len(here))).tobytes(), *(f[a:b].tobytes() for f in fields)]))
         if blobs and (len(blobs) == 32 or p == parts - 1):
             yield pa.RecordBatch.from_arrays([pa.array(tos, pa.int32()), pa.array(blobs, pa.binary())], ["to", "blob"])
             tos, blobs = [], []
@@ -74,7 +79,7 @@ def packed(blobs: list[bytes], about: list[str], fields: list[str]) -> tuple[lis
     for blob in blobs:
         k, n = np.frombuffer(blob, np.int64, 2).tolist()
         at, got = 16, []
-        for kind, size in [*((a, k) for a in about), ("u4", n), *((f, n) for f in fields)]:
+        for kind, size in [*((a, k) for a in about), (_place(k), n), *((f, n) for f in fields)]:
             got.append(np.frombuffer(blob, kind, size, at))
             at += size * np.dtype(kind).itemsize
         tables.append(got[: len(about)])

@@ -1,7 +1,7 @@
 """Exact removal of repeated byte strings across documents, by suffix arrays over shards of repeated text.
 
 A string of ``size`` bytes that occurs in two documents has the same minimiser in both: the GRAM-byte piece of least hash in it. So first
-the minimisers of all texts are exchanged by their hash, with a hash of the text around each, so far as strings with that minimiser reach. What
+the minimisers of all texts are exchanged by 40 bits of their hash, with 64 bits of a hash of the text around each, so far as strings with that minimiser reach. What
 has the same surroundings as a document with a smaller id is a repeat through and through. Where the surroundings differ, the
 first document of each of them is asked for the text itself. It goes to the shard of its minimiser, which builds the suffix
 array of all it gets by induced sorting, compares neighbours by permuted common prefixes, and so finds every string of ``size`` bytes that
@@ -32,6 +32,7 @@ from .suffix_array import common_prefixes, suffix_array
 SIZE, GRAM = 50, 16
 BLOCK = 4 << 20  # bytes of text worked on at a time
 SHARD = 6 << 20  # bytes of surroundings in one suffix array, but for a single minimiser's
+SIDE = (SIZE - GRAM) // 2  # a string of SIZE bytes with a minimiser has so many bytes before it or behind it
 NONE = 0xFF  # no byte of UTF-8
 REACH = 2 * SIZE - GRAM  # bytes around a minimiser
 RUNS = ["i8", "u4"], ["i4", "i4"]  # of a document: id, crc32 of its text; of a run: begin, end
@@ -107,7 +108,7 @@ def index(docs: DataFrame, parts: int) -> DataFrame:
         for ids, texts in blocks(batches):
             crcs = np.array([zlib.crc32(t) for t in texts], np.uint32)
             for of, at, grams, around in _minimised(texts):
-                yield from pack(parts, grams, of, [np.array(ids, np.int64), crcs], [(grams // U(parts)).astype(np.uint32), (grams >> U(56)).astype(np.uint8), around.astype(np.uint32), (around >> U(48)).astype(np.uint16), at.astype(np.int32)])
+                yield from pack(parts, grams, of, [np.array(ids, np.int64), crcs], [(grams // U(parts)).astype(np.uint32), (grams >> U(56)).astype(np.uint8), around, at.astype(np.int32)])
 
     return dealt(docs.mapInArrow(indexed, "to int, blob binary"), parts)
 
@@ -136,10 +137,9 @@ def repeats(minimised: DataFrame, parts: int) -> DataFrame:
             shard = batch.column(0)[0].as_py()
         if not blobs:
             return
-        (ids, crcs), owner, (low, high, around, more, at) = packed(blobs, *MINIMISED)
+        (ids, crcs), owner, (low, high, around, at) = packed(blobs, *MINIMISED)
         del blobs
         gram = low.astype(np.int64) | high.astype(np.int64) << 32
-        around = around.astype(np.int64) | more.astype(np.int64) << 32
         doc = ids[owner]
         order = np.lexsort((doc, around, gram))
         gram, around, doc, owner, at = (x[order] for x in (gram, around, doc, owner, at))
@@ -158,7 +158,7 @@ def repeats(minimised: DataFrame, parts: int) -> DataFrame:
     return minimised.mapInArrow(found, ROWS)
 
 
-MINIMISED = ["i8", "u4"], ["u4", "u1", "u4", "u2", "i4"]
+MINIMISED = ["i8", "u4"], ["u4", "u1", "u8", "i4"]
 
 
 def with_texts(docs: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
@@ -251,6 +251,31 @@ def repeated_runs(around: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.n
     return of, begin, end - 1 + SIZE
 
 
+def _chunks(order: np.ndarray, fresh: np.ndarray, most: int):
+    """Slices of ``order`` that end where a group begins (``fresh``), of at most ``most`` rows, but for a single group's."""
+    start = 0
+    while start < len(order):
+        later = fresh[fresh > start]
+        fit = later[later <= start + most]
+        end = len(order) if len(order) - start <= most else int(fit[-1]) if len(fit) else int(later[0]) if len(later) else len(order)
+        yield order[start:end]
+        start = end
+
+
+def _shards(around: np.ndarray, order: np.ndarray, fresh: np.ndarray):
+    """Rows of each suffix array: minimisers together, SHARD bytes at most. A minimiser with more is split by the SIDE bytes before it, and again
+    by those behind it: a string of SIZE bytes has all of the one or of the other, so equal strings meet in one of the two."""
+    most = SHARD // REACH
+    for part in _chunks(order, fresh, most):
+        if len(part) <= most:
+            yield part
+            continue
+        for side in (slice(SIZE - GRAM - SIDE, SIZE - GRAM), slice(SIZE, SIZE + SIDE)):
+            key = np.unique(around[part, side], axis=0, return_inverse=True)[1].ravel()
+            within = np.argsort(key, kind="stable")
+            yield from _chunks(part[within], np.flatnonzero(np.r_[True, np.diff(key[within]) > 0]), most)
+
+
 def shard_runs(sent: DataFrame, parts: int) -> DataFrame:
     """kind 0: runs of documents, from the suffix arrays of the shards."""
 
@@ -265,16 +290,10 @@ def shard_runs(sent: DataFrame, parts: int) -> DataFrame:
         gram = mix(words[:, 0] + mix(words[:, 1]))
         order = np.argsort(gram, kind="stable")
         fresh = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]])
-        most, start = SHARD // REACH, 0
-        while start < len(order):
-            later = fresh[fresh > start]
-            fit = later[later <= start + most]
-            end = len(order) if len(order) - start <= most else int(fit[-1]) if len(fit) else int(later[0]) if len(later) else len(order)
-            part = order[start:end]
+        for part in _shards(around, order, fresh):
             of, begin, stop = repeated_runs(around[part], ids[owner[part]])
             of = part[of]
             yield from _to_documents(parts, ids, crcs, owner[of], 0, at[of] - (SIZE - GRAM) + begin, at[of] - (SIZE - GRAM) + stop, 0)
-            start = end
 
     return sent.mapInArrow(found, ROWS)
 
@@ -286,7 +305,7 @@ def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text); with ``keep_text`` also kept, the remaining bytes."""
     spark = docs.sparkSession
     prepare(spark)
-    parts = partitions(spark)
+    parts = partitions(spark, docs)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = docs.where("doc_id is not null")
     found = cut(repeats(index(known, parts), parts))
