@@ -1,7 +1,7 @@
 """Line dedup: exact set-similarity join of lines by prefix, length and position, and removal of later matches.
 
-A line's tokens are its distinct word shingles of ``SHINGLE`` words; with ``short`` a line of fewer words has its whole sequence as its one token. Tokens are ordered by rarity: counts come from a sketch of fixed size over
-all lines; any order that is the same everywhere keeps the join exact, the sketch only makes it cheap. Two lines of x and y tokens that are at
+A line's tokens are its distinct word shingles of ``SHINGLE`` words; a line of fewer words has its whole sequence as its one token. Tokens
+are ordered by rarity: counts come from a sketch of fixed size over all lines; any order that is the same everywhere keeps the join exact, the sketch only makes it cheap. Two lines of x and y tokens that are at
 least 0.75 alike share one of the x - ceil(0.75 x) + 1 rarest of the one and likewise of the other; their lengths and
 the positions of the shared token bound their overlap. What passes is verified on the lines themselves. A line goes if any
 earlier line, by doc_id and line number, matches it, whether that one goes as well or not.
@@ -9,10 +9,10 @@ earlier line, by doc_id and line number, matches it, whether that one goes as we
 Equal lines are folded first, in map tasks and then by a hash of their token set; lines of one token match equal ones only and end there. Of a token that many lines share, only
 pairs with its first line are tried at first; the lines that this leaves unmatched are then tried with all earlier ones.
 
-Defined results: lines with fewer words than a shingle match lines of the same words with ``short``, else they are kept and match nothing; lines
-without words are kept; a null text stays null and has no lines; a document may be left
-with an empty text, which is kept; rows with the same id are told apart by their text, and equal ones lose the same lines; rows
-with a null id are left alone; an empty table gives an empty result; other columns are carried along.
+Defined results: lines with fewer words than a shingle match lines of the same words; lines without words are kept; a null text stays null and
+has no lines; a document may be left with an empty text, which ``dedup`` keeps; rows with the same id are documents of their own, in the order
+of a hash of their text; so repeated rows lose what the first of them keeps; rows with a null id are left alone; an empty table gives an empty
+result; other columns are carried along, but ``dedup`` replaces those named n_lines and n_removed.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import cut, partitions, prepare
+from ._common import NODE, ROW, cut, numbered, partitions, prepare, sealed
 from ._exchange import pack, packed
 from ._rarity import SKETCH, rarity
 from ._words import _ODD, U, mix, word_hashes
@@ -34,8 +34,8 @@ ROWS = "kind int, token long, doc long, line int, n int, at int, other_doc long,
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
 
 
-def shingles(texts: list[bytes], short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line (counted over all texts) and hash of every shingle, with ``short`` also of lines too short for one; and the number of each text's first line."""
+def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line (counted over all texts) and hash of every shingle, or of the words of a line too short for one; and the number of each text's first line."""
     data = b"\n".join(texts)
     start, found = word_hashes(data)
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
@@ -47,7 +47,7 @@ def shingles(texts: list[bytes], short: bool = False) -> tuple[np.ndarray, np.nd
         runs = mix(sum((found[i : size + i] * _ODD[i] for i in range(SHINGLE)), U(0)))
         inside = of[:size] == of[SHINGLE - 1 :]
         lines, runs = of[:size][inside], runs[inside]
-    if short and len(found):
+    if len(found):
         begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         n = np.diff(np.r_[begin, len(of)])
         begin, n = begin[n < SHINGLE], n[n < SHINGLE]
@@ -58,12 +58,12 @@ def shingles(texts: list[bytes], short: bool = False) -> tuple[np.ndarray, np.nd
     return lines, runs, first
 
 
-def line_tokens(texts: list[bytes], counts: np.ndarray | None = None, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_tokens(texts: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number and line number of each line that has tokens; line (its place in these) and hash of each distinct token, by line.
 
     Tokens of a line are in the order of their hashes, or with ``counts`` of rarity and then of their hashes.
     """
-    of, runs, first = shingles(texts, short)
+    of, runs, first = shingles(texts)
     if not len(of):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     key = runs if counts is None else counts[(runs & U(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << U(56) | runs >> U(8)
@@ -80,7 +80,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return rarity(docs, lambda batches: (shingles(texts)[1] for _, texts in blocks(batches)))
 
 
-def index(docs: DataFrame, counts: np.ndarray, parts: int, short: bool = False) -> DataFrame:
+def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
     """Prefix tokens (kind 0) and set hashes (kind 1) of the lines, each set once for each block, and what equals a line of its block (kind 2)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # SKETCH bytes
 
@@ -91,7 +91,7 @@ def index(docs: DataFrame, counts: np.ndarray, parts: int, short: bool = False)
     def indexed(batches):
         counts = shared.value
         for ids, texts in blocks(batches):
-            text, number, line, token = line_tokens(texts, counts, short)
+            text, number, line, token = line_tokens(texts, counts)
             if not len(text):
                 continue
             ids = np.array(ids, np.int64)
@@ -220,12 +220,12 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     return spread.sortWithinPartitions("hub_doc", "hub_line", "salt", own_last).mapInArrow(compared, "doc long, line int")
 
 
-def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """doc, line (from 0): every line that an earlier one matches, with ``short`` also of lines with fewer words than a shingle. ``docs``: doc_id, text."""
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc, line (from 0): every line that an earlier one matches. ``docs``: doc_id, each once, and text."""
     prepare(docs.sparkSession)
-    parts = partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession, docs)
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    found = cut(candidates(index(docs, sketch(docs), parts, short)))
+    found = cut(candidates(index(docs, sketch(docs), parts)))
     equal = found.where("kind = 0").select("doc", "line")
     pairs = found.where("kind = 1").select("doc", "line", "other_doc", "other_line").distinct()
     pairs = cut(pairs.join(equal.distinct(), ["doc", "line"], "left_anti"))
@@ -240,17 +240,27 @@ def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     return cut(matched.unionByName(verify(docs, more, parts)).distinct()) if more.limit(1).count() else matched
 
 
-def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``docs`` with the lines (doc, line) removed from its text, and n_lines, n_removed."""
-    gone = lines.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list("line")).alias("_gone"))
-    all_lines = F.split("text", "\n", -1)
-    rows = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").withColumn("_lines", all_lines)
-    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)), "\n"))
-    sizes = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    kept = [c for c in docs.columns if c not in (*sizes, "text")]
-    return rows.select(*kept, left.alias("text"), *(v.alias(k) for k, v in sizes.items()))
+def without_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``ROW``, text, n_lines and n_removed of ``rows`` (NODE, text, ROW), with the lines (doc, line) removed from the text."""
+    gone = lines.groupBy(F.col("doc").alias(NODE)).agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    rows = rows.join(gone.hint("shuffle_hash"), NODE, "left").withColumn("lines", F.split("text", "\n", -1))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i)), "\n")
+    count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
+    return rows.select(ROW, F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"), count("lines").alias("n_lines"), count("gone").alias("n_removed"))
 
 
-def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
+def _deduplicated(docs: DataFrame) -> DataFrame:
+    rows = numbered(sealed(docs))[0]
+    return without_lines(rows, repeated_lines(rows.select(F.col(NODE).alias("doc_id"), "text")))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) without repeated lines, and n_lines, n_removed."""
-    return without_lines(docs, repeated_lines(docs, short))
+    kept = [F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
+    return _deduplicated(docs).select(*kept, "text", "n_lines", "n_removed")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...), all columns, without repeated lines; a row that has lost its last line with a word goes."""
+    found = _deduplicated(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return found.select(*(F.col("text") if c == "text" else F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns))
