@@ -4,15 +4,16 @@ Sizes are split into bands [2^k, 2^(k+1)). In a band, hashing splits the univers
 at most H = (|r| + |s|) / 7 shingles, so of any H + 1 segments one holds the same shingles in both; a doubled segment, matched
 also by its one-deletion neighbourhood, counts for two. A set goes into its own band, and into the next one where partners can be that large.
 m is half again as large as H + 1 needs, which leaves slack: allocation gives no weight to the costly segments,
-empty ones and ones that more than FEW sets share, and the small bands double segments. A set that
-can't be allocated enough weight is compared with all of its band; one whose cheap segments are too few is ``heavy``.
+empty ones and ones that more than FEW sets share, and the small bands double segments. A small set that
+can't be allocated enough weight is looked up by the shingles of least hash, at one of which any partner meets it; of LONE shingles and more such
+a set hardly ever occurs, and then all sets of such sizes are joined by their rarest shingles. A set whose cheap segments are too few is ``heavy``.
 
 Candidates of a segment that few sets share are all pairs; of one that many share, pairs with its smallest id. What heavy
 sets share beyond that is tried once more across the components found so far, by their rarest shingles: what makes segments
 hot, passages that many documents share, is left out of these prefixes. Every candidate is verified on the sets themselves. Map tasks fold equal sets first; signatures travel packed; sets with many partners are salted.
 
 Defined results: texts without a word have an empty set and no links; a null id is carried with a null component; rows with the
-same id count as linked; equal texts are linked; an empty table gives an empty result; other columns are ignored.
+same id are documents of their own, told apart by their text; equal texts are linked; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import cut, partitions, prepare
+from ._common import NODE, ROW, cut, numbered, opened, partitions, prepare, sealed
 from ._components import components
 from ._exchange import dealt, pack, packed
 from ._rarity import SKETCH, rarity
@@ -31,7 +32,8 @@ SHINGLE = 5
 FEW = 8  # sets that share a segment and are compared pair by pair
 SLACK = 1.5
 DOUBLED = 5  # the highest band whose segments have one-deletion neighbourhoods
-ROSTERS = 64
+LONE = 16  # shingles
+SALTS = 256  # parts that the partners of a set are split into
 BATCH_BYTES, BATCH_DOCS = 8 << 20, 60_000
 FOUND = "kind int, a long, b long, n int, slack int, need int"
 
@@ -126,11 +128,11 @@ def index(docs: DataFrame, parts: int) -> DataFrame:
             ids, sizes = np.array([i for i, _ in waiting], np.int64), np.array([len(s) for s in sets], np.int64)
             sig, owner, slack, need = signatures(sets)
             yield from _pack(parts, sig, owner, ids, sizes, 0)
-            bands = [(k, band) for k, n in enumerate(sizes.tolist()) for band, _ in instances(n)]
-            roster = np.array([[k, band * ROSTERS + int(ids[k]) % ROSTERS] for k, band in bands], np.int64).reshape(-1, 2)
-            yield from _pack(parts, mix(roster[:, 1].astype(np.uint64)), roster[:, 0], ids, sizes, 1)
-            brute = np.array([[k, band * ROSTERS + r] for k, band in bands if slack[k] < 0 for r in range(ROSTERS)], np.int64).reshape(-1, 2)
-            yield from _pack(parts, mix(brute[:, 1].astype(np.uint64)), brute[:, 0], ids, sizes, 2)
+            for kind, some in ((1, sizes < 4 * LONE // 3), (2, (slack < 0) & (sizes < LONE))):
+                some = np.flatnonzero(some & (sizes > 0)).tolist()
+                least = [sets[k][: len(sets[k]) - (3 * len(sets[k]) + 3) // 4 + 1] for k in some]
+                if some:
+                    yield from _pack(parts, mix(np.concatenate(least) ^ U(0x10E5)), np.repeat(some, [len(x) for x in least]), ids, sizes, kind)
             at = {int(i): (int(s), int(x)) for i, s, x in zip(ids, slack, need, strict=True)}
             info = np.array([[d, r, n, *at.get(d, (0, 1))] for d, r, n in about], np.int64).reshape(-1, 5)
             if len(info):
@@ -159,7 +161,7 @@ def index(docs: DataFrame, parts: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return dealt(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(indexed, "to int, blob binary"), parts)
+    return dealt(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(indexed, "to int, blob binary"), parts)
 
 
 def candidates(dealt_out: DataFrame) -> DataFrame:
@@ -167,7 +169,7 @@ def candidates(dealt_out: DataFrame) -> DataFrame:
 
     def found(batches):
         table: dict[str, list] = {"ids": [], "n": [], "sig": [], "set": []}
-        special: dict[int, dict[int, list]] = {1: {}, 2: {}}
+        small: dict[int, list] = {1: [], 2: []}
         base = 0
         for batch in batches:
             for to, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -181,8 +183,7 @@ def candidates(dealt_out: DataFrame) -> DataFrame:
                 low, high, place = np.frombuffer(blob, np.uint32, n, at), np.frombuffer(blob, np.uint8, n, at + 4 * n), np.frombuffer(blob, np.uint16, n, at + 5 * n)
                 sig = low.astype(np.int64) | high.astype(np.int64) << 32
                 if kind:
-                    for s, p in zip(sig.tolist(), place.tolist(), strict=True):
-                        special[kind].setdefault(s, []).append((int(ids[p]), int(sizes[p])))
+                    small[kind].append((sig, ids[place], sizes[place].astype(np.int64)))
                     continue
                 table["ids"].append(ids)
                 table["n"].append(sizes)
@@ -190,9 +191,8 @@ def candidates(dealt_out: DataFrame) -> DataFrame:
                 table["set"].append(place.astype(np.int32) + base)
                 base += k
                 part = to
-        for s, lone in special[2].items():
-            pairs = np.array([(a, b) for a, n in lone for b, o in special[1].get(s, ()) if a != b and 4 * min(n, o) >= 3 * max(n, o)], np.int64).reshape(-1, 2)
-            yield _found(1, pairs.min(axis=1), pairs.max(axis=1), np.full(len(pairs), 1 << 20)) if len(pairs) else None
+        yield from _looked_up(*([np.concatenate(x) for x in zip(*small[kind], strict=True)] for kind in (1, 2))) if small[2] else ()
+        small.clear()
         if not base:
             return
         ids, n, sig, sets = (np.concatenate(table.pop(k)) for k in ("ids", "n", "sig", "set"))
@@ -231,6 +231,21 @@ def candidates(dealt_out: DataFrame) -> DataFrame:
     return dealt_out.mapInArrow(batched, FOUND)
 
 
+def _looked_up(known: list[np.ndarray], asked: list[np.ndarray]):
+    """Pairs of the sets ``asked`` with those ``known`` (each: signature, id, size) at a signature, if their sizes allow a link."""
+    order = np.argsort(known[0], kind="stable")
+    sig, ids, sizes = (x[order] for x in known)
+    first, last = np.searchsorted(sig, asked[0]), np.searchsorted(sig, asked[0], side="right")
+    for some in np.array_split(np.arange(len(first)), max(1, int((last - first).sum()) // 2_000_000 + 1)):
+        n = (last - first)[some]
+        a = np.repeat(some, n)
+        b = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        near = (asked[1][a] != ids[b]) & (4 * np.minimum(asked[2][a], sizes[b]) >= 3 * np.maximum(asked[2][a], sizes[b]))
+        pairs = np.unique(np.sort(np.c_[asked[1][a[near]], ids[b[near]]], axis=1), axis=0)
+        if len(pairs):
+            yield _found(1, pairs[:, 0], pairs[:, 1], np.full(len(pairs), 1 << 20))
+
+
 def _found(kind: int, a, b, *more) -> pa.RecordBatch:
     zero = np.zeros(len(a), np.int32)
     columns = [zero + kind, a, b, *more, *[zero] * (3 - len(more))]
@@ -309,8 +324,7 @@ def prefix_pairs(sets: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
 
 def verify(docs: DataFrame, pairs: DataFrame, parts: int, kept: str = "text") -> DataFrame:
     """The pairs (a, b) whose sets are at least 0.75 alike. ``docs`` has their texts, or as ``own`` their sets. The text of a document is shuffled once, its set once for each partner; a with many partners is salted."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("salts"))
-    salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("salts")).cast("int"))
+    salted = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)).cast("int"))  # at most one more copy of the set of a for each partner
     wanted = salted.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), "salt").unionByName(salted.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), "salt").distinct())
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("hub").alias("hubs"), F.collect_list("salt").alias("salts"))
     texts = docs.select(F.col("doc_id").cast("long"), kept).join(wanted.hint("shuffle_hash"), "doc_id")
@@ -346,10 +360,10 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int, kept: str = "text") ->
     return spread.sortWithinPartitions("hub", "salt", F.col("doc") != F.col("hub"), "doc").mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, not null and each once, and text)."""
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(spark, docs)
     found = cut(candidates(index(docs, parts)))
     about = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("equal"), F.col("n").alias("n_shingles"), "slack", "need")
     hot = found.where("kind = 2").select(F.col("a").alias("segment"), F.col("b").alias("id"), F.col("n").alias("size"))
@@ -360,25 +374,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
     for side in ("a", "b"):
         pairs = pairs.join(limits.select(F.col("doc_id").alias(side), F.col("need").alias(f"need_{side}")), side)
-    pairs = cut(pairs.where("n >= need_a and n >= need_b").select("a", "b"))
+    pairs = pairs.where("n >= need_a and n >= need_b").select("a", "b")
+    lone = about.where(f"slack < 0 and n_shingles >= {LONE}").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")).first()
+    if lone["lo"] is not None:
+        some = about.where((4 * F.col("n_shingles") >= 3 * lone["lo"]) & (3 * F.col("n_shingles") <= 4 * lone["hi"])).select("doc_id", F.col("doc_id").alias("component"))
+        sets = cut(heavy_sets(docs, some))
+        pairs = pairs.unionByName(prefix_pairs(sets, rarity(sets, set_hashes), parts)).distinct()
+    pairs = cut(pairs)
     links = cut(about.where("equal <> doc_id").select(F.col("doc_id").alias("a"), F.col("equal").alias("b")).unionByName(verify(docs, pairs, parts)))
-    joined = components(links)
-    heavy = cut(limits.where("heavy").select(F.col("doc_id").alias("id")).join(joined, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("component")))
+    classes = components(links)
+    heavy = cut(limits.where("heavy").select(F.col("doc_id").alias("id")).join(classes, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("component")))
     if heavy.limit(1).count():
         sets = cut(heavy_sets(docs, heavy))
         more = prefix_pairs(sets, rarity(sets, set_hashes), parts).distinct().join(pairs, ["a", "b"], "left_anti")
         more = cut(verify(sets.select("doc_id", "own"), cut(more), parts, "own"))
         if more.limit(1).count():
-            joined = components(links.unionByName(more))
-    out = about.select("doc_id", F.col("n_shingles").cast("long")).join(joined, F.col("doc_id") == F.col("id"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    lost = docs.where("doc_id is null")
-    return out.unionByName(lost.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+            classes = components(links.unionByName(more))
+    out = about.select("doc_id", F.col("n_shingles").cast("long")).join(classes, F.col("doc_id") == F.col("id"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    rows, repeated = numbered(docs.select("doc_id", "text"))
+    known = rows.where(f"{NODE} is not null")
+    found = joined(known.select(F.col(NODE).alias("doc_id"), "text"))
+    if repeated:  # numbers are in the order of ids, so the smallest number of a component has its smallest id
+        ids = known.select(F.col(NODE).alias("node"), F.col("doc_id").alias("id"))
+        found = found.join(ids, F.col("doc_id") == F.col("node")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+        found = found.join(ids, F.col("component_id") == F.col("node")).select("doc_id", "n_shingles", F.col("id").alias("component_id"))
+    none = F.lit(None).cast("long")
+    return found.unionByName(rows.where(f"{NODE} is null").select(none.alias("doc_id"), none.alias("n_shingles"), none.alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of ``docs`` (doc_id, text, ...) with the smallest id of each component; rows that share an id are one document; null ids stay."""
-    found = near_duplicates(docs)
-    kept = cut(found.where("doc_id = component_id").select("doc_id").distinct())
-    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The first row of ``docs`` (doc_id, text, ...) of each component, all columns: that of the smallest id, of those the one of the least hash of its text; null ids stay."""
+    rows, _ = numbered(sealed(docs))
+    found = joined(rows.where(f"{NODE} is not null").select(F.col(NODE).alias("doc_id"), "text"))
+    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias(NODE)))
+    return opened(rows.join(kept, NODE, "left_semi").select(ROW).unionByName(rows.where(f"{NODE} is null").select(ROW)))
