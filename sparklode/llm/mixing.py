@@ -1,16 +1,21 @@
 """Soft-membership mixing of a corpus to target domain weights, in DataFrame operations only.
 
-A naive Bayes classifier over a few shape measures of the whole text learns domains from a labelled table by grouped counts (a
-table of MEASURES x BINS x domains numbers, whatever the corpus) and gives every document a posterior over domains. A document
-of n tokens and posterior p, taken at rate x, is expected to add x n p[k] tokens to domain k. Rates between ``lo`` and ``hi`` are
+A naive Bayes classifier learns domains from a labelled table by grouped counts and gives every document a posterior over domains. Its
+measures are the evidence of the words (by their first STEM letters) for each domain, the sum of their log odds over the whole text, and five measures of the text's
+shape, each in BINS bins. Words that tell domains apart are chosen from counts of the documents of one half of the labels; the bins are
+counted over all documents of the other half, so the evidence of words is never judged by the documents that it came from. What is collected
+is WORDS words and a table of measures x BINS x domains, whatever the corpus.
+
+A document of n tokens and posterior p, taken at rate x, is expected to add x n p[k] tokens to domain k. Rates between ``lo`` and ``hi`` are
 the bounded least squares solution for these totals against the targets: with G = sum(n p p') they make residual' G^-1 residual least, and
-of all rates that do, up to a RIDGE, those nearest to 1. Such rates are clip(1 - p . s) for one vector s, a number for each domain, which
-Newton steps on the dual find: each sums totals, curvature and objective over all documents (one small row). So a rate is an
-expression over the row: none is ever stored or shuffled.
+of all rates that do, up to a RIDGE, those nearest to 1. Such rates are clip(1 - p . s) for one vector s, a number for each domain: the
+projection to the bounds of a point that s moves. Newton steps on the dual find s; each sums totals, curvature and objective over all
+documents (one small row). So a rate is an expression over the row: none is ever stored or shuffled.
 
 Defined results: null and empty texts have one token; documents without a label are scored like all others; without a label
-that has a target every rate is 1; targets for domains that no label has are left out and the rest scaled up; domains
-with labels but no target aim at weight 0; repeated rows are documents of their own; other columns are kept or ignored.
+that has a target every rate is 1; targets for domains that no label has are left out and the rest scaled up; domains with
+labels but no target are one domain, ``OTHER``, that aims at weight 0; repeated rows are documents of their own; other columns are carried
+along by ``mix``, but for those named as its own.
 """
 
 from __future__ import annotations
@@ -20,13 +25,17 @@ import logging
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import cut
+from ._common import ROW, cut, opened, sealed
 
 BINS = 32
 STEPS, CLOSE = 200, 1e-6  # most Newton steps; relative gradient of the dual at which they end
 RIDGES = (1e-3, 1e-5)  # weights of the distance from 1, each solution the start of the next
 HALVINGS = 12  # shorter steps that are tried where a whole one does not lower the dual
-MOST_DOMAINS = 16
+WORDS, SLOTS = 1024, 4096  # words that the evidence comes from, and places in the table that they are looked up in
+STEM, BREAKS = 5, "\n\t\r.,!?"  # characters of a word that count, and what ends a word besides a space
+LEAST_DOCUMENTS, SURPRISE = 4, 5.0  # of a word that is chosen: documents with it, and standard deviations from what a domain's size lets expect
+PRIOR = 2.0  # documents that a word's share of the whole table counts for in its share of a domain
+OTHER = "other"
 SPACES, SYMBOLS = " \n\t", "#$%&*"
 
 
@@ -58,40 +67,94 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-MEASURES = [f"_m{i}" for i in range(5)]
+SHAPES = [f"_m{i}" for i in range(5)]
+
+
+def stems(text: Column) -> Column:
+    """Hash of the first STEM characters of each lower-case word of a text, and of the empty string where spaces or punctuation meet."""
+    text = F.lower(F.coalesce(text, F.lit("")))
+    for mark in BREAKS:
+        text = F.replace(text, F.lit(mark), F.lit(" "))
+    return F.transform(F.split(text, " "), lambda w: F.xxhash64(F.substring(w, 1, STEM)))
 
 
-def learn(measured: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Domains, log priors and log likelihoods [measure, bin, domain]; ``measured`` has doc_id and bins, ``labelled`` doc_id and domain."""
-    labelled = labelled.where("doc_id is not null and domain is not null").select("doc_id", "domain").dropDuplicates(["doc_id"])
+def learn_words(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The table of the words that tell domains apart: hash in each slot (0 if free) and log odds [slot, domain]; None without any.
+
+    ``docs`` has doc_id and text, ``labelled`` doc_id and domain. A word counts once for a document.
+    """
+    hashes = F.explode(F.array_distinct(stems(F.col("text"))))
+    known = docs.select("doc_id", "text").join(labelled, "doc_id")
+    sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # domains with a target, and OTHER
+    sizes = np.array([sizes.get(d, 0) for d in domains], float)
+    if np.count_nonzero(sizes) < 2:
+        return None
+    total = sizes.sum()
+    each = [F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)]
+    counts = known.select("domain", hashes.alias("word")).groupBy("word").agg(F.count("*").alias("n"), *each).where(F.col("n") >= LEAST_DOCUMENTS)
+    surprise = [F.abs(F.col(f"n{k}") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1) for k, share in enumerate((sizes / total).tolist())]
+    best = counts.withColumn("surprise", F.greatest(*surprise)).where(F.col("surprise") >= SURPRISE).orderBy(F.desc("surprise"), "word").limit(WORDS).collect()
+    table, odds = np.zeros(SLOTS, np.int64), np.zeros((SLOTS, len(domains)))
+    for r in best:
+        if not table[slot := r["word"] % SLOTS]:  # of words with the same slot the most surprising one stays
+            share = r["n"] / total
+            table[slot] = r["word"]
+            odds[slot] = [np.log((r[f"n{k}"] + PRIOR * share) / (size + PRIOR) / share) for k, size in enumerate(sizes)]
+    return table, odds.round(3)
+
+
+def constants(values: np.ndarray, kind: str) -> Column:
+    """An array that the optimizer folds into one constant."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
+
+
+def with_bins(rows: DataFrame, learned: tuple[np.ndarray, np.ndarray] | None) -> tuple[DataFrame, list[str]]:
+    """``rows`` (text, ...) without text, with tokens and the bins of all measures; and the names of these. Words are looked up once for all domains."""
+    kept = [c for c in rows.columns if c != "text"]
+    bins = measures(F.col("text"))
+    if learned is not None:
+        table, odds = learned
+        slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
+        rows = rows.withColumn("_hits", F.filter(stems(F.col("text")), lambda h: F.get(constants(table, "bigint"), slot(h)) == h))
+        total = lambda k: F.aggregate("_hits", F.lit(0.0), lambda t, h: t + F.get(constants(odds[:, k], "double"), slot(h)))
+        bins |= {f"_w{k}": F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(total(k)) + BINS // 2)).cast("int") for k in range(odds.shape[1])}
+    return rows.select(*kept, *(c.alias(k) for k, c in bins.items())), [c for c in bins if c != "tokens"]
+
+
+def learn(measured: DataFrame, labelled: DataFrame, domains: list[str], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log priors and log likelihoods [measure, bin, domain]; ``measured`` has doc_id and the bins ``names``, ``labelled`` doc_id, domain and half.
+
+    Priors and shapes are counted over all labelled documents, the evidence of words over those of half 1.
+    """
     known = measured.join(labelled, "doc_id")
-    rows = known.select("domain", F.posexplode(F.array(*MEASURES)).alias("measure", "bin")).groupBy("domain", "measure", "bin").agg(F.count("*").alias("n")).collect()  # at most domains x 5 x 32 rows
-    sizes: dict[str, int] = {}
+    rows = known.select("domain", "half", F.posexplode(F.array(*names)).alias("measure", "bin")).groupBy("domain", "half", "measure", "bin").agg(F.count("*").alias("n")).collect()  # at most domains x measures x 64 rows
+    counts, sizes = np.full((len(names), BINS, len(domains)), 0.5), np.zeros(len(domains))
     for r in rows:
         if r["measure"] == 0:
-            sizes[r["domain"]] = sizes.get(r["domain"], 0) + r["n"]
-    domains = sorted(sizes, key=lambda d: (d not in targets, -sizes[d], d))[:MOST_DOMAINS]
-    counts = np.full((len(MEASURES), BINS, len(domains)), 0.5)
-    for r in rows:
-        if r["domain"] in domains:
+            sizes[domains.index(r["domain"])] += r["n"]
+        if r["measure"] < len(SHAPES) or r["half"] == 1:
             counts[r["measure"], r["bin"], domains.index(r["domain"])] += r["n"]
-    return domains, np.log(np.array([sizes[d] for d in domains], float)), np.log(counts / counts.sum(axis=1, keepdims=True))
+    return np.log(np.maximum(sizes, 0.5)), np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def posterior(priors: np.ndarray, likelihoods: np.ndarray) -> list[Column]:
+def posterior(priors: np.ndarray, likelihoods: np.ndarray, names: list[str]) -> list[Column]:
     """Posterior of each domain, from the bins of a row."""
     logs = []
     for k in range(len(priors)):
         total = F.lit(float(priors[k]))
-        for m, name in enumerate(MEASURES):
-            total = total + F.element_at(F.array(*(F.lit(round(float(v), 6)) for v in likelihoods[m, :, k])), F.col(name) + 1)
+        for m, name in enumerate(names):
+            total = total + F.get(constants(likelihoods[m, :, k].round(6), "double"), F.col(name))
         logs.append(total)
     return logs
 
 
+def clipped(d: Column, lo: float, hi: float) -> Column:
+    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.lit(1.0) - d))
+
+
 def rate(posteriors: list[Column], shift: np.ndarray, lo: float, hi: float) -> Column:
     """clip(1 - p . shift)."""
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.lit(1.0) - dot(posteriors, shift)))
+    return clipped(dot(posteriors, shift), lo, hi)
 
 
 def dot(posteriors: list[Column], shift: np.ndarray) -> Column:
@@ -117,18 +180,20 @@ def fit_rates(state: DataFrame, names: list[str], aims: np.ndarray, lo: float, h
     n, aims = n / size, aims / size
     gram = square(state.agg(*(F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first(), "g")
 
-    def dual(shift: np.ndarray) -> Column:
-        x = rate(p, shift, lo, hi)
-        return F.sum(-n * ((x - 1.0) * (x - 1.0) / 2 + x * dot(p, shift)))
+    def dual(d: Column) -> Column:
+        """Of the documents' part of the dual at a shift, from p . shift."""
+        x = clipped(d, lo, hi)
+        return F.sum(-n * ((x - 1.0) * (x - 1.0) / 2 + x * d))
 
     def value(total: float | None, shift: np.ndarray, ridge: float) -> float:
         return (total or 0.0) + aims @ shift + ridge / 2 * shift @ gram @ shift
 
     def at(shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Totals, the sum of n p p' over documents whose rate is within its bounds, and the documents' part of the dual."""
-        x = 1.0 - dot(p, shift)
-        free = (x > lo) & (x < hi)
-        row = state.agg(*(F.sum(n * p[i] * rate(p, shift, lo, hi)).alias(f"t{i}") for i in range(k)), *(F.sum(F.when(free, n * p[i] * p[j])).alias(f"g{i}_{j}") for i, j in pairs), dual(shift).alias("d")).first()
+        d = F.col("_d")
+        x, free = clipped(d, lo, hi), (1.0 - d > lo) & (1.0 - d < hi)
+        rows = state.withColumn("_d", dot(p, shift)).withColumns({"_x": x, "_free": free})
+        row = rows.agg(*(F.sum(n * p[i] * F.col("_x")).alias(f"t{i}") for i in range(k)), *(F.sum(F.when(F.col("_free"), n * p[i] * p[j])).alias(f"g{i}_{j}") for i, j in pairs), dual(d).alias("d")).first()
         return np.array([row[f"t{i}"] or 0.0 for i in range(k)]), square(row, "g"), row["d"]
 
     shift, left = np.zeros(k), STEPS
@@ -144,7 +209,7 @@ def fit_rates(state: DataFrame, names: list[str], aims: np.ndarray, lo: float, h
             now = at(further)
             if value(now[2], further, ridge) >= before:
                 shorter = [shift + step / 2**h for h in range(1, HALVINGS)]
-                row = state.agg(*(dual(x).alias(f"d{m}") for m, x in enumerate(shorter))).first()
+                row = state.agg(*(dual(dot(p, x)).alias(f"d{m}") for m, x in enumerate(shorter))).first()
                 values = [value(row[f"d{m}"], x, ridge) for m, x in enumerate(shorter)]
                 if min(values) >= before - 1e-14 * max(1.0, abs(before)):
                     break  # as near as double precision goes
@@ -157,47 +222,75 @@ def fit_rates(state: DataFrame, names: list[str], aims: np.ndarray, lo: float, h
     return shift
 
 
+def folded(labelled: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, list[str]]:
+    """doc_id, domain, half of each labelled document, domains without a target as one; and the domains that there are."""
+    other = OTHER
+    while other in targets:
+        other += "_"
+    domain = F.when(F.col("domain").isin(list(targets)), F.col("domain")).otherwise(other)
+    known = labelled.where("doc_id is not null and domain is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
+    known = known.select("doc_id", domain.alias("domain"), (F.xxhash64("doc_id", F.lit(3)).bitwiseAND(F.lit(1))).cast("int").alias("half"))
+    there = {r["domain"] for r in known.select("domain").distinct().collect()}  # domains with a target, and OTHER
+    return known, [d for d in [*sorted(targets), other] if d in there]
+
+
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0) -> DataFrame:
     """doc_id, tokens, domain, posterior, rate, copies of every row of ``docs`` (doc_id, text), as ``mix``, from one pass over the texts."""
-    return mix(docs.select("doc_id", "text"), labelled, targets, lo, hi, budget, keep=False)
+    return _mixed(docs.select("doc_id", "text"), labelled, targets, lo, hi, budget).select("doc_id", *OWN)
+
+
+OWN = ["tokens", "domain", "posterior", "rate", "copies"]
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0, keep: bool = True) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, ...), or doc_id alone, with tokens, domain, posterior (of that domain), rate and copies.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, ...) but those named as the new ones: tokens, domain, posterior (of that domain), rate, copies.
 
     ``targets``: weight of each domain in the expected tokens; their sum is ``budget`` times all tokens. copies is the rate rounded up or down
     by a hash of the id, so that its mean is the rate.
     """
-    bins = measures(F.col("text"))
-    measured = cut(docs.select("doc_id", *(c.alias(k) for k, c in bins.items())))
-    domains, priors, likelihoods = learn(measured, labelled, targets)
+    kept = [F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns if c.lower() not in OWN]
+    return _mixed(sealed(docs), labelled, targets, lo, hi, budget).select(*kept, *OWN)
+
+
+def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...), all columns, each as often as its copies say."""
+    rows = _mixed(sealed(docs), labelled, targets, lo, hi, budget).where("copies > 0")
+    return opened(rows.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))))
+
+
+def _mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float, hi: float, budget: float) -> DataFrame:
+    """``docs`` (doc_id, text, and ROW or not) with the columns OWN, without ROW in one pass over the texts after learning."""
+    known, domains = folded(labelled, targets)
     weight = sum(targets.get(d, 0.0) for d in domains)
-    kept = [c for c in docs.columns if c not in ("tokens", "domain", "posterior", "rate", "copies")] if keep else ["doc_id"]
     if not weight:
-        flat = docs.select(*kept).withColumn("tokens", bins["tokens"])
+        flat = docs.withColumn("tokens", measures(F.col("text"))["tokens"])
         return flat.withColumns({"domain": F.lit(None).cast("string"), "posterior": F.lit(0.0), "rate": F.lit(1.0), "copies": F.lit(1).cast("long")})
+    known = cut(known)
+    learned = learn_words(docs, known.where("half = 0").select("doc_id", "domain"), domains)
+    measured, bin_names = with_bins(docs.select("doc_id", "text"), learned)
+    measured = cut(measured)
+    priors, likelihoods = learn(measured, known, domains, bin_names)
     names = [f"_p{k}" for k in range(len(domains))]
 
     def with_posteriors(rows: DataFrame) -> DataFrame:
         logs = [f"_l{k}" for k in range(len(domains))]
-        rows = rows.withColumns(dict(zip(logs, posterior(priors, likelihoods), strict=True)))
+        rows = rows.withColumns(dict(zip(logs, posterior(priors, likelihoods, bin_names), strict=True)))
         top = F.greatest(*logs) if len(logs) > 1 else F.col(logs[0])
         rows = rows.withColumns({c: F.exp(F.col(g) - top) for c, g in zip(names, logs, strict=True)})
         total = sum((F.col(c) for c in names), F.lit(0.0))
         return rows.withColumns({c: F.col(c) / total for c in names}).drop(*logs)
 
     # Rows of equal bins have equal posteriors and so equal rates: the steps work on their sums.
-    state = cut(with_posteriors(measured.groupBy(*MEASURES).agg(F.sum("tokens").alias("tokens"))).select("tokens", *names))
+    state = cut(with_posteriors(measured.groupBy(*bin_names).agg(F.sum("tokens").alias("tokens"))).select("tokens", *names))
     tokens = state.agg(F.sum("tokens").alias("n")).first()["n"] or 0.0
     aims = np.array([targets.get(d, 0.0) / weight for d in domains]) * tokens * budget
     shift = fit_rates(state, names, aims, lo, hi)
     top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
     domain = F.coalesce(*(F.when(F.col(c) == top, F.lit(d)) for c, d in zip(names, domains, strict=True)))
-    rows = docs.select(*kept).withColumns(bins) if keep else measured
+    rows = with_bins(docs, learned)[0] if ROW in docs.columns else measured
     rows = with_posteriors(rows).withColumns({"domain": domain, "posterior": top, "rate": rate([F.col(c) for c in names], shift, lo, hi)})
     even = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    copies = F.floor("rate") + F.when(even < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("long")).select(*kept, "tokens", "domain", "posterior", "rate", "copies")
+    return rows.withColumn("copies", (F.floor("rate") + F.when(even < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
