@@ -173,7 +173,7 @@ def align(media: DataFrame, queries) -> DataFrame:
     n_matches, best_id, best_offset, best_error. Matches are the other recordings of its class and those of classes that align with it.
     """
     spark = media.sparkSession
-    parts = partitions(spark)
+    parts = partitions(spark, media)
     prints = cut(fingerprinted(media).withColumn("asked", F.coalesce(queries, F.lit(False))))
     key = F.sha2("fingerprint", 256)
     classes = prints.groupBy(key.alias("key")).agg(F.min("id").alias("class_id"), F.count("*").alias("size"), F.max("asked").alias("asked"), F.first("fingerprint").alias("fingerprint"), F.sort_array(F.array(F.min("id"), F.max("id"))).alias("ends"))
