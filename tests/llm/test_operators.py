@@ -105,46 +105,69 @@ def test_ngram_join_of_large_groups_and_null_ids(spark):
     assert [(r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None] == [(None, None)]
 
 
-def test_one_of_each(docs, rows):
+def test_one_of_each(spark, docs, rows):
     want = {i for i, (_, c) in brute_components({i: t for i, t, *_ in rows}).items() if i == c}
     got = ngram_join.one_of_each(docs)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(want)
-
-
-def test_line_dedup(docs, rows, empty):
-    earlier, want = [], {}
-    for i, t, *_ in sorted(rows):
+    texts = [prose(random.Random(k), 40) for k in range(3)]
+    given = spark.createDataFrame([(5, texts[0], 1), (5, texts[1], 2), (5, texts[1], 2), (6, texts[1], 3), (4, texts[2], 4), (None, texts[2], 5), (5, None, 6), (None, None, 7)], "doc_id long, text string, Doc int")
+    for n in (1, 3):
+        assert sorted((r["Doc"] for r in ngram_join.one_of_each(given.repartition(n)).collect())) == [1, 2, 4, 5, 6, 7]
+    found = sorted((r["doc_id"] or 0, r["n_shingles"] or 0, r["component_id"] or 0) for r in ngram_join.near_duplicates(given).collect())
+    n = [len(shingles(t)) for t in texts]
+    assert found == sorted([(5, n[0], 5), (5, n[1], 5), (5, n[1], 5), (6, n[1], 5), (4, n[2], 4), (0, 0, 0), (5, 0, 5), (0, 0, 0)])
+
+
+def test_ngram_join_of_sets_whose_segments_are_too_few(spark):
+    """Sets that can't be allocated enough segments meet their partners by their shingles."""
+    from sparklode.llm._words import shingle_sets
+
+    r = random.Random(17)
+    texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(11)) for _ in range(40_000)]
+    slack = ngram_join.signatures(shingle_sets([t.encode() for t in texts]))[2]
+    lone = [texts[k] for k in np.flatnonzero(slack < 0)]
+    assert lone
+    rows = list(enumerate([*lone, *(f"{t} more" for t in lone), *(t.split(" ", 1)[1] for t in lone), *texts[:200]]))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(dict(rows))
+
+
+def brute_lines(rows):
+    """Text and number of removed lines of each (doc_id, text), in that order."""
+    earlier, out = [], []
+    for _, t in rows:
         kept, gone = [], 0
         for line in (t or "").split("\n"):
-            own = shingles(line) if len(lowered_words(line)) >= 5 else set()
+            own = shingles(line)
             if any(alike(own, e) for e in earlier):
                 gone += 1
             else:
                 kept.append(line)
             earlier.append(own) if own else None
-        want[i] = (None if t is None else "\n".join(kept), gone)
-    got = line_dedup.dedup(docs)
-    assert got.columns[:1] == ["doc_id"] and {"range", "tokens", "place"} <= set(got.columns)
-    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got.collect()} == want
-    assert line_dedup.dedup(empty).count() == 0
+        out.append((None if t is None else "\n".join(kept), gone))
+    return out
 
 
-def test_line_dedup_of_short_lines(spark, docs, rows):
+def test_line_dedup(spark, docs, rows, empty):
     more = [(9000 + i, f"Read more\nown line number {i} of page nine thousand\n\n \nshare  this\tPAGE", *rows[0][2:]) for i in range(30)] + [(9100, "read MORE\nread more now\nmore read\nread", *rows[0][2:])]
-    earlier, want = [], {}
-    for i, t, *_ in sorted(rows + more):
-        kept, gone = [], 0
-        for line in (t or "").split("\n"):
-            own = shingles(line)
-            if any(alike(own, e) for e in earlier):
-                gone += 1
-            else:
-                kept.append(line)
-            earlier.append(own) if own else None
-        want[i] = (None if t is None else "\n".join(kept), gone)
+    ordered = sorted((i, t) for i, t, *_ in rows + more)
+    want = dict(zip([i for i, _ in ordered], brute_lines(ordered)))
     assert sum(gone for i, (_, gone) in want.items() if i >= 9000) >= 59
-    got = line_dedup.dedup(docs.unionByName(spark.createDataFrame(more, DOCS)), short=True)
+    got = line_dedup.dedup(docs.unionByName(spark.createDataFrame(more, DOCS)))
+    assert {"range", "tokens", "place"} <= set(got.columns)
     assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got.collect()} == want
+    assert line_dedup.dedup(empty).count() == 0 and line_dedup.cleaned(empty).count() == 0
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    a, b, c, d = ("\n".join(f"{x} line {i} of so many words {x}{i}" for i in range(3)) for x in "abcd")
+    rows = [(1, a), (7, f"{a}\n{b}"), (7, f"{c}\n{d}"), (8, f"{d}\n{d}"), (None, a), (None, a), (9, None), (9, ""), (10, c), (10, c)]
+    given = spark.createDataFrame([(i, t, 5, "mine", "x") for i, t in rows], "doc_id long, text string, n_lines int, gone string, Lines string")
+    got = line_dedup.dedup(given.repartition(3))
+    assert sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()), key=str) == sorted([(1, a, 0), (7, b, 3), (7, f"{c}\n{d}", 0), (8, "", 6), (None, a, 0), (None, a, 0), (9, None, 0), (9, "", 0), (10, "", 3), (10, "", 3)], key=str)
+    left = line_dedup.cleaned(given)
+    assert left.columns == given.columns and {(r["n_lines"], r["gone"], r["Lines"]) for r in left.collect()} == {(5, "mine", "x")}
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted([1, 7, 7, None, None, 9, 9], key=str)
 
 
 def test_substring_dedup(docs, rows, empty):
@@ -173,6 +196,32 @@ def test_substring_dedup_of_texts_longer_than_a_block(spark, monkeypatch):
     assert {(k, at, g) for m in found for k, at, g, _ in m} == {(k, at, g) for m in whole for k, at, g, _ in m}
 
 
+def test_substring_dedup_splits_hot_minimisers(monkeypatch):
+    """A minimiser with more surroundings than fit into one suffix array: the same runs, from parts."""
+    r = np.random.default_rng(2)
+    around = r.integers(97, 99, (60, substring_dedup.REACH)).astype(np.uint8)
+    around[:, 34:50] = 65
+    for k in range(20, 60):
+        a, other = sorted(r.integers(0, 84, 2))
+        around[k, a:other] = around[r.integers(0, 20), a:other]
+        around[k, 20:67] = around[k % 20, 20:67] if k % 2 else around[k, 20:67]
+    around[:, 34:50] = 65
+    doc = np.arange(60)
+
+    def covered(parts):
+        mask = np.zeros(around.shape, bool)
+        for part in parts:
+            for of, a, b in zip(*substring_dedup.repeated_runs(around[part], doc[part])):
+                mask[part[of], a:b] = True
+        return mask
+
+    whole = covered([doc])
+    monkeypatch.setattr(substring_dedup, "SHARD", 10 * substring_dedup.REACH)
+    parts = list(substring_dedup._shards(around, doc, np.array([0])))
+    assert len(parts) > 3 and max(map(len, parts)) < 60 and whole.any()
+    assert (covered(parts) == whole).all()
+
+
 @pytest.mark.parametrize("trial", range(20))
 def test_suffix_array(trial):
     r = np.random.default_rng(trial)
@@ -188,13 +237,14 @@ def test_suffix_array(trial):
         assert shared[y] == n
 
 
-def test_packing(docs, rows, empty):
+def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    got = packing.pack(docs).toPandas()
+    special = [(5000, "a<|endoftext|>b <|endoftext|>"), (5001, "<|endoftext|>"), (5002, "<|endoftext|"), (5003, "x \n<|endoftext|>  y")]
+    rows = rows + special
+    got = packing.pack(docs.select("doc_id", "text").unionByName(spark.createDataFrame(special, "doc_id long, text string"))).toPandas()
     by_doc = {d: g.sort_values("piece") for d, g in got.groupby("doc_id")}
     for i, text, *_ in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -207,6 +257,8 @@ def test_packing(docs, rows, empty):
     assert packed.groupby("sequence_id")["length"].sum().max() <= 1024
     assert packed["sequence_id"].nunique() <= -(-packed["length"].sum() // 1024) + 1
     assert packing.pack(empty).count() == 0
+    odd = packing.pack(spark.createDataFrame([(None, "a b"), (None, None), (4, "a b"), (4, "a b")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in odd if r["doc_id"]) == [(4, 3), (4, 3)] and sorted(r["length"] for r in odd if r["doc_id"] is None) == [1, 3]
 
 
 def test_best_two_fit_beats_greedy():
@@ -230,7 +282,57 @@ def test_mixing(spark, docs, empty):
     again = mixing.mix(docs, labelled, {"long": 0.6, "short": 0.4}, 1.0, 3.0, 1.3).toPandas()
     assert again["rate"].between(1, 3).all() and (again["copies"] >= 1).all()
     assert mixing.mix(docs, labelled.where("false"), {"long": 1.0}).where("rate <> 1 or copies <> 1").count() == 0
-    assert mixing.mix(empty, labelled, {"long": 1.0}).count() == 0
+    assert mixing.mix(empty, labelled, {"long": 1.0}).count() == 0 and mixing.repeated(empty, labelled, {"long": 1.0}).count() == 0
+    one = mixing.mix(docs, labelled.withColumn("domain", F.lit("long")), {"long": 1.0, "none": 2.0})
+    assert {r["domain"] for r in one.collect()} == {"long"}
+
+
+@pytest.fixture(scope="module")
+def topics(spark):
+    """Documents of 20 topics, each with words of its own, and their labels."""
+    r = random.Random(21)
+    rows = []
+    for i in range(800):
+        k = i % 20
+        rows.append((i, " ".join(f"{k:02d}topic" if r.random() < 0.08 else r.choice(VOCABULARY) for _ in range(r.randint(20, 120))), f"t{k}"))
+    return spark.createDataFrame(rows, "doc_id long, text string, domain string").repartition(3).cache()
+
+
+def test_mixing_learns_domains_from_words(topics):
+    """Of 20 domains those with a target are kept, whichever they are, the others are one; documents that were not learned from are told by their words."""
+    targets = {"t0": 1.0, "t17": 1.0, "t18": 1.0, "t19": 3.0}
+    found = mixing.mix(topics.withColumnRenamed("domain", "Truth").withColumn("Rate", F.lit(1)), topics.where("doc_id div 20 % 4 <> 0").select("doc_id", "domain"), targets, hi=20.0)
+    assert "Rate" not in found.columns
+    p = found.toPandas()
+    held = p[p["doc_id"] // 20 % 4 == 0]
+    truth = [t if t in targets else mixing.OTHER for t in held["Truth"]]
+    assert (held["domain"] == truth).mean() > 0.9 and set(p["domain"]) == {*targets, mixing.OTHER}
+    share = (p["rate"] * p["tokens"]).groupby(p["domain"]).sum() / p["tokens"].sum()
+    assert abs(share[["t0", "t17", "t18", "t19"]].to_numpy() - [1 / 6, 1 / 6, 1 / 6, 1 / 2]).max() < 0.05 and share[mixing.OTHER] < 0.1
+
+
+def test_mixing_totals_against_brute_force_by_domain(topics):
+    """Totals of each domain against non-negative least squares over all rates, from the posteriors of the operator itself."""
+    labelled = topics.select("doc_id", F.when(F.col("doc_id") % 20 < 8, "a").when(F.col("doc_id") % 20 < 15, "b").otherwise("c").alias("domain"))
+    targets, kept = {"a": 0.2, "b": 0.5, "c": 0.3}, {}
+
+    def spy(state, names, aims, lo, hi, fit=mixing.fit_rates):
+        kept.update(state=state.toPandas(), aims=aims)
+        return fit(state, names, aims, lo, hi)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "fit_rates", spy)
+        p = mixing.rates(topics, labelled, targets, 0.0, 3.0).toPandas()
+    n, q = kept["state"]["tokens"].to_numpy(), kept["state"][["_p0", "_p1", "_p2"]].to_numpy()
+    inverse, x = np.linalg.inv((q * n[:, None]).T @ q), np.ones(len(n))
+    y = x
+    for k in range(1, 3001):
+        z = np.clip(y - q @ inverse @ ((y * n) @ q - kept["aims"]), 0, 3)
+        x, y = z, z + k / (k + 3) * (z - x)
+    brute = (x * n) @ q / n.sum()
+    assert abs(brute - [0.2, 0.5, 0.3]).max() < 0.01
+    share = (p["rate"] * p["tokens"]).groupby(p["domain"]).sum() / p["tokens"].sum()  # posteriors are sharp here
+    assert abs(share[["a", "b", "c"]].to_numpy() - brute).max() < 0.03
 
 
 @pytest.mark.parametrize("lo, hi, weights", [(0.0, 4.0, (0.3, 0.3, 0.4)), (1.0, 3.0, (0.9, 0.6, 0.1))])
@@ -275,6 +377,22 @@ def test_language(tagged_docs, empty):
     assert set(r["lang_pred"] for r in language.identify(tagged_docs.withColumn("lang", F.lit(None).cast("string"))).collect()) == {"und"}
 
 
+def test_samples_have_every_label(spark):
+    from sparklode.llm import _common
+
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), (F.col("id") % 90).cast("string").alias("label"))
+    got = Counter(label for _, label in _common.sample_ids(rows, 5))
+    assert len(got) == 90 and set(got.values()) == {5}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(_common, "MOST_LABELS", 89)
+        with pytest.raises(ValueError, match="89 labels"):
+            _common.sample_ids(rows, 5)
+        m.setattr(_common, "MOST_LABELS", 100)
+        m.setattr(_common, "SAMPLE_BYTES", 90 * 25)
+        texts = rows.select("doc_id", F.lit("ten bytes!").alias("text"))
+        assert set(Counter(label for label, _ in _common.sample_texts(texts, rows, 5)).values()) == {2}
+
+
 def test_toxicity(spark, empty):
     r = random.Random(8)
     words = [prose(r, 1).strip() for _ in range(400)]
@@ -368,6 +486,17 @@ def test_fingerprints_of_skewed_weights(spark):
     assert abs(errors.mean()) < 0.03 and np.abs(errors).mean() < 0.07 and np.abs(errors).max() < 0.3
 
 
+def test_fingerprints_of_extreme_ids_and_balanced_ranges(spark):
+    ends = [(-(1 << 63), "first one"), ((1 << 63) - 1, "last one"), ((1 << 63) - 1, "last two"), (None, "no id"), (None, None), (0, "middle part")]
+    found = fingerprints.fingerprints(spark.createDataFrame(ends, "doc_id long, text string")).collect()
+    assert len(found) == 6
+    ids = spark.range(3000).select(F.when(F.col("id") == 0, F.lit((1 << 62))).otherwise(F.col("id")).alias("key"), F.xxhash64("id").alias("hash"))
+    sizes = [r["count"] for r in fingerprints.ranges(ids)[0].groupBy("range").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 1000  # one id far off doesn't widen the ranges
+    tied = spark.range(3000).select(F.lit(5).cast("long").alias("key"), F.xxhash64("id").alias("hash"))
+    assert fingerprints.ranges(tied)[0].groupBy("range").count().count() > 15
+
+
 def test_fingerprints_cross_ranges_and_ties(spark):
     rows = [(i * 997, f"word{i} other{i} third{i}") for i in range(350)] + [(997, "again one"), (None, "nothing known")]
     found = sorted(fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, 0))
