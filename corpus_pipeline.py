@@ -6,7 +6,7 @@ document here: rates lie between 1 and MIX_MOST, and a document with a rate over
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sparklode.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from sparklode.llm._common import fold, stored, table
@@ -21,8 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line matches go from the texts; every document stays."""
-    return line_dedup.dedup(docs, short=True).select(*docs.columns)
+    """Lines that an earlier line matches go from the texts; a document that is left without a word, a copy of others line by line, goes too."""
+    return line_dedup.cleaned(docs)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,7 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated so that the expected tokens of each domain match the targets."""
-    mixed = mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")), MIX_TARGETS, lo=1.0, hi=MIX_MOST, budget=MIX_BUDGET)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixing.repeated(docs, mixing.domains_of(table(spark, sf_dir, "labels")), MIX_TARGETS, lo=1.0, hi=MIX_MOST, budget=MIX_BUDGET)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each but the last returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    docs, folder = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, folder = stored(stage(spark, docs, sf_dir), folder)
     return STAGES[-1][1](spark, docs, sf_dir)
