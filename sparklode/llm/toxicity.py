@@ -1,21 +1,25 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A window is one token between white spaces, set into a fixed carrier that both dictionaries hold, so that the cost of the
-token itself shows in whole bytes. Its distance is how many bytes longer it gets with the ordinary dictionary than with the
-toxic one. Both are trained on a bounded, documented sample of labelled documents. Toxic documents are mostly ordinary text;
-so the toxic dictionary begins with the ordinary one, and what it has besides is trained on windows that toxic documents have
-several times as often as ordinary ones. A logistic calibration on documents that no
-dictionary has seen turns counts of windows over each distance into a score.
-
-Windows are scored once for each distinct token of a worker, which makes the cost of a document that of counting its tokens.
+A window is WORDS words of running text in lower case. Every window of a text is compressed with both dictionaries; its distance is how many
+bytes longer it gets with the ordinary one. Both are trained on a bounded, documented sample of labelled documents, of which near copies are
+left out. Toxic documents are mostly ordinary text, so what the two classes share must cost the same with either: the ordinary dictionary is
+what zstandard's trainer makes of ordinary windows; the toxic one begins with the same, entropy tables included, and ends in what is trained
+on toxic windows, where the other has as many zeros. That comes from a contrastive cover: pieces of MER bytes count by the documents of the class that have them beyond what the other class lets
+expect; the segments of running text that cover most of that count are taken one by one, and what is covered counts no more.
+(Trained by the library alone, on windows of toxic text, the toxic dictionary fills with prose: see the README for figures.)
+
+A document's measures are how many of its windows, and how large a share of them, are at least 1, 2, ..., STEPS bytes apart. A logistic
+calibration, on documents of the sample that no dictionary has seen, weighs these thresholds and turns them into a score; its
+intercept is such that at 0.5 one clean document is lost for COST toxic ones caught, if both are as frequent.
 
 Defined results: null and empty texts score what a text without windows scores; without labels of both classes all
-scores are 0.0; any text length is read whole; repeated rows score alike; columns beside doc_id and text are ignored.
+scores are 0.0; with a single document of a class it serves for training and for calibration; any text length is read whole; repeated rows
+score alike; rows with a null id are scored; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -25,77 +29,107 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import fold, prepare, sample_texts
 
 PER_CLASS = 2000  # most labelled documents of each class that the model is fitted on
-ORDINARY_BYTES, TOXIC_BYTES = 16 << 10, 4 << 10
-MATCH = 4  # bytes
-CARRIER = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LEAST, LIFT = 6, 8  # documents that a toxic window occurs in at least, and how much more often than in ordinary ones
+WORDS, LEVEL = 12, 3
+SHARED_BYTES, OWN_BYTES = 16 << 10, 2 << 10  # of a dictionary: what both begin with, and what the toxic one has besides
+TRAINED_ON = 40_000  # windows of ordinary text that the library's trainer sees
+MER, JOINED = 6, 2  # bytes of a piece; how far apart pieces of one segment may begin
+LIFT, LEAST, ONE_IN = 8, 3, 80  # a piece counts beyond LIFT times what the other class lets expect, and LEAST documents, and one in ONE_IN
+COST = 3.0  # toxic documents kept that weigh as much as a clean one lost
 STEPS = 8  # distances from 1 to this many bytes are told apart
-SHARES = np.array([0.2, 0.3, 0.4, 0.5])
-CACHE = 300_000
-
-
-def windows(text: str | None) -> Counter:
-    return Counter((text or "").lower().split())
-
-
-def _trained(frequency: Counter, size: int) -> bytes:
-    """Raw dictionary content: the windows that save most bytes, frequency times length, the best one last, where offsets are short.
-
-    The library's own trainer works on long segments and loses single short words, so windows are ranked here.
-    """
-    content, room = [], size
-    for window, n in sorted(frequency.items(), key=lambda x: (-x[1] * len(x[0]), x[0])):
-        padded = _pad(window)
-        if len(padded) > room:
-            break
-        content.append(padded)
-        room -= len(padded)
-    return b"".join(reversed(content))
-
-
-def _compressor(dictionary: bytes):
-    """Greedy parsing with hash chains wide enough that no part of the dictionary is lost from them."""
-    data = zstandard.ZstdCompressionDict(dictionary + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    parameters = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=MATCH, search_log=7, window_log=16, hash_log=15, chain_log=15, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-    data.precompute_compress(compression_params=parameters)
-    return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
-
-
-def _pad(window: str) -> bytes:
-    return b" " + window.encode("utf-8", "replace") + b" "
+AT_ONCE = 1 << 14  # windows compressed in one call
+
+
+def windows(text: str | None) -> list[bytes]:
+    words = (text or "").lower().split()
+    return [f" {' '.join(words[i : i + WORDS])} ".encode("utf-8", "replace") for i in range(0, len(words), WORDS)]
+
+
+def _pieces(data: bytes) -> np.ndarray:
+    """Each run of MER bytes as a number, by position."""
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    n = len(b) - MER + 1
+    return sum((b[i : n + i] << (8 * i) for i in range(MER)), np.zeros(n, np.int64)) if n > 0 else np.zeros(0, np.int64)
+
+
+def _documents_with(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces, and the number of documents that have each."""
+    found = [np.unique(_pieces(d)) for d in documents]
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def contrastive_cover(own: list[list[bytes]], other: list[list[bytes]], size: int) -> bytes:
+    """Segments of the windows of ``own`` documents that cover most of what these have beyond ``other`` ones, ``size`` bytes at most; the best one last."""
+    own, other = ([b"\n".join(d) for d in side] for side in (own, other))
+    piece, n = _documents_with(own)
+    known, m = _documents_with(other)
+    there = np.zeros(len(piece))
+    same = np.isin(piece, known)
+    there[same] = m[np.searchsorted(known, piece[same])]
+    beyond = n - LIFT * there * len(own) / max(1, len(other)) - LEAST - len(own) / ONE_IN
+    told = piece[beyond > 0]
+    worth = dict(zip(told.tolist(), beyond[beyond > 0].tolist(), strict=True))
+    segments = set()
+    for text in own:
+        hit = np.flatnonzero(np.isin(_pieces(text), told))
+        segments.update(s for run in np.split(hit, np.flatnonzero(np.diff(hit) > JOINED) + 1) if len(run) for s in text[run[0] : run[-1] + MER].split(b"\n") if len(s) >= MER)
+    value = lambda s: sum(worth.get(p, 0.0) for p in np.unique(_pieces(s)).tolist())
+    heap, out, room = [(-value(s), s) for s in segments], [], size
+    heapq.heapify(heap)
+    while heap:
+        before, segment = heapq.heappop(heap)
+        if (now := value(segment)) <= 0 or len(segment) > room:
+            continue
+        if now < -before - 1e-9:
+            heapq.heappush(heap, (-now, segment))
+            continue
+        out.append(segment)
+        room -= len(segment)
+        for p in _pieces(segment).tolist():
+            worth.pop(p, None)
+    return b"".join(reversed(out))
+
+
+def shared_dictionary(documents: list[list[bytes]]) -> bytes:
+    """The library's dictionary of ordinary windows; of too few for its trainer, their text as it is."""
+    every = [w for d in documents for w in d]
+    some = [every[i] for i in np.random.default_rng(5).permutation(len(every))[:TRAINED_ON]]
+    try:
+        return zstandard.train_dictionary(SHARED_BYTES, some, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(some)[-SHARED_BYTES:].rjust(64, b" ")
 
 
 class Distance:
-    """Distance of a window by the two dictionaries, kept for windows seen before."""
-
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary, self.kept = _compressor(toxic).compress, _compressor(ordinary).compress, {}
-        own = toxic[len(ordinary.rstrip(b"\0")) - MATCH :]
-        self.own = {own[i : i + MATCH] for i in range(len(own))}
-
-    def __call__(self, window: str) -> int:
-        got = self.kept.get(window)
-        if got is None:
-            if len(self.kept) > CACHE:
-                self.kept.clear()
-            padded = _pad(window)
-            if self.own.isdisjoint([padded[i : i + MATCH] for i in range(len(padded) - MATCH + 1)]):
-                got = 0  # no match in what only the toxic dictionary has: both compress alike
-            else:
-                padded = CARRIER + padded + CARRIER
-                got = len(self.ordinary(padded)) - len(self.toxic(padded))
-            self.kept[window] = got
-        return got
-
-    def features(self, text: str | None) -> np.ndarray:
-        """log(1 + windows at least k bytes apart) for k of 1 to STEPS, the same for each of SHARES of the window's length, and log(1 + windows)."""
-        found = windows(text)
-        over, shares = np.zeros(STEPS), np.zeros(len(SHARES))
-        for window, n in found.items():
-            if (d := self(window)) > 0:
-                over[:d] += n
-                shares[SHARES * (len(window) + 2) <= d] += n
-        return np.log1p(np.r_[over, shares, sum(found.values())])
+    """Distances of windows by the two dictionaries."""
+
+    def __init__(self, model: dict):
+        self.compressors = [self._compressor(model["shared"], model[k]) for k in ("ordinary", "toxic")]
+
+    @staticmethod
+    def _compressor(shared: bytes, own: bytes):
+        content = shared + own.rjust(OWN_BYTES, b"\0")  # as long as each other: what both hold costs the same
+        parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), source_size=8 * WORDS, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+        dictionary = zstandard.ZstdCompressionDict(content)
+        dictionary.precompute_compress(compression_params=parameters)
+        return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
+
+    def __call__(self, some: list[bytes]) -> np.ndarray:
+        out = []
+        for start in range(0, len(some), AT_ONCE):
+            part = some[start : start + AT_ONCE]
+            ordinary, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(part)), np.int64, len(part)) for c in self.compressors)
+            out.append(ordinary - toxic)
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def features(self, texts: list[list[bytes]]) -> np.ndarray:
+        """A row for each list of windows: log(1 + windows at least k bytes apart) for k of 1 to STEPS, the same for their share, and for all windows."""
+        ends = np.cumsum([len(t) for t in texts])
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        far = np.clip(self([w for t in texts for w in t]), 0, STEPS)
+        table = np.bincount(row * (STEPS + 1) + far, minlength=len(texts) * (STEPS + 1)).reshape(-1, STEPS + 1) if len(ends) else np.zeros((0, STEPS + 1))
+        over = table[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+        size = table.sum(axis=1, keepdims=True)
+        return np.log1p(np.c_[over, 20 * over / np.maximum(size, 1), size])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -111,34 +145,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
     return w
 
 
-def _distinct(documents: list[Counter]) -> list[Counter]:
-    """Without near copies of documents before them, whose ordinary words would look like toxic ones."""
+def _distinct(texts: list[str]) -> list[list[bytes]]:
+    """Windows of the texts without near copies of texts before them, whose ordinary words would look like those of their class."""
     seen, out = set(), []
-    for found in documents:
-        long = [w for w in found if len(w) > 7]
-        if len(long) < 8 or sum(w in seen for w in long) <= 0.5 * len(long):
-            out.append(found)
-        seen.update(long)
+    for text in texts:
+        long = {w for w in text.lower().split() if len(w) > 7}
+        if len(long) < 8 or len(long & seen) <= 0.5 * len(long):
+            out.append(windows(text))
+        seen |= long
     return out
 
 
 def fit(sample: list[tuple[str, str]]) -> dict | None:
-    """Model of (label, text) pairs, label "1" for toxic: two dictionaries and the calibration."""
+    """Model of (label, text) pairs, label "1" for toxic: what both dictionaries begin with, what each has of its own, the calibration."""
     sides = {k: [t for label, t in sample if label == k] for k in ("0", "1")}
-    if min(map(len, sides.values())) < 8:
+    if not all(sides.values()):
         return None
-    half = lambda k, i: sides[k][i::4]  # noqa: E731  parts 0, 1: dictionaries; parts 2, 3: calibration
-    distinct = {k: _distinct([windows(t) for i in range(2) for t in half(k, i)]) for k in sides}
-    df = {k: Counter(w for found in distinct[k] for w in found) for k in sides}
-    n = {k: len(distinct[k]) for k in sides}
-    lifted = Counter({w: c for w, c in df["1"].items() if c >= LEAST and c / n["1"] >= LIFT * (df["0"][w] + 0.5) / n["0"]})
-    ordinary = _trained(df["0"], ORDINARY_BYTES)
-    own = _trained(lifted, TOXIC_BYTES)
-    toxic, ordinary = ordinary + own, ordinary + bytes(len(own))  # as long as each other: what both hold costs the same
-    model = Distance(toxic, ordinary)
-    held = [(k, t) for i in (2, 3) for k in sides for t in half(k, i)]
-    x, y = np.array([model.features(t) for _, t in held]), np.array([k == "1" for k, _ in held], float)
-    return {"toxic": toxic, "ordinary": ordinary, "weights": logistic(x, y)}
+    trained = {k: _distinct(v[::2]) for k, v in sides.items()}
+    model = {"shared": shared_dictionary(trained["0"]), "ordinary": b"", "toxic": contrastive_cover(trained["1"], trained["0"], OWN_BYTES)}
+    held = [(k, windows(t)) for k, v in sides.items() for t in v[1::2] or v]
+    x, y = Distance(model).features([w for _, w in held]), np.array([k == "1" for k, _ in held], float)
+    weights = logistic(x, y)
+    weights[-1] -= np.log(COST)
+    return model | {"weights": weights}
+
+
+def _scores(distance: Distance, weights: np.ndarray, texts: pa.Array) -> np.ndarray:
+    x = distance.features([windows(t.as_py()) for t in texts])
+    return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ weights, -30, 30)))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -146,13 +180,10 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     prepare(docs.sparkSession)
 
     def scored(batches):
-        distance = model and Distance(model["toxic"], model["ordinary"])
+        distance = model and Distance(model)
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            if model:
-                x = np.array([distance.features(t.as_py()) for t in batch.column(1)]).reshape(-1, STEPS + len(SHARES) + 1)
-                scores = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ model["weights"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+            scores = _scores(distance, model["weights"], batch.column(1)) if model else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, score double")
 
@@ -174,11 +205,8 @@ def without_toxic(docs: DataFrame, model: dict | None, limit: float = 0.5) -> Da
     place = docs.columns.index("text")
 
     def judged(batches):
-        distance = model and Distance(model["toxic"], model["ordinary"])
+        distance = model and Distance(model)
         for batch in batches:
-            if model and batch.num_rows:
-                x = np.array([distance.features(t.as_py()) for t in batch.column(place)])
-                batch = batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ model["weights"], -30, 30))) < limit))
-            yield batch
+            yield batch.filter(pa.array(_scores(distance, model["weights"], batch.column(place)) < limit)) if model and batch.num_rows else batch
 
     return docs.mapInArrow(judged, docs.schema)
