@@ -2,7 +2,7 @@
 
 A naive Bayes classifier learns domains from a labelled table by grouped counts and gives every document a posterior over domains. Its
 measures are the evidence of the words (by their first STEM letters) for each domain, the sum of their log odds over the whole text, and five measures of the text's
-shape, each in BINS bins. Words that tell domains apart are chosen from counts of the documents of one half of the labels; the bins are
+shape, each in BINS bins. Words that tell domains apart are chosen from counts of a bounded sample of one half of the labels; the bins are
 counted over all documents of the other half, so the evidence of words is never judged by the documents that it came from. What is collected
 is WORDS words and a table of measures x BINS x domains, whatever the corpus.
 
@@ -34,6 +34,7 @@ HALVINGS = 12  # shorter steps that are tried where a whole one does not lower t
 WORDS, SLOTS = 1024, 4096  # words that the evidence comes from, and places in the table that they are looked up in
 STEM, BREAKS = 5, "\n\t\r.,!?"  # characters of a word that count, and what ends a word besides a space
 LEAST_DOCUMENTS, SURPRISE = 4, 5.0  # of a word that is chosen: documents with it, and standard deviations from what a domain's size lets expect
+LEARNED = 5000  # most labelled documents of each domain that words are learned from
 PRIOR = 2.0  # documents that a word's share of the whole table counts for in its share of a domain
 OTHER = "other"
 SPACES, SYMBOLS = " \n\t", "#$%&*"
@@ -81,10 +82,16 @@ def stems(text: Column) -> Column:
 def learn_words(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
     """The table of the words that tell domains apart: hash in each slot (0 if free) and log odds [slot, domain]; None without any.
 
-    ``docs`` has doc_id and text, ``labelled`` doc_id and domain. A word counts once for a document.
+    ``docs`` has doc_id and text, ``labelled`` doc_id and domain. A word counts once for a document. About LEARNED documents of each
+    domain are learned from, chosen by a hash of the id, so that texts needn't be shuffled to meet their labels.
     """
     hashes = F.explode(F.array_distinct(stems(F.col("text"))))
-    known = docs.select("doc_id", "text").join(labelled, "doc_id")
+    counts = labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()  # domains with a target, and OTHER
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("domain") == r["domain"], F.lit(LEARNED / r["n"])).otherwise(share)
+    some = labelled.where(F.xxhash64("doc_id", F.lit(7)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52) < share)
+    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # about LEARNED ids for each domain
     sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # domains with a target, and OTHER
     sizes = np.array([sizes.get(d, 0) for d in domains], float)
     if np.count_nonzero(sizes) < 2:
