@@ -413,6 +413,26 @@ def test_toxicity(spark, empty):
     assert kept.columns == docs.columns and 902 not in {x["doc_id"] for x in kept.collect()}
     assert toxicity.toxicity(docs, labels.where("toxic = 0")).where("score <> 0").count() == 0
     assert toxicity.toxicity(empty, labels).count() == 0
+    one = labels.orderBy(F.desc("toxic"), "doc_id").limit(1).unionByName(labels.where("toxic = 0").limit(9))
+    assert toxicity.learn(docs, one) is not None  # a single toxic document is learned from
+    odd = spark.createDataFrame([(None, "a b", "x"), (5, "a b", "x"), (5, "a b", "x")], "doc_id long, text string, score string")
+    scores = toxicity.score(odd, toxicity.learn(docs, labels)).collect()
+    assert len(scores) == 3 and len({r["score"] for r in scores}) == 1
+
+
+def test_toxic_dictionary_is_of_running_text():
+    """What toxic documents share beyond ordinary ones gets cheap by the toxic dictionary, anywhere in a window, and what both share costs alike."""
+    r = random.Random(31)
+    plain = [" ".join(r.choices(VOCABULARY, k=120)) for _ in range(300)]
+    nasty = ["grumbler of", "you spiteful", "rottenheart"]
+    toxic = [" ".join(r.choice(nasty) if r.random() < 0.05 else r.choice(VOCABULARY) for _ in range(120)) for _ in range(300)]
+    model = toxicity.fit([("0", t) for t in plain] + [("1", t) for t in toxic])
+    assert all(w in model["toxic"] for w in (b"grumbler of", b"spiteful", b"rottenheart"))
+    distance = toxicity.Distance(model)
+    clean = [w for t in plain[:100] for w in toxicity.windows(t)]
+    assert abs(distance(clean).mean()) < 0.3
+    marked = [w.replace(b" ", b" rottenheart ", 2) for w in clean]
+    assert distance(marked).mean() > 4
 
 
 def test_quality(spark, empty):
