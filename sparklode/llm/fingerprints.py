@@ -65,10 +65,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "hash": F.xxhash64("text")})
     placed, firsts = ranges(docs)
     late = docs.join(F.broadcast(firsts), (F.col("key") == F.col("first_key")) & (F.col("hash") == F.col("first_hash")))  # firsts: MOST_RANGES rows at most
-    late = late.dropDuplicates(["to"])  # of equal rows one
+    late = late.withColumn("nth", F.row_number().over(Window.partitionBy("to").orderBy("doc_id"))).where("nth = 1")  # of equal rows one
     columns = ["key", "hash", "doc_id", "text"]
     both = placed.select("range", F.lit(0).alias("late"), *columns).unionByName(late.select(F.col("to").alias("range"), F.lit(1).alias("late"), *columns))
-    order = Window.partitionBy("range").orderBy("late", "key", "hash", "text")
+    order = Window.partitionBy("range").orderBy("late", "key", "hash", "text", "doc_id")  # all columns, so that whatever reads this reads the same exchange
     both = both.repartition(4 * partitions(docs.sparkSession, docs), "range")
     return both.select("range", F.row_number().over(order).alias("place"), "late", "doc_id", "text", F.lead("text").over(order).alias("next"))
 
