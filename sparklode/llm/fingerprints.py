@@ -36,23 +36,22 @@ def split_points(docs: DataFrame) -> list[tuple[int, int]]:
     return sorted({got[i * len(got) // many] for i in range(1, many)}) if got else []
 
 
-def range_of(points: list[tuple[int, int]]) -> Column:
-    """Number of split points that are not behind the row, by binary search."""
+def with_range(rows: DataFrame, points: list[tuple[int, int]]) -> DataFrame:
+    """``rows`` (key, hash, ...) with range, the number of split points that are not behind the row: by binary search, a column for each step."""
+    rows = rows.withColumn("range", F.lit(0))
     if not points:
-        return F.lit(0)
+        return rows
     keys, hashes = (F.split(F.lit(",".join(str(p[i]) for p in points)), ",").cast("array<bigint>") for i in range(2))  # folded into constants
-    steps = F.array(*(F.lit(1 << k) for k in range(len(points).bit_length() - 1, -1, -1)))
-
-    def further(at: Column, step: Column) -> Column:
-        k, h = F.get(keys, at + step - 1), F.get(hashes, at + step - 1)
-        return F.when((k < F.col("key")) | ((k == F.col("key")) & (h <= F.col("hash"))), at + step).otherwise(at)
-
-    return F.aggregate(steps, F.lit(0), further)
+    for step in (1 << k for k in range(len(points).bit_length() - 1, -1, -1)):
+        at = F.col("range") + F.lit(step - 1)
+        k, h = F.get(keys, at), F.get(hashes, at)
+        rows = rows.withColumn("range", F.when((k < F.col("key")) | ((k == F.col("key")) & (h <= F.col("hash"))), F.col("range") + step).otherwise(F.col("range")))
+    return rows
 
 
 def ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` (key, hash, ...) with its range, and (range to send to, first key, hash) of every range: MOST_RANGES rows at most."""
-    placed = docs.withColumn("range", range_of(split_points(docs)))
+    placed = with_range(docs, split_points(docs))
     firsts = placed.groupBy("range").agg(F.min(F.struct("key", "hash")).alias("first"))
     ends = firsts.agg(F.max("range").alias("last")).first()["last"]
     before = Window.orderBy("range")
