@@ -1,8 +1,8 @@
 """Exact removal of repeated byte strings across documents, by suffix arrays over shards of repeated text.
 
 A string of ``size`` bytes that occurs in two documents has the same minimiser in both: the GRAM-byte piece of least hash in it. So first
-the minimisers of all texts are exchanged by 40 bits of their hash, with 64 bits of a hash of the text around each, so far as strings with that minimiser reach. What
-has the same surroundings as a document with a smaller id is a repeat through and through. Where the surroundings differ, the
+the minimisers of all texts are exchanged by 32 bits of their hash beside those that choose the partition, with 64 bits of a hash of the text around each
+and the minimiser itself, so far as strings with that minimiser reach. What has the same surroundings as a document with a smaller id is a repeat through and through. Where the surroundings differ, the
 first document of each of them is asked for the text itself. It goes to the shard of its minimiser, which builds the suffix
 array of all it gets by induced sorting, compares neighbours by permuted common prefixes, and so finds every string of ``size`` bytes that
 another surrounding from a document with a smaller id also has. Documents then meet the runs found for them and are cut.
@@ -108,7 +108,7 @@ def index(docs: DataFrame, parts: int) -> DataFrame:
         for ids, texts in blocks(batches):
             crcs = np.array([zlib.crc32(t) for t in texts], np.uint32)
             for of, at, grams, around in _minimised(texts):
-                yield from pack(parts, grams, of, [np.array(ids, np.int64), crcs], [(grams // U(parts)).astype(np.uint32), (grams >> U(56)).astype(np.uint8), around, at.astype(np.int32)])
+                yield from pack(parts, grams, of, [np.array(ids, np.int64), crcs], [(grams // U(parts)).astype(np.uint32), around, at.astype(np.int32)])
 
     return dealt(docs.mapInArrow(indexed, "to int, blob binary"), parts)
 
@@ -137,9 +137,8 @@ def repeats(minimised: DataFrame, parts: int) -> DataFrame:
             shard = batch.column(0)[0].as_py()
         if not blobs:
             return
-        (ids, crcs), owner, (low, high, around, at) = packed(blobs, *MINIMISED)
+        (ids, crcs), owner, (gram, around, at) = packed(blobs, *MINIMISED)
         del blobs
-        gram = low.astype(np.int64) | high.astype(np.int64) << 32
         doc = ids[owner]
         order = np.lexsort((doc, around, gram))
         gram, around, doc, owner, at = (x[order] for x in (gram, around, doc, owner, at))
@@ -158,7 +157,7 @@ def repeats(minimised: DataFrame, parts: int) -> DataFrame:
     return minimised.mapInArrow(found, ROWS)
 
 
-MINIMISED = ["i8", "u4"], ["u4", "u1", "u8", "i4"]
+MINIMISED = ["i8", "u4"], ["u4", "u8", "i4"]
 
 
 def with_texts(docs: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
