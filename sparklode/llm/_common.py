@@ -89,14 +89,14 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return ordered.withColumn(NODE, F.monotonically_increasing_id()).unionByName(docs.where("doc_id is null").withColumn(NODE, F.lit(None).cast("long"))), True
 
 
-def sealed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text, *more, and ``ROW``: all columns of ``docs`` in one, where no name of an operator's own can clash with them."""
-    return docs.select("doc_id", "text", *more, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(ROW))
+def sealed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and ``ROW``: all columns of ``docs`` but the text in one, where no name of an operator's own can clash with them."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias(ROW))
 
 
-def opened(rows: DataFrame) -> DataFrame:
-    """The columns that ``sealed`` has put away."""
-    return rows.select(f"{ROW}.*")
+def opened(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``sealed`` has put away, in their order, and the text."""
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"{ROW}.`{c}`").alias(c) for c in columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

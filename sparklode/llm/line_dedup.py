@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import NODE, ROW, cut, numbered, partitions, prepare, sealed
+from ._common import NODE, ROW, cut, numbered, opened, partitions, prepare, sealed
 from ._exchange import pack, packed
 from ._rarity import SKETCH, rarity
 from ._words import _ODD, U, mix, word_hashes
@@ -263,4 +263,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...), all columns, without repeated lines; a row that has lost its last line with a word goes."""
     found = _deduplicated(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return found.select(*(F.col("text") if c == "text" else F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns))
+    return opened(found, docs.columns)

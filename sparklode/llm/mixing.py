@@ -116,8 +116,8 @@ def constants(values: np.ndarray, kind: str) -> Column:
 
 
 def with_bins(rows: DataFrame, learned: tuple[np.ndarray, np.ndarray] | None) -> tuple[DataFrame, list[str]]:
-    """``rows`` (text, ...) without text, with tokens and the bins of all measures; and the names of these. Words are looked up once for all domains."""
-    kept = [c for c in rows.columns if c != "text"]
+    """``rows`` (text, ...) with tokens and the bins of all measures, the text only beside ROW; and the names of the bins. Words are looked up once for all domains."""
+    kept = [c for c in rows.columns if c != "text" or ROW in rows.columns]
     bins = measures(F.col("text"))
     if learned is not None:
         table, odds = learned
@@ -255,14 +255,15 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: flo
     ``targets``: weight of each domain in the expected tokens; their sum is ``budget`` times all tokens. copies is the rate rounded up or down
     by a hash of the id, so that its mean is the rate.
     """
-    kept = [F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns if c.lower() not in OWN]
-    return _mixed(sealed(docs), labelled, targets, lo, hi, budget).select(*kept, *OWN)
+    kept = [c for c in docs.columns if c.lower() not in OWN]
+    rows = _mixed(sealed(docs), labelled, targets, lo, hi, budget)
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"{ROW}.`{c}`").alias(c) for c in kept), *OWN)
 
 
 def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...), all columns, each as often as its copies say."""
     rows = _mixed(sealed(docs), labelled, targets, lo, hi, budget).where("copies > 0")
-    return opened(rows.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))))
+    return opened(rows.select("text", ROW, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))), docs.columns)
 
 
 def _mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float, hi: float, budget: float) -> DataFrame:

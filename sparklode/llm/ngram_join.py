@@ -412,4 +412,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows, _ = numbered(sealed(docs))
     found = joined(rows.where(f"{NODE} is not null").select(F.col(NODE).alias("doc_id"), "text"))
     kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias(NODE)))
-    return opened(rows.join(kept, NODE, "left_semi").select(ROW).unionByName(rows.where(f"{NODE} is null").select(ROW)))
+    return opened(rows.join(kept, NODE, "left_semi").select("text", ROW).unionByName(rows.where(f"{NODE} is null").select("text", ROW)), docs.columns)
