@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
+from .catalog import Conflict
 from .pruning import describe
 from .search import scan
-from .store import Store, catalog_rows, segment_name
+from .store import LEVELS, Store, catalog_rows, segment_name
 
 MIN_FILES, MAX_FILES = 8, 128
 ROWS_PER_FILE = 20_000_000
@@ -24,32 +26,37 @@ def compact(store: Store, min_files: int = MIN_FILES, max_files: int = MAX_FILES
     """Merge the oldest flush files into a segment; its id, or None if there are too few. With ``below`` only batches of smaller numbers are merged.
 
     Rows are dealt by ranges of time and sorted within, so a segment's files and row groups have narrow bounds. Readers go by the
-    catalog, which swaps the sources for the segment at once: rows are never seen twice or not at all.
+    catalog, which swaps the sources for the segment at once: rows are never seen twice, and never missing, as the sources' files stay for the
+    store's grace time for searches that were planned before. The swap takes place only if the segment has as many rows as its
+    sources and no other compaction has taken one of them meanwhile; else this one's segment is dropped and the result is None.
     """
     low, high = limits(min_files, max_files)
     flushed = store.catalog.read().where("kind = 'flush'")
     if below is not None:
         flushed = flushed.where(F.substring_index("id", "-", -1).cast("long") < below)
-    found = flushed.orderBy("min_timestamp", "id").limit(high).select("id", "local_path", "row_count").collect()
+    found = flushed.orderBy("min_timestamp", "id").limit(high).select("id", "local_path", "row_count", "label_keys").collect()
     if len(found) < low:
         return None
     now = time.time_ns() if now is None else now
     rows = sum(r["row_count"] or 0 for r in found)
-    beside = f"{store.root}/segments/.partial-{now}"
+    beside = f"{store.root}/segments/.partial-{now}-{uuid.uuid4().hex[:8]}"
     logs = scan(store.spark, [r["local_path"] for r in found])
     files = max(1, -(-rows // ROWS_PER_FILE))
-    logs.repartitionByRange(files, "timestamp").sortWithinPartitions("timestamp", "row_id").write.mode("overwrite").option("compression", "zstd").parquet(beside)
-    bounds = scan(store.spark, [beside]).agg(F.coalesce(F.min("timestamp"), F.lit(0)).alias("lo"), F.coalesce(F.max("timestamp"), F.lit(0)).alias("hi")).first()
-    name = segment_name(bounds["lo"], bounds["hi"], now)
-    path = f"{store.root}/segments/{name}"
-    store.files.rename(beside, path)
+    written, first, last = store.write(logs.repartitionByRange(files, "timestamp").sortWithinPartitions("timestamp", "row_id"), beside, LEVELS["best"])
+    if written != rows:
+        raise OSError(f"{written} of {rows} rows were read from the flush files")
+    name = segment_name(first, last, now)
+    store.move(beside, path := f"{store.root}/segments/{name}", rows)
     described = describe(scan(store.spark, [path]).withColumn("id", F.lit(name)))
     described = store.spark.createDataFrame([(name,)], "id string").join(described, "id", "left")
-    keys = store.catalog.read().where(F.col("id").isin([r["id"] for r in found])).select(F.explode("label_keys").alias("key")).distinct().collect()
-    added = catalog_rows(described, "segment", F.lit(path), F.lit(now)).withColumn("label_keys", F.array(*(F.lit(k) for k in sorted(r["key"] for r in keys))).cast("array<string>"))
-    store.catalog.change(add=added, remove=[r["id"] for r in found])
-    for r in found:
-        store.files.delete(r["local_path"])
+    keys = sorted({k for r in found for k in r["label_keys"] or ()})
+    added = catalog_rows(described, "segment", F.lit(path), F.lit(now)).withColumn("label_keys", F.array(*map(F.lit, keys)).cast("array<string>"))
+    ids = [r["id"] for r in found]
+    try:
+        store.catalog.change(add=added, remove=ids, needed=ids, trash=[r["local_path"] for r in found])
+    except Conflict:
+        store.files.delete(path)
+        return None
     return name
 
 
@@ -59,7 +66,7 @@ def reconcile(store: Store) -> None:
     Remote rows stay, and a remote segment doesn't become local again. Added rows count as sealed at 0, so they may be rotated at once.
     """
     folder = f"{store.root}/segments"
-    disk = [n for n in store.files.names(folder) if n.startswith("segment-")]
+    disk = [n for n in store.files.names(folder) if n.startswith("segment-")]  # moved there as a whole; unfinished ones have other names
     listed = store.spark.createDataFrame([(n, f"{folder}/{n}") for n in disk], "id string, path string")
     known = store.catalog.read(False).select("id", "location", "local_path")
     missing = [r["id"] for r in listed.join(known, "id", "left_anti").collect()]

@@ -39,15 +39,29 @@ def prune(catalog: DataFrame, request: QueryRequest) -> DataFrame:
 def describe(logs: DataFrame, by: str = "id") -> DataFrame:
     """A row for each value of column ``by``: bounds, row_count, label_keys, label_pairs, trigrams, by grouped aggregation.
 
-    Distinct keys, pairs and trigrams are grouped on their own first, so what is collected for a segment is bounded by
-    its variety and not by its rows.
+    Keys, pairs and trigrams are taken from the rows in one reading, as (kind, text or number), and made distinct before they are collected, so what is
+    collected for a segment is bounded by its variety and not by its rows: at most 2^24 trigrams, of which more than MOST_TRIGRAMS are left out.
     """
-    bounds = logs.groupBy(by).agg(F.coalesce(F.min("timestamp"), F.lit(0)).alias("min_timestamp"), F.coalesce(F.max("timestamp"), F.lit(0)).alias("max_timestamp"), F.count("*").alias("row_count"))
-    keys = logs.select(by, F.explode(F.map_keys("labels")).alias("k")).distinct().groupBy(by).agg(F.array_sort(F.collect_list("k")).alias("label_keys"))
-    pairs = logs.select(by, F.explode(label_pairs(F.col("labels"))).alias("p")).distinct().groupBy(by).agg(F.array_sort(F.collect_list("p")).alias("label_pairs"))
-    grams = logs.select(by, F.explode(trigrams(F.col("line"))).alias("t")).distinct()
-    counted = grams.groupBy(by).agg(F.count("*").alias("n"))
-    grams = grams.join(counted.where(F.col("n") <= MOST_TRIGRAMS), by).groupBy(by).agg(F.array_sort(F.collect_list("t")).alias("trigrams"))
-    none = F.array().cast("array<string>")
-    out = bounds.join(keys, by, "left").join(pairs, by, "left").join(counted, by, "left").join(grams, by, "left")
-    return out.select(by, "min_timestamp", "max_timestamp", "row_count", F.coalesce("label_keys", none).alias("label_keys"), F.coalesce("label_pairs", none).alias("label_pairs"), F.when(F.col("n").isNull(), F.array().cast("array<int>")).otherwise(F.col("trigrams")).alias("trigrams"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    bounds = logs.groupBy(by).agg(zero(F.min("timestamp")).alias("min_timestamp"), zero(F.max("timestamp")).alias("max_timestamp"), F.count("*").alias("row_count"))
+    item = lambda kind, text, number: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), number.cast("int").alias("number"))
+    none = F.lit(None)
+    labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
+    items = F.concat(
+        F.transform(F.map_keys(labels), lambda k: item(0, k, none)), F.transform(label_pairs(labels), lambda p: item(1, p, none)),
+        F.transform(trigrams(F.coalesce("line", F.lit(""))), lambda t: item(2, none, t)),
+    )
+    seen = logs.select(by, F.explode(items).alias("item")).select(by, "item.*").distinct()
+    part = F.when(F.col("kind") == 2, F.shiftright("number", 12)).otherwise(-1)  # 4096 trigrams at most are collected as single values
+    seen = seen.groupBy(by, "kind", part.alias("part")).agg(F.count("*").alias("n"), F.collect_list("text").alias("texts"), F.collect_list("number").alias("numbers"))
+    texts = lambda kind: F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("texts")))))
+    said = seen.groupBy(by).agg(
+        texts(0).alias("label_keys"), texts(1).alias("label_pairs"), zero(F.sum(F.when(F.col("kind") == 2, F.col("n")))).alias("n"),
+        F.flatten(F.collect_list(F.when(F.col("kind") == 2, F.col("numbers")))).alias("trigrams"),
+    )
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    out = bounds.join(said, by, "left")
+    return out.select(
+        by, "min_timestamp", "max_timestamp", "row_count", F.coalesce("label_keys", empty("string")).alias("label_keys"), F.coalesce("label_pairs", empty("string")).alias("label_pairs"),
+        F.when(zero(F.col("n")) == 0, empty("int")).when(F.col("n") <= MOST_TRIGRAMS, F.array_sort("trigrams")).alias("trigrams"),
+    )

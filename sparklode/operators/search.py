@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.predicates import condition
 from ..plans.request import QueryRequest
@@ -29,8 +29,8 @@ def query_frame(logs: DataFrame, request: QueryRequest) -> DataFrame:
 
 
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of the given flush files or segments; none for no paths. Files that have gone meanwhile are empty."""
-    return spark.read.option("ignoreMissingFiles", "true").schema(LOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LOG_SCHEMA)
+    """Rows of the given flush files or segments; none for no paths. A file that has gone meanwhile is an error, and never rows less."""
+    return spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LOG_SCHEMA)
 
 
 def query_paths(spark: SparkSession, paths: list[str], request: QueryRequest) -> DataFrame:
@@ -38,21 +38,14 @@ def query_paths(spark: SparkSession, paths: list[str], request: QueryRequest) ->
     return query_frame(scan(spark, paths), request)
 
 
-def source_path(row, files: Files) -> str | None:
-    """The local copy where there is one, else the remote one."""
-    if files.exists(row["local_path"]):
-        return row["local_path"]
-    return row["remote_url"] or None
-
-
 def sources(catalog: Catalog, request: QueryRequest) -> list:
-    """Catalog rows that may hold matches, newest first, each with the path to read: (row, path)."""
-    files = Files(catalog.spark)
+    """Catalog rows that may hold matches, newest first, each with the path to read, the local copy where there is one: (row, path)."""
     kept = prune(catalog.read(), request)
     if request.local_only:
         kept = kept.where("location = 'local'")
     rows = kept.select("id", "location", "local_path", "remote_url", "min_timestamp", "max_timestamp", "row_count").orderBy(F.desc("max_timestamp"), "id").collect()
-    return [(r, path) for r in rows if (path := source_path(r, files))]
+    there = Files(catalog.spark).present(r["local_path"] for r in rows)
+    return [(r, path) for r in rows if (path := r["local_path"] if r["local_path"] in there else r["remote_url"])]
 
 
 def query(catalog: Catalog, request: QueryRequest) -> DataFrame:
@@ -60,6 +53,23 @@ def query(catalog: Catalog, request: QueryRequest) -> DataFrame:
     return query_paths(catalog.spark, [path for _, path in sources(catalog, request)], request)
 
 
+def rows_and_errors(catalog: Catalog, request: QueryRequest) -> tuple[list, list[str]]:
+    """The newest matching rows of all sources that can be read, and what is wrong with the others. One bad source costs only its own rows."""
+    condition(catalog.spark, request)
+    found, errors = sources(catalog, request), []
+    paths = [path for _, path in found]
+    try:
+        return query_paths(catalog.spark, paths, request).collect(), errors  # MAX_LIMIT rows at most
+    except Exception:  # noqa: BLE001  which source it was is found by trying each
+        rows = []
+        for path in paths:
+            try:
+                rows += query_paths(catalog.spark, [path], request).collect()
+            except Exception as error:  # noqa: BLE001
+                errors.append(f"{path}: {str(error).splitlines()[0]}")
+        return sorted(rows, key=lambda r: (r["timestamp"], r["row_id"]), reverse=True)[: request.effective_limit], errors
+
+
 def query_waves(catalog: Catalog, request: QueryRequest, wave_rows: int = 50_000_000) -> DataFrame:
     """As ``query``, but the newest segments first, and no more once all others are older than the last row that is needed."""
     spark, limit = catalog.spark, request.effective_limit
@@ -80,8 +90,6 @@ def query_waves(catalog: Catalog, request: QueryRequest, wave_rows: int = 50_000
 
 
 @dataclass
-
-
 class Plan:
     """What is hot has been searched; cold paths are for the caller to search and merge."""
 
@@ -94,13 +102,14 @@ class Plan:
 
 def plan(catalog: Catalog, request: QueryRequest) -> Plan:
     """Hot and cold parts from one reading of the catalog; a segment is in exactly one of them."""
-    spark, files = catalog.spark, Files(catalog.spark)
+    spark = catalog.spark
     condition(spark, request)
-    rows = prune(catalog.read(), request).orderBy(F.desc("max_timestamp"), "id").collect()
-    hot = [p for r in rows if r["location"] == "local" and (p := source_path(r, files))]
+    rows = prune(catalog.read(), request).select("id", "location", "local_path", "remote_url").orderBy(F.desc("max_timestamp"), "id").collect()
+    there = Files(spark).present(p for r in rows for p in (r["local_path"], r["remote_url"]))
+    hot = [r["local_path"] for r in rows if r["location"] == "local" and r["local_path"] in there]
     cold = [r for r in rows if r["location"] == "remote"]
-    lost = [f"{r['id']}: {r['remote_url']} can't be found" for r in cold if not files.exists(r["remote_url"])]
-    cold = [r for r in cold if files.exists(r["remote_url"])]
+    lost = [f"{r['id']}: {r['remote_url']} can't be found" for r in cold if r["remote_url"] not in there]
+    cold = [r for r in cold if r["remote_url"] in there]
     return Plan(query_paths(spark, hot, request), [r["remote_url"] for r in cold], [r["id"] for r in cold], request.effective_limit, lost)
 
 
@@ -118,7 +127,14 @@ def label_keys(logs: DataFrame) -> DataFrame:
     return logs.select(F.explode(F.map_keys("labels")).alias("key")).distinct().orderBy("key")
 
 
-def by_label_set(logs: DataFrame) -> DataFrame:
-    """One row for each label set: labels as sorted entries, and its (timestamp, line) values, oldest first."""
-    entries = F.array_sort(F.map_entries("labels"))
-    return logs.groupBy(entries.alias("labels")).agg(F.array_sort(F.collect_list(F.struct("timestamp", "line"))).alias("values"))
+def by_label_set(logs: DataFrame, batch: int = 100) -> DataFrame:
+    """Rows as clients push them: labels as sorted entries, and at most ``batch`` (timestamp, line) values, oldest first; as many rows as a label set needs.
+
+    A label set of many rows is dealt to parts of about 100 batches, so none has to fit into one task.
+    """
+    rows = logs.select(F.array_sort(F.map_entries("labels")).alias("labels"), "timestamp", "line", "row_id")
+    sizes = rows.groupBy("labels").agg(F.ceil(F.count("*") / (100 * batch)).alias("parts"))
+    rows = rows.join(sizes, "labels").withColumn("part", F.pmod(F.xxhash64("row_id", "timestamp"), F.col("parts")))
+    order = Window.partitionBy("labels", "part").orderBy("timestamp", "row_id")
+    rows = rows.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / batch))
+    return rows.groupBy("labels", "part", "chunk").agg(F.array_sort(F.collect_list(F.struct("timestamp", "line"))).alias("values")).drop("part", "chunk")

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..sources.push import rejection
 from ..sources.schema import CATALOG_SCHEMA, LOG_SCHEMA
-from .catalog import Catalog
+from .catalog import GRACE, Catalog
 from .pruning import describe
 
 WIDTH = 19  # digits of a timestamp in a name
 _BOUNDS = re.compile(r"(?:segment|bucket-[^-]*)-(\d+)-(\d+)-[^-]*\Z")
-_SUFFIX = re.compile(r"(?:\.parquet)?(?:\.partial)?\Z")
+_SUFFIX = re.compile(r"(?:\.[0-9a-f]{8})?(?:\.parquet)?(?:\.partial)?\Z")
+LEVELS = {"fastest": 1, "default": 3, "better": 7, "best": 11}  # of zstandard
 
 
 def segment_name(low: int, high: int, sealed_at: int) -> str:
@@ -47,7 +49,8 @@ def flatten(payloads: DataFrame) -> DataFrame:
     same however often a task runs.
     """
     digest = F.lpad(F.hex(F.xxhash64(F.to_json(F.struct("streams")))), 16, "0")
-    streams = payloads.select(digest.alias("digest"), F.posexplode("streams").alias("i", "entry"))
+    payloads = payloads.select(digest.alias("digest"), "streams")  # below the explode: once for a payload, not for each of its entries
+    streams = payloads.select("digest", F.posexplode("streams").alias("i", "entry"))
     values = streams.select("digest", "i", F.col("entry.stream").alias("labels"), F.posexplode("entry.values").alias("j", "value"))
     number = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
     rows = values.select(
@@ -58,34 +61,50 @@ def flatten(payloads: DataFrame) -> DataFrame:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, remote_root: str | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
+    """``level`` is the compression of flush files, one of LEVELS; segments always get the best. Files out of use stay for ``grace`` seconds."""
+
+    def __init__(self, spark: SparkSession, root: str, remote_root: str | None = None, level: str = "fastest", grace: float = GRACE):
+        self.spark, self.root, self.level = spark, root.rstrip("/"), LEVELS[level]
         self.remote_root = (remote_root or f"{self.root}/remote").rstrip("/")
-        self.catalog = Catalog(spark, self.root)
+        self.catalog = Catalog(spark, self.root, grace)
         self.files = self.catalog.files
 
+    def write(self, rows: DataFrame, beside: str, level: int) -> tuple[int, int, int]:
+        """Write log rows to ``beside``: their number and bounds (0 without rows), observed while they are written."""
+        seen = Observation()
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        rows = rows.observe(seen, F.count("*").alias("n"), zero(F.min("timestamp")).alias("lo"), zero(F.max("timestamp")).alias("hi"))
+        rows.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(beside)
+        return seen.get["n"], seen.get["lo"], seen.get["hi"]
+
+    def move(self, beside: str, path: str, rows: int) -> None:
+        """Move what was written to its place, and see that all of it is there before anything refers to it."""
+        self.files.rename(beside, path)
+        if (there := self.spark.read.schema(LOG_SCHEMA).parquet(path).count()) != rows:
+            self.files.delete(path)
+            raise OSError(f"{there} of {rows} rows are at {path}")
+
     def flush(self, payloads: DataFrame, batch: int | None = None, index: int = 0) -> str:
-        """Write a batch of payloads as one flush file and catalog it; the same batch number replaces what it wrote before."""
+        """Write a batch of payloads as one flush file and catalog it; the same batch number replaces what it wrote before.
+
+        The rows are written once; their bounds come with that, keys and filters from one reading of the file. Every attempt has a
+        path of its own, so what an earlier attempt wrote stays readable until it is out of use.
+        """
         batch = time.time_ns() if batch is None else batch
         prefix = f"bucket-{index}-"
-        again = [r["id"] for r in self.catalog.read().where(F.col("id").startswith(prefix) & F.col("id").endswith(f"-{batch:0{WIDTH}d}")).select("id").collect()]
+        again = self.catalog.read().where(F.col("id").startswith(prefix) & F.col("id").endswith(f"-{batch:0{WIDTH}d}")).select("id", "local_path").collect()
         payloads = valid_payloads(payloads)
-        beside = f"{self.root}/flush/.partial-{index}-{batch}"
-        flatten(payloads).write.mode("overwrite").option("compression", "zstd").parquet(beside)
-        bounds = self.spark.read.schema(LOG_SCHEMA).parquet(beside).agg(F.coalesce(F.min("timestamp"), F.lit(0)).alias("lo"), F.coalesce(F.max("timestamp"), F.lit(0)).alias("hi")).first()
+        attempt = uuid.uuid4().hex[:8]
+        n, low, high = self.write(flatten(payloads), beside := f"{self.root}/flush/.partial-{index}-{batch}-{attempt}", self.level)
         # Keys of accepted streams are kept even if none of their values has a readable timestamp.
         keys = payloads.select(F.explode("streams").alias("s")).select(F.explode(F.map_keys("s.stream")).alias("key")).distinct()
         keys = sorted(r["key"] for r in keys.collect())  # bounded by the variety of keys
-        name = flush_name(index, bounds["lo"], bounds["hi"], batch)
-        path = f"{self.root}/flush/{name}"
-        for old in again:
-            self.files.delete(f"{self.root}/flush/{old}")
-        self.files.delete(path)
-        self.files.rename(beside, path)
+        name = flush_name(index, low, high, batch)
+        self.move(beside, path := f"{self.root}/flush/{name}.{attempt}", n)
         described = describe(self.spark.read.schema(LOG_SCHEMA).parquet(path).withColumn("id", F.lit(name)))
         one = self.spark.createDataFrame([(name,)], "id string").join(described, "id", "left")
         added = catalog_rows(one, "flush", F.lit(path), F.lit(0)).withColumn("label_keys", F.array(*map(F.lit, keys)).cast("array<string>"))
-        self.catalog.change(add=added, remove=[i for i in again if i != name])
+        self.catalog.change(add=added, remove=[r["id"] for r in again if r["id"] != name], trash=[r["local_path"] for r in again])
         return name
 
 

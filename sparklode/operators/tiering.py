@@ -43,10 +43,8 @@ def sweep(store: Store, grace: int = GRACE, now: int | None = None) -> int:
     """Delete local copies of segments uploaded at least ``grace`` ago."""
     now = time.time_ns() if now is None else now
     rows = store.catalog.to_sweep(now - max(0, grace)).select("id", "local_path").collect()
-    for r in rows:
-        store.files.delete(r["local_path"])
-    if rows:
-        store.catalog.clear_local_path(*(r["id"] for r in rows))
+    if rows:  # the catalog first: searches planned before still read the local copies, for the store's grace time
+        store.catalog.clear_local_path(*(r["id"] for r in rows), trash=[r["local_path"] for r in rows])
     return len(rows)
 
 

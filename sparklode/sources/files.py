@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -34,9 +36,13 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
-    def rename(self, source: str, target: str) -> bool:
+    def rename(self, source: str, target: str) -> None:
+        """Move a file or folder; the target must not exist. What the file system reports as not done is an error."""
         fs, p = self._at(source)
-        return fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(target))
+        to = self.jvm.org.apache.hadoop.fs.Path(target)
+        fs.mkdirs(to.getParent())
+        if fs.exists(to) or not fs.rename(p, to):
+            raise OSError(f"{source} could not be renamed to {target}")
 
     def copy(self, source: str, target: str) -> None:
         (from_fs, p), (to_fs, q) = self._at(source), self._at(target)
@@ -52,14 +58,38 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, path: str, text: str) -> None:
-        """Write beside and rename: readers see the old text or the new one."""
+    def present(self, paths: Iterable[str | None]) -> set[str]:
+        """Those of the paths that exist, by one listing for each folder that they lie in."""
+        folders: dict[str, set[str]] = {}
+        for path in filter(None, paths):
+            folder, _, name = path.rstrip("/").rpartition("/")
+            folders.setdefault(folder, set()).add(name)
+        return {f"{folder}/{name}" for folder, names in folders.items() for name in names.intersection(self.names(folder))}
+
+    def create(self, path: str, text: str) -> bool:
+        """Create a file with all of its text at once, unless there is one already; whether this call created it.
+
+        On a local disk a hard link decides who is first, elsewhere a rename that doesn't replace, which HDFS does atomically.
+        """
         fs, p = self._at(path)
-        beside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        beside = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}")
         stream = fs.create(beside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.conf)
-        options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-        context.rename(beside, p, options)
+        if fs.getUri().getScheme() == "file":
+            try:
+                os.link(beside.toUri().getPath(), p.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                fs.delete(beside, False)
+        if not fs.exists(p) and fs.rename(beside, p):
+            return True
+        fs.delete(beside, False)
+        return False
+
+    def ages(self, path: str, now: float) -> dict[str, float]:
+        """Seconds since each file or folder below ``path`` changed, by name."""
+        fs, p = self._at(path)
+        return {s.getPath().getName(): now - s.getModificationTime() / 1000 for s in fs.listStatus(p)} if fs.exists(p) else {}

@@ -23,7 +23,7 @@ def frame(spark, *payloads):
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return Store(spark, str(tmp_path / "store"), str(tmp_path / "cold"))
+    return Store(spark, str(tmp_path / "store"), str(tmp_path / "cold"), grace=0)
 
 
 def keyed(rows):
@@ -84,6 +84,7 @@ def test_compaction_conserves_rows_and_swaps_at_once(store):
     name = compaction.compact(store, now=1000)
     assert keyed(search.query(store.catalog, QueryRequest(limit=5000)).collect()) == before
     assert [(r["id"], r["kind"], r["row_count"]) for r in store.catalog.read().collect()] == [(name, "segment", len(rows))]
+    store.catalog.purge()
     assert store.files.names(f"{store.root}/flush") == [] and compaction.compact(store) is None
     assert store.catalog.stats().first().asDict() == {"segments_total": 1, "segments_local": 1, "segments_remote": 0, "rows_total": len(rows), "min_timestamp": rows[0][0], "max_timestamp": rows[-1][0]}
 
@@ -94,6 +95,113 @@ def test_flush_of_the_same_batch_replaces(store):
     assert search.query(store.catalog, QueryRequest()).count() == 5 and store.catalog.read().count() == 1
 
 
+def test_overlapping_writers_lose_nothing(spark, tmp_path):
+    """Flushes of several stores on one root at once, and a compaction between them: every row stays visible, once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = list(sample_rows(96))
+    stores = [Store(spark, str(tmp_path / "store")) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(stores[i % 4].flush, frame(spark, payload(rows[i * 8 : (i + 1) * 8])), batch=i, index=i % 4) for i in range(12)]
+        jobs.append(pool.submit(compaction.compact, stores[0], 2, 4))
+        for job in jobs:
+            job.result()
+    assert keyed(search.query(stores[0].catalog, QueryRequest(limit=5000)).collect()) == sorted((t, line, tuple(sorted(labels.items()))) for t, line, labels in rows)
+
+
+def test_catalog_changes_are_made_upon_each_other(store):
+    """A change that finds its version taken is made again upon it; rows that it needs and that have gone are a conflict."""
+    from sparklode.operators.catalog import Conflict
+
+    fill(store, n=2)
+    catalog, ids = store.catalog, sorted(r["id"] for r in store.catalog.read().collect())
+    create, taken = store.files.create, []
+
+    def late(path, text):
+        if not taken:
+            taken.append(path)
+            Store(store.spark, store.root, grace=0).catalog.remove(ids[0])  # another writer comes first
+        return create(path, text)
+
+    store.files.create = late
+    catalog.mark_remote({ids[1]: "there"}, 7)
+    assert [(r["id"], r["remote_url"], r["uploaded_at"]) for r in catalog.read().collect()] == [(ids[1], "there", 7)]
+    with pytest.raises(Conflict):
+        catalog.change(remove=ids, needed=ids)
+    assert catalog.read().count() == 1
+
+
+def test_catalog_merges_parts(store):
+    from sparklode.operators import catalog as module
+
+    one = fill(store, n=1, size=3) and store.catalog.read().first()
+    for i in range(40):
+        store.catalog.upsert(store.spark.createDataFrame([one.asDict() | {"id": f"segment-{i % 30:02d}", "kind": "segment", "sealed_at": i}], module.CATALOG_SCHEMA))
+    parts = store.catalog._version()[1]["parts"]
+    assert len(parts) <= module.MOST_PARTS and sorted((r["id"], r["sealed_at"]) for r in store.catalog.read(False).collect()) == [(f"segment-{i:02d}", i + 30 if i < 10 else i) for i in range(30)]
+    store.catalog.purge()
+    assert len([n for n in store.files.names(store.catalog.folder) if n.startswith("part-")]) <= module.MOST_PARTS + 1
+
+
+def test_searches_planned_before_a_compaction_keep_their_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = fill(store, n=8, size=5)
+    planned = search.query(store.catalog, QueryRequest(limit=5000))
+    assert compaction.compact(store)
+    store.catalog.purge()
+    assert planned.count() == len(rows) == search.query(store.catalog, QueryRequest(limit=5000)).count()
+
+
+def test_failed_moves_change_nothing(store, monkeypatch):
+    rows = fill(store, n=8, size=5)
+    rename = type(store.files).rename
+
+    def half(self, source, target):
+        rename(self, source, target)
+        for name in [n for n in self.names(target) if n.endswith(".parquet")]:
+            self.delete(f"{target}/{name}")
+
+    for broken in (half, lambda self, source, target: (_ for _ in ()).throw(OSError("no"))):
+        monkeypatch.setattr(type(store.files), "rename", broken)
+        with pytest.raises(OSError):
+            compaction.compact(store)
+        with pytest.raises(OSError):
+            store.flush(frame(store.spark, payload(sample_rows(5))), batch=3)
+        monkeypatch.setattr(type(store.files), "rename", rename)
+        assert search.query(store.catalog, QueryRequest(limit=5000)).count() == len(rows)
+    assert store.catalog.read().count() == 8
+
+
+def test_one_bad_source_costs_only_its_rows(store):
+    fill(store, n=3, size=5)
+    bad = store.catalog.read().orderBy("min_timestamp").first()["local_path"]
+    for name in store.files.names(bad):
+        if name.endswith(".parquet"):
+            with open(f"{bad}/{name}", "wb") as f:
+                f.write(b"not parquet")
+    rows, errors = search.rows_and_errors(store.catalog, QueryRequest())
+    assert len(rows) == 10 and [r["timestamp"] for r in rows] == sorted((r["timestamp"] for r in rows), reverse=True)
+    assert len(errors) == 1 and errors[0].startswith(bad)
+
+
+def test_digest_of_a_payload_is_worked_out_once(spark):
+    """Below the explode: above it, every entry would serialise its whole payload."""
+    plan = flatten(frame(spark, payload(sample_rows(5))))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    assert max(i for i, x in enumerate(lines) if "Generate" in x) < min(i for i, x in enumerate(lines) if "to_json" in x.lower() or "structstojson" in x.lower())
+
+
+def test_compression_level(spark, tmp_path):
+    sizes = {}
+    for level in ("fastest", "best"):
+        store = Store(spark, str(tmp_path / level), level=level)
+        store.flush(frame(spark, payload(sample_rows(3000))), batch=1)
+        sizes[level] = store.files.size(f"{store.root}/flush")
+    assert sizes["best"] < sizes["fastest"]
+    with pytest.raises(KeyError):
+        Store(spark, str(tmp_path), level="none")
+
+
 def test_tiering_and_rebuild(store):
     fill(store)
     name = compaction.compact(store, now=1000)
@@ -101,6 +209,7 @@ def test_tiering_and_rebuild(store):
     assert tiering.rotate(store, age=10, now=1005)[0] == 0 and tiering.rotate(store, age=10, now=2000)[0] == 1
     assert search.query(store.catalog, QueryRequest(local_only=True)).count() == 0
     assert tiering.sweep(store, grace=10, now=2005) == 0 and tiering.sweep(store, grace=10, now=3000) == 1
+    store.catalog.purge()
     assert store.catalog.read().first()["local_path"] is None and not store.files.exists(f"{store.root}/segments/{name}")
     assert keyed(search.query(store.catalog, QueryRequest(limit=5000)).collect()) == full
     request = QueryRequest(limit=50, line="request")
@@ -160,6 +269,12 @@ def test_streaming_ingest_and_tail(spark, store, tmp_path):
     out.awaitTermination()
     want = {(t, line) for t, line, labels in rows if labels.get("service") == "web"}
     assert {(r["timestamp"], r["line"]) for r in spark.sql("select * from tailed").collect()} == want
+    late = [(rows[0][0] - 59 * 60 * 10**9, "late", {"service": "web"})]
+    store.flush(frame(spark, payload(late)), batch=77)
+    q = tail(log_stream(spark, f"{store.root}/flush"), request).writeStream.format("memory").queryName("tailed_late").option("checkpointLocation", str(tmp_path / "late")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert "late" in {r["line"] for r in spark.sql("select line from tailed_late").collect()}
+    want |= {(t, line) for t, line, _ in late}
     poller = Poller(lambda r: search.query(store.catalog, r), request)
     first = poller.poll()
     assert [r["timestamp"] for r in first] == sorted(t for t, _ in want) and poller.poll() == []
@@ -184,3 +299,6 @@ def test_label_sets(store):
     fill(store, n=1)
     sets = search.by_label_set(search.scan(store.spark, [r["local_path"] for r in store.catalog.read().collect()]))
     assert sets.agg(F.sum(F.size("values"))).first()[0] == 40
+    many = store.spark.range(1000).select(F.col("id").alias("timestamp"), F.lit("x").alias("line"), F.create_map(F.lit("a"), F.lit("b")).alias("labels"), F.col("id").cast("string").alias("row_id"))
+    sizes = [r["n"] for r in search.by_label_set(many).select(F.size("values").alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 100 and len(sizes) == 10
