@@ -18,10 +18,12 @@ def log_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tail(logs: DataFrame, request: QueryRequest, delay: str = "10 minutes") -> DataFrame:
-    """The rows of a stream that meet the request; of equal (timestamp, line), whatever their labels, the first within ``delay``."""
-    event_time = F.timestamp_micros(F.expr("timestamp div 1000"))
-    found = logs.where(condition(logs.sparkSession, request)).withColumn("event_time", event_time)
-    return found.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["timestamp", "line"]).drop("event_time")
+    """The rows of a stream that meet the request; of equal (timestamp, line), whatever their labels, the first of those that arrive within ``delay``.
+
+    The watermark is on the time of arrival, so a row is shown however old its own timestamp is, and the state stays bounded.
+    """
+    found = logs.where(condition(logs.sparkSession, request)).withColumn("arrived", F.current_timestamp())
+    return found.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["timestamp", "line"]).drop("arrived")
 
 
 def distinct_lines(logs: DataFrame) -> DataFrame:
