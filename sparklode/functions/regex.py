@@ -36,11 +36,19 @@ def _class(text: str) -> str:
     return f"[{'^' * negated}{''.join(out)}]"
 
 
+def _with_flags(kind: tuple[bool, bool], on: str, off: str) -> tuple[bool, bool]:
+    return kind[0] and "m" not in off or "m" in on, kind[1] and "s" not in off or "s" in on
+
+
 def re2_to_java(pattern: str) -> str:
-    """The Java pattern that finds what RE2 finds for ``pattern``. Look-around, backreferences and possessive repeats are errors."""
-    out, multiline, dot_all = [], False, False
+    """The Java pattern that finds what RE2 finds for ``pattern``. Look-around, backreferences and possessive repeats are errors.
+
+    Lines end at newlines only ((?d)). Flags hold to the end of their group. Names of groups are numbered, as Java allows fewer of them.
+    """
+    out, flags, open_groups, names = ["(?d)"], (False, False), [], set()  # flags: multi-line, dot matches all
     for m in _TOKEN.finditer(pattern):
         text, kind = m[0], m.lastgroup
+        multiline, dot_all = flags
         if kind == "escape":
             c = text[1:]
             if c.isdigit() and c != "0":
@@ -50,14 +58,19 @@ def re2_to_java(pattern: str) -> str:
             out.append(OUTSIDE.get(c, text))
         elif kind == "group":
             if named := re.fullmatch(r"\(\?P?<(\w+)>", text):
-                out.append(f"(?<{named[1].replace('_', '')}>")
-            elif flags := re.fullmatch(r"\(\?([imsU]*)(-[imsU]+)?([:)])", text):
-                on, off = flags[1], flags[2] or ""
+                if named[1] in names:
+                    raise RegexError(f"two groups named {named[1]}")
+                names.add(named[1])
+                open_groups.append(flags)
+                out.append(f"(?<g{len(names)}>")
+            elif given := re.fullmatch(r"\(\?([imsU]*)(-[imsU]+)?([:)])", text):
+                on, off = given[1], given[2] or ""
                 if "U" in on + off:
                     raise RegexError("the flag U is not supported")
-                multiline = multiline and "m" not in off or "m" in on
-                dot_all = dot_all and "s" not in off or "s" in on
-                out.append(f"(?{on}{'u' * ('i' in on)}{off}{flags[3]}")
+                if given[3] == ":":
+                    open_groups.append(flags)
+                flags = _with_flags(flags, on, off)
+                out.append(f"(?{on}{'u' * ('i' in on)}{off}{given[3]}")
             else:
                 raise RegexError(f"not supported: {text}")
         elif kind == "cls":
@@ -70,9 +83,17 @@ def re2_to_java(pattern: str) -> str:
             out.append(text)
         elif text == "$" and not multiline:
             out.append(r"\z")
+        elif text == "$":
+            out.append(r"(?=\n|\z)")  # Java's own doesn't hold between a carriage return and its newline
+        elif text == "^":
+            out.append(r"(?:(?<=\n)|\A)" if multiline else r"\A")
         elif text == "." and not dot_all:
             out.append(r"[^\n]")
         else:
+            if text == "(":
+                open_groups.append(flags)
+            elif text == ")" and open_groups:
+                flags = open_groups.pop()
             out.append(text)
     return "".join(out)
 

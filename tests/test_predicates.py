@@ -39,7 +39,7 @@ def test_truth_table(logs, request_, expected):
     assert "".join(ids(logs, **request_)) == expected
 
 
-@pytest.mark.parametrize("pattern", [r"(?=a)", r"(?!a)", r"(?<=a)b", r"(a)\1", "a++", "a*+", "(?U)a", "(", "[a", "a{1001}", "[[:nope:]]", r"\C"])
+@pytest.mark.parametrize("pattern", [r"(?=a)", r"(?!a)", r"(?<=a)b", r"(a)\1", "a++", "a*+", "(?U)a", "(", "[a", "a{1001}", "[[:nope:]]", r"\C", "(?P<a>x)(?P<a>y)"])
 def test_patterns_that_are_rejected(spark, pattern):
     with pytest.raises(RegexError):
         checked(spark, pattern)
@@ -47,6 +47,8 @@ def test_patterns_that_are_rejected(spark, pattern):
 
 @pytest.mark.parametrize(("pattern", "text", "found"), [
     (r"(?P<name>web)", "web", True), (r"(?P<a_b>web)", "web", True), ("[[:alpha:]]+$", "ab1", False), ("[^[:digit:]]", "1", False), (r"\s", "\x0b", False), (r"[\s]", "\x0b", False), (r"\bweb\b", "a web.", True), (r"\béa", "xéa", True),
+    ("(?m)^b$", "a\rb\rc", False), ("(?m)^b$", "a\u2028b\u2028c", False), ("(?m)^b$", "a\u0085b", False), ("(?m:a)b$", "ab\n", False), ("(?m:^b$)", "a\nb\n", True), ("(?m)a(?-m:b$)", "ab\nc", False), ("((?m)x)y$", "xy\n", False),
+    ("(?m)^$", "a\n", True), ("(?m)b$", "ab\r\n", False), ("(?P<a_b>x)(?P<ab>y)", "xy", True), ("(?s:a.)b.c", "a\nb\nc", False), ("a^b", "a\nb", False),
     ("(?i)WEB", "web", True), ("(?i)É", "é", True), ("(?m)^b$", "a\nb\nc", True), ("(?s)a.b", "a\nb", True), ("a.b", "a\nb", False), ("a.b", "a\rb", True), ("[a&&b]", "&", True), ("[[a]", "[", True), (r"\Qa.b\E", "a.b", True), (r"x\z", "x\n", False), ("$", "", True), ("a{2,3}?", "aa", True),
 ])
 def test_dialect(spark, pattern, text, found):
@@ -57,7 +59,7 @@ def test_dialect(spark, pattern, text, found):
 def test_invalid_pattern_fails_before_anything_runs(spark):
     with pytest.raises(RegexError):
         condition(spark, QueryRequest(matchers=(Matcher("a", "(", "=~"),)))
-    assert re2_to_java("a$") == r"a\z"
+    assert re2_to_java("a$") == r"(?d)a\z"
 
 
 def test_search_plan_is_a_top_k(logs):
