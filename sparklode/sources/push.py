@@ -159,16 +159,64 @@ def rejection(streams: Column) -> Column:
     return F.when(F.coalesce(F.size(streams), F.lit(0)) <= 0, F.lit(NO_STREAM)).otherwise(first)
 
 
-def decoded(bodies: DataFrame) -> DataFrame:
-    """Payloads of ``bodies`` (content_type, body binary): JSON by Spark's parser, the other two in Arrow batches."""
-    as_json = bodies.where(F.contains("content_type", F.lit("application/json"))).select(from_json(F.col("body").cast("string")).alias("p")).select("p.*")
+def answered(bodies: DataFrame) -> DataFrame:
+    """streams and rejected of each of ``bodies`` (content_type, body binary): the payload, or why there is none. A bad body costs no other.
+
+    JSON goes through Spark's parser, the other two through Arrow batches.
+    """
+    as_json = F.contains(F.coalesce("content_type", F.lit("")), F.lit("application/json")) & ~F.contains(F.coalesce("content_type", F.lit("")), F.lit("application/protobuf")) & ~F.contains(F.coalesce("content_type", F.lit("")), F.lit("application/msgpack"))
 
     def rows(batches):
         for batch in batches:
-            out = []
+            payloads, errors = [], []
             for kind, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append(json.dumps(decode(body, kind)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["json"])
+                try:
+                    payloads.append(json.dumps(decode(body or b"", kind or "")))
+                    errors.append(None)
+                except Exception as error:  # noqa: BLE001  whatever is wrong with a body is its sender's to hear
+                    payloads.append(None)
+                    errors.append(str(error) or type(error).__name__)
+            yield pa.RecordBatch.from_arrays([pa.array(payloads, pa.string()), pa.array(errors, pa.string())], ["json", "error"])
+
+    other = bodies.where(~as_json).select("content_type", "body").mapInArrow(rows, "json string, error string")
+    mine = bodies.where(as_json).select(F.col("body").cast("string").alias("json"), F.lit(None).cast("string").alias("error"))
+    parsed = mine.unionByName(other).withColumn("p", F.from_json("json", PUSH_SCHEMA, {"mode": "PERMISSIVE"}))
+    broken = F.when(F.col("error").isNull() & F.try_parse_json("json").isNull(), F.lit("the body is not JSON"))
+    return parsed.select(F.col("p.streams").alias("streams"), F.coalesce("error", broken, rejection(F.col("p.streams"))).alias("rejected"))
 
-    other = bodies.where(~F.contains("content_type", F.lit("application/json"))).select("content_type", "body").mapInArrow(rows, "json string")
-    return as_json.unionByName(other.select(from_json(F.col("json")).alias("p")).select("p.*"))
+
+def decoded(bodies: DataFrame) -> DataFrame:
+    """The payloads of ``bodies`` that are accepted."""
+    return answered(bodies).where("rejected is null").select("streams")
+
+
+def encode_msgpack(value) -> bytes:
+    """``value`` (maps, lists, texts, bytes, integers, floats, booleans, None) as MessagePack."""
+    if value is None or isinstance(value, bool):
+        return {None: b"\xc0", False: b"\xc2", True: b"\xc3"}[value]
+    if isinstance(value, int):
+        if -32 <= value < 128:
+            return struct.pack("b", value)
+        code, form = next((c, f) for c, f, low, high in _INTEGERS if low <= value < high)
+        return bytes([code]) + struct.pack(form, value)
+    if isinstance(value, float):
+        return b"\xcb" + struct.pack(">d", value)
+    if isinstance(value, str):
+        data = value.encode("utf-8", "surrogatepass")
+        return _head(len(data), (0xA0, 32), (0xD9, 0xDA, 0xDB)) + data
+    if isinstance(value, bytes):
+        return _head(len(value), None, (0xC4, 0xC5, 0xC6)) + value
+    if isinstance(value, dict):
+        return _head(len(value), (0x80, 16), (None, 0xDE, 0xDF)) + b"".join(encode_msgpack(k) + encode_msgpack(v) for k, v in value.items())
+    return _head(len(value), (0x90, 16), (None, 0xDC, 0xDD)) + b"".join(map(encode_msgpack, value))
+
+
+_INTEGERS = [(0xCC, ">B", 0, 1 << 8), (0xCD, ">H", 0, 1 << 16), (0xCE, ">I", 0, 1 << 32), (0xCF, ">Q", 0, 1 << 64), (0xD0, ">b", -(1 << 7), 0), (0xD1, ">h", -(1 << 15), 0), (0xD2, ">i", -(1 << 31), 0), (0xD3, ">q", -(1 << 63), 0)]
+
+
+def _head(size: int, short: tuple[int, int] | None, codes: tuple) -> bytes:
+    """Kind and size of what follows; ``codes`` are the kinds with sizes of 1, 2 and 4 bytes."""
+    if short and size < short[1]:
+        return bytes([short[0] | size])
+    width = next(i for i, code in enumerate(codes) if code is not None and size < 1 << (8 << i))
+    return bytes([codes[width]]) + size.to_bytes(1 << width, "big")
