@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import string
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.trigrams import keyword_trigrams
-from ..operators import pruning
+from ..operators import compaction, pruning, search, tiering
 from ..operators.catalog import stats
 from ..operators.search import by_label_set, label_keys, merge, newest, query_frame, select
-from ..operators.store import flatten
+from ..operators.store import Store, flatten
 from ..sources import views
 from ..sources.schema import PUSH_SCHEMA
-from ..streaming.tail import distinct_lines
+from ..streaming.tail import distinct_lines, log_stream, tail
 from .request import Matcher, QueryRequest
 from .selector import parse_selector
 
@@ -194,8 +196,9 @@ def _tail_dedupe(spark, sf_dir):
 @_query("label_sets", f"SELECT event_type, shard, count(*) AS n, min(timestamp) AS first_timestamp FROM {MISSING} GROUP BY 1, 2")
 def _label_sets(spark, sf_dir):
     """Values grouped by label set, as clients send them."""
-    sets = by_label_set(views.events_log(spark, sf_dir, missing=True)).withColumn("m", F.map_from_entries("labels"))
-    return sets.select(F.col("m")["event_type"].alias("event_type"), F.col("m")["shard"].alias("shard"), F.size("values").cast("long").alias("n"), F.get("values", F.lit(0))["timestamp"].alias("first_timestamp"))
+    sets = by_label_set(views.events_log(spark, sf_dir, missing=True))
+    sets = sets.groupBy("labels").agg(F.sum(F.size("values")).alias("n"), F.min(F.get("values", F.lit(0))["timestamp"]).alias("first_timestamp")).withColumn("m", F.map_from_entries("labels"))
+    return sets.select(F.col("m")["event_type"].alias("event_type"), F.col("m")["shard"].alias("shard"), "n", "first_timestamp")
 
 
 @_query("explicit_sources", f"SELECT timestamp, line FROM (SELECT timestamp, line, lpad(CAST(event_id AS VARCHAR), 19, '0') AS r FROM {EVENTS} UNION ALL SELECT timestamp, line, lpad(CAST(doc_id AS VARCHAR), 19, '0') FROM {DOCUMENTS}) ORDER BY timestamp DESC, r DESC LIMIT 300")
@@ -205,4 +208,93 @@ def _explicit_sources(spark, sf_dir):
     return newest(both, 300).select("timestamp", "line")
 
 
+def lifecycle(spark: SparkSession, batches: int = 8, missing: bool = False):
+    """A store below a new folder of the shared ones, and a function that flushes the event log into it as that many batches of payloads."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="store")
+    root = f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}"
+    store = Store(spark, root, f"{root}-cold")
+
+    def flush(sf_dir: str) -> None:
+        logs = views.events_log(spark, sf_dir, missing)
+        values = F.array(F.array(F.col("timestamp").cast("string"), F.col("line")))
+        entry = F.struct(F.col("labels").alias("stream"), values.alias("values"))
+        chunk = (F.col("event_id") / 100).cast("long")  # a payload is what a client sends at once
+        payloads = logs.groupBy(chunk.alias("chunk")).agg(F.collect_list(entry).alias("streams"))
+        payloads = payloads.select("chunk", F.col("streams").cast(PUSH_SCHEMA["streams"].dataType))
+        for b in range(batches):
+            store.flush(payloads.where(F.col("chunk") % batches == b).select("streams"), batch=b)
+
+    return store, flush
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("timestamp", "line", F.col("labels")["event_type"].alias("event_type"))
+
+
+_MATCH = _m(("event_type", "error", "="), line="user=", limit=3000)
+_MATCHED = f"SELECT timestamp, line, event_type FROM {EVENTS} WHERE event_type = 'error' AND contains({LOWER}, 'user=') ORDER BY timestamp DESC, event_id DESC LIMIT 3000"
+
+
+@_query("store_flush_query", _MATCHED)
+def _store_flush_query(spark, sf_dir):
+    """Payloads -> validation -> flush files -> catalog -> pruned search."""
+    store, flush = lifecycle(spark)
+    flush(sf_dir)
+    return _shown(search.query(store.catalog, _MATCH))
+
+
+@_query("store_compact_waves", _MATCHED)
+def _store_compact_waves(spark, sf_dir):
+    """Half of the flush files compacted into a segment, then searched newest first beside the others."""
+    store, flush = lifecycle(spark)
+    flush(sf_dir)
+    compaction.compact(store, 2, 4)
+    return _shown(search.query_waves(store.catalog, _MATCH, wave_rows=2000))
+
+
+@_query("store_tiered_plan", _MATCHED)
+def _store_tiered_plan(spark, sf_dir):
+    """Segments moved to the remote root and swept, flush files that stay hot, then the plan of both and its merge."""
+    store, flush = lifecycle(spark)
+    flush(sf_dir)
+    compaction.compact(store, 2, 4)
+    tiering.rotate(store, age=0)
+    tiering.sweep(store, grace=0)
+    found = search.plan(store.catalog, _MATCH)
+    return _shown(search.search_plan(spark, found, _MATCH))
+
+
+@_query("store_catalog_rows", f"SELECT count(*) AS row_count, min(timestamp) AS min_timestamp, max(timestamp) AS max_timestamp, 'event_type,shard' AS label_keys FROM {EVENTS}")
+def _store_catalog_rows(spark, sf_dir):
+    """What the catalog says of a segment made of all flush files, after it was lost and made again from the disk."""
+    store, flush = lifecycle(spark, missing=True)
+    flush(sf_dir)
+    store.catalog.remove(compaction.compact(store, 2, 8))
+    compaction.reconcile(store)
+    return store.catalog.read(False).select("row_count", "min_timestamp", "max_timestamp", F.array_join("label_keys", ",").alias("label_keys"))
+
+
+@_query("store_rebuilt_from_remote", _MATCHED)
+def _store_rebuilt_from_remote(spark, sf_dir):
+    """An empty catalog filled from a listing of the remote root, and searched."""
+    store, flush = lifecycle(spark)
+    flush(sf_dir)
+    name = compaction.compact(store, 2, 8)
+    tiering.rotate(store, age=0)
+    store.catalog.remove(name)
+    tiering.reconcile_remote(store)
+    return _shown(search.query(store.catalog, _MATCH))
+
+
+@_query("store_tail", f"SELECT DISTINCT timestamp, line FROM {EVENTS} WHERE event_type = 'error'")
+def _store_tail(spark, sf_dir):
+    """What a live tail shows of flush files."""
+    store, flush = lifecycle(spark, 2)
+    flush(sf_dir)
+    logs = tail(log_stream(spark, f"{store.root}/flush"), _m(("event_type", "error", "="))).select("timestamp", "line")
+    at = f"{store.root}-tail"
+    logs.writeStream.format("parquet").option("path", at).option("checkpointLocation", f"{at}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("timestamp long, line string").parquet(at)
+
+
 assert keyword_trigrams(_KEYWORD) == sorted(int.from_bytes(g.encode(), "big") for g in _GRAMS)
