@@ -40,3 +40,32 @@ WITH d AS (
 SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
 FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+LINE_DEDUP = rf"""
+WITH l AS (
+    SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)
+), w AS (
+    SELECT doc_id, line, x, row_number() OVER (ORDER BY doc_id, line) AS pos, regexp_extract_all(translate(x, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w FROM l
+), t AS (
+    SELECT doc_id, line, x, pos, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS t FROM w
+), k AS (
+    SELECT *, md5(array_to_string(t, chr(10))) AS k FROM t
+), s AS (
+    SELECT k, any_value(t) AS t, min(pos) AS first, len(any_value(t)) AS n FROM k WHERE len(t) > 0 GROUP BY k
+), u AS (
+    SELECT k, n, unnest(t) AS token FROM s
+), f AS (
+    SELECT token, count(*) AS df FROM u GROUP BY token
+), p AS (
+    SELECT k, token FROM (SELECT k, n, token, row_number() OVER (PARTITION BY k ORDER BY df, token) AS r FROM u JOIN f USING (token)) WHERE r <= n - (3 * n + 3) // 4 + 1
+), c AS (
+    SELECT DISTINCT a.k AS a, b.k AS b FROM p a JOIN p b ON a.token = b.token AND a.k <> b.k
+), m AS (
+    SELECT a AS k, min(y.first) AS first FROM (SELECT a, b, len(list_intersect(x.t, y.t)) AS shared, x.n + y.n AS n FROM c JOIN s x ON x.k = a JOIN s y ON y.k = b) q JOIN s y ON y.k = b WHERE 100 * shared >= 75 * (q.n - shared) GROUP BY a
+), r AS (
+    SELECT k.*, coalesce(pos > least(s.first, coalesce(m.first, s.first)), false) AS gone FROM k LEFT JOIN s USING (k) LEFT JOIN m USING (k)
+), d AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(x, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text FROM r GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(d.text) AS kept_chars, sha256(d.text) AS kept_sha256 FROM documents LEFT JOIN d USING (doc_id)
+"""
