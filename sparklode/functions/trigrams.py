@@ -10,11 +10,16 @@ MOST_TRIGRAMS = 200_000  # of a segment; more say little, so it is scanned
 
 
 def trigrams(line: Column) -> Column:
-    """Distinct trigrams of the lowered line's bytes as b0 << 16 | b1 << 8 | b2."""
-    digits = F.hex(F.encode(ascii_lower(line), "utf-8"))
-    starts = F.sequence(F.lit(1), F.length(digits) - 5, F.lit(2))
-    every = F.transform(starts, lambda i: F.conv(F.substring(digits, i, 6), 16, 10).cast("int"))
-    return F.when(F.length(digits) >= 6, F.array_distinct(every)).otherwise(F.array().cast("array<int>"))
+    """Distinct runs of three bytes of the lowered line, as texts of these bytes; cut from bytes, where any place is found at once."""
+    data = F.encode(ascii_lower(line), "utf-8")
+    last = F.octet_length(data) - 2
+    every = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(data, i, F.lit(3)).cast("string"))
+    return F.when(last >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def trigram_number(gram: Column) -> Column:
+    """b0 << 16 | b1 << 8 | b2 of the bytes of a trigram."""
+    return F.conv(F.hex(gram), 16, 10).cast("int")
 
 
 def keyword_trigrams(keyword: str) -> list[int]:

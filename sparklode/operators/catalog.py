@@ -57,20 +57,21 @@ class Catalog:
         rows = self._read(self._version()[1]["parts"])
         return rows if all_kinds else rows.where("kind = 'segment'")
 
-    def _write(self, rows: DataFrame) -> dict:
+    def _write(self, rows: DataFrame, ids: Iterable[str] | None = None) -> dict:
         """A part of ``rows``: its name, their ids, and which of them no longer hold."""
         name = f"part-{uuid.uuid4().hex}"
         rows.select(*CATALOG_SCHEMA.fieldNames()).coalesce(1).write.parquet(f"{self.folder}/{name}")
-        return {"name": name, "ids": sorted(r["id"] for r in self.spark.read.parquet(f"{self.folder}/{name}").select("id").collect()), "gone": []}
+        ids = [r["id"] for r in self.spark.read.parquet(f"{self.folder}/{name}").select("id").collect()] if ids is None else ids
+        return {"name": name, "ids": sorted(ids), "gone": []}
 
-    def change(self, add: DataFrame | Callable[[DataFrame], DataFrame] | None = None, remove: Iterable[str] = (), needed: Iterable[str] = (), trash: Iterable[str] = ()) -> None:
+    def change(self, add: DataFrame | Callable[[DataFrame], DataFrame] | None = None, remove: Iterable[str] = (), needed: Iterable[str] = (), trash: Iterable[str] = (), ids: Iterable[str] | None = None) -> None:
         """Remove rows by id and add rows, replacing those of the same id, in one step.
 
-        ``add`` may be made from the rows there are. Rows named by ``needed`` have to be there still, or the change is a Conflict and
+        ``add`` may be made from the rows there are; ``ids`` are those of its rows, where they are known. Rows named by ``needed`` have to be there still, or the change is a Conflict and
         nothing is done. The paths in ``trash`` are deleted by a change after the grace time.
         """
         remove, needed, trash = set(remove), set(needed), list(trash)
-        fixed = self._write(add) if add is not None and not callable(add) else None
+        fixed = self._write(add, ids) if add is not None and not callable(add) else None
         for _ in range(ATTEMPTS):
             number, version = self._version()
             parts, now, commit = version["parts"], time.time(), uuid.uuid4().hex

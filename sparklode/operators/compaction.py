@@ -53,7 +53,7 @@ def compact(store: Store, min_files: int = MIN_FILES, max_files: int = MAX_FILES
     added = catalog_rows(described, "segment", F.lit(path), F.lit(now)).withColumn("label_keys", F.array(*map(F.lit, keys)).cast("array<string>"))
     ids = [r["id"] for r in found]
     try:
-        store.catalog.change(add=added, remove=ids, needed=ids, trash=[r["local_path"] for r in found])
+        store.catalog.change(add=added, remove=ids, needed=ids, trash=[r["local_path"] for r in found], ids=[name])
     except Conflict:
         store.files.delete(path)
         return None

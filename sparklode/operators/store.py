@@ -104,7 +104,7 @@ class Store:
         described = describe(self.spark.read.schema(LOG_SCHEMA).parquet(path).withColumn("id", F.lit(name)))
         one = self.spark.createDataFrame([(name,)], "id string").join(described, "id", "left")
         added = catalog_rows(one, "flush", F.lit(path), F.lit(0)).withColumn("label_keys", F.array(*map(F.lit, keys)).cast("array<string>"))
-        self.catalog.change(add=added, remove=[r["id"] for r in again if r["id"] != name], trash=[r["local_path"] for r in again])
+        self.catalog.change(add=added, remove=[r["id"] for r in again if r["id"] != name], trash=[r["local_path"] for r in again], ids=[name])
         return name
 
 
