@@ -2,11 +2,12 @@
 
 A recording is 16-bit mono PCM with its sample rate. Its chroma frames hold the energy of each of the 12 pitch classes in overlapping windows.
 Filters over the integral image of these frames compare two regions each; a filter's value falls into one of four ranges, coded in two bits, and
-16 filters make a packed 32-bit integer for each frame. Two recordings are aligned by the histogram of the offsets at which
-they share runs of RUN integers; at the most frequent offset the share of differing bits over their overlap decides.
+16 filters make a packed 32-bit integer for each frame. Two recordings are aligned by the histogram of the offsets at which they share keys;
+at the most frequent offset the share of differing bits over their overlap decides, if it is at most MOST_ERRORS. A key is half of the bits of a
+frame with half of those of another, GAPS frames later: so bits may differ in either half, and yet unrelated recordings hardly share one.
 
-Recordings with equal fingerprints are folded into classes before anything is compared. Runs travel packed; a run that few classes have is
-tried pair by pair of query and target, whatever there is of either.
+Recordings with equal fingerprints are folded into classes before anything is compared. Keys travel packed; all recordings are looked up, and
+tried with all that share LEAST_HITS keys at one offset. What that finds of the recordings within MOST_ERRORS is in the README.
 
 Defined results: null, empty and too short recordings have an empty fingerprint and match nothing but each other's kind, which
 is one class; an odd last byte is ignored; ties go to the offset nearest 0, then the smaller one, and to the smaller id; repeated ids
@@ -26,8 +27,8 @@ from ._words import U, mix
 WINDOW, HOP = 512, 64  # samples
 LOWEST, HIGHEST = 110.0, 880.0  # Hz
 SPAN = 16  # frames that the widest filter covers
-RUN = 2  # integers that two recordings must share in a row
-LEAST_HITS, MOST_ERRORS = 4, 0.2
+GAPS = (6, 12, 24)  # frames between the two of a key
+LEAST_HITS, MOST_ERRORS = 2, 0.2
 #: kind of region, first pitch class, pitch classes and frames of each filter, by rule.
 FILTERS = [(kind, first, height, width) for kind, heights in ((0, (3, 6)), (1, (2, 4)), (2, (4, 6))) for height in heights for first, width in ((0, 4), (12 - height, 8), ((12 - height) // 2, 16))][:16]
 LIMITS = (-0.25, 0.0, 0.25)
@@ -108,6 +109,18 @@ def fingerprinted(media: DataFrame) -> DataFrame:
     return media.select(F.col("id").cast("long"), "audio", F.col("rate").cast("int")).mapInArrow(done, "id long, fingerprint binary")
 
 
+def keys_of(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a fingerprint and the frame of each: every half of a frame with every half of the frame a gap later."""
+    x, keys, place = ints.astype(np.uint64), [], []
+    for g, gap in enumerate(GAPS):
+        for a in (0, 16):
+            for b in (0, 16):
+                first, second = x[:-gap] >> U(a) & U(0xFFFF), x[gap:] >> U(b) & U(0xFFFF)
+                keys.append(mix(first << U(16) | second | U(g << 40 | a << 34 | b << 33)))
+                place.append(np.arange(len(first), dtype=np.int32))
+    return np.concatenate(keys), np.concatenate(place)
+
+
 def shared_offsets(prints: DataFrame, parts: int) -> DataFrame:
     """query, target, at (offset), hits for all query classes and all classes; ``prints``: id, fingerprint, asked."""
 
@@ -115,20 +128,18 @@ def shared_offsets(prints: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             keys, owner, place = [], [], []
             for k, data in enumerate(batch.column(1).to_pylist()):
-                ints = np.frombuffer(data, "<u4").astype(np.uint64)
-                n = len(ints) - RUN + 1
-                if n > 0:
-                    keys.append(mix(sum((mix(ints[i : n + i] + U(i + 1)) * U(2 * i + 3) for i in range(RUN)), U(0))))
-                    owner.append(np.full(n, k))
-                    place.append(np.arange(n, dtype=np.int32))
+                key, at = keys_of(np.frombuffer(data, "<u4"))
+                keys.append(key)
+                owner.append(np.full(len(key), k))
+                place.append(at)
             if keys:
                 key = np.concatenate(keys)
                 about = [np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(2).to_pylist(), np.uint8)]
-                yield from pack(parts, key, np.concatenate(owner), about, [key, np.concatenate(place)])
+                yield from pack(parts, key, np.concatenate(owner), about, [(key // U(parts)).astype(np.uint32), np.concatenate(place)])
 
     def counted(batches):
         blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-        (ids, asked), owner, (key, place) = packed(blobs, ["i8", "u1"], ["u8", "i4"])
+        (ids, asked), owner, (key, place) = packed(blobs, ["i8", "u1"], ["u4", "i4"])
         order = np.argsort(key, kind="stable")
         key, owner, place = key[order], owner[order], place[order].astype(np.int64)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
@@ -179,7 +190,7 @@ def align(media: DataFrame, queries) -> DataFrame:
     classes = prints.groupBy(key.alias("key")).agg(F.min("id").alias("class_id"), F.count("*").alias("size"), F.max("asked").alias("asked"), F.first("fingerprint").alias("fingerprint"), F.sort_array(F.array(F.min("id"), F.max("id"))).alias("ends"))
     classes = cut(classes)
     one = classes.select(F.col("class_id").alias("id"), "fingerprint", F.col("asked").cast("int").alias("asked"))
-    offsets = shared_offsets(one, parts).groupBy("query", "target", "at").agg(F.sum("hits").alias("hits"))
+    offsets = shared_offsets(one, 4 * parts).groupBy("query", "target", "at").agg(F.sum("hits").alias("hits"))
     best = offsets.groupBy("query", "target").agg(F.max(F.struct("hits", -F.abs("at"), -F.col("at"))).alias("b")).select("query", "target", (-F.col("b.col3")).cast("int").alias("at"), F.col("b.hits").cast("int").alias("hits"))
     best = best.where(F.col("hits") >= LEAST_HITS)
     sides = classes.select(F.col("class_id"), "fingerprint", "size")
