@@ -542,6 +542,42 @@ def test_media(spark):
     assert media.align(spark.createDataFrame([], "id long, audio binary, rate int"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_media_finds_what_brute_force_finds(spark):
+    """Noisy and cut copies of tunes against an alignment of all pairs at all offsets: at least 0.9 of the matches, and no other."""
+    r = np.random.default_rng(15)
+    tones = [np.sin(2 * np.pi * 220 * 2 ** (n / 12) * np.arange(125) / 2000) * np.hanning(125) for n in range(12)]
+    tunes = [np.concatenate([tones[n] for n in r.integers(0, 12, 64)]) for _ in range(40)]
+    sounds = {}
+    for i, tune in enumerate(tunes):
+        sounds[100 + i] = tune
+        noise = np.sqrt((tune**2).mean() / 10 ** (r.choice((3, 6, 10)) / 10))
+        copy = tune + r.normal(0, noise, len(tune))
+        sounds[20 * i + 2000] = copy if i % 2 else copy[64 * 16 :]
+    rows = [(k, (v * 8000).clip(-32768, 32767).astype("<i2").tobytes(), 2000) for k, v in sounds.items()]
+    prints = {k: media.fingerprint(np.frombuffer(a, "<i2"), 2000) for k, a, _ in rows}
+
+    def aligned(a, b):
+        least = 1.0
+        for at in range(-30, 31):
+            x, y = a[max(0, at) :], b[max(0, -at) :]
+            if (n := min(len(x), len(y))) > 60:
+                least = min(least, np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n))
+        return least <= media.MOST_ERRORS
+
+    asked = [k for k in prints if k % 20 == 0]
+    brute = {q: sum(aligned(prints[q], prints[k]) for k in prints if k != q) for q in asked}
+    found = {x["id"]: x["n_matches"] for x in media.align(spark.createDataFrame(rows, "id long, audio binary, rate int"), F.col("id") % 20 == 0).collect()}
+    assert set(found) == set(asked) and sum(brute.values()) >= 38
+    assert sum(min(found[q], brute[q]) for q in asked) >= 0.9 * sum(brute.values()) and all(found[q] <= brute[q] for q in asked)
+
+
+def test_media_of_odd_recordings(spark):
+    silent = bytes(16000)
+    rows = [(20, silent, 2000, "x"), (20, silent, 2000, "x"), (1, silent, 2000, "x"), (40, b"", 2000, "x"), (60, None, None, "x"), (None, silent, 2000, "x")]
+    found = media.align(spark.createDataFrame(rows, "id long, audio binary, rate int, class_id string").repartition(3), F.col("id") % 20 == 0).collect()
+    assert sorted((x["id"], x["n_matches"]) for x in found) == [(20, 3), (20, 3), (40, 1), (60, 1)]
+
+
 def test_operators_are_native_where_asked(docs):
     labelled = docs.select("doc_id", F.lit("x").alias("domain"))
     for df in (fingerprints.fingerprints(docs), mixing.mix(docs, labelled, {"x": 1.0})):
