@@ -262,8 +262,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: flo
 
 def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float = 0.0, hi: float = 4.0, budget: float = 1.0) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...), all columns, each as often as its copies say."""
-    rows = _mixed(sealed(docs), labelled, targets, lo, hi, budget).where("copies > 0")
-    return opened(rows.select("text", ROW, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))), docs.columns)
+    rows = _mixed(sealed(docs), labelled, targets, lo, hi, budget)
+    # A condition on copies would be pushed to the scan, with all that copies are made of written out for each use.
+    rows = rows.select("text", ROW, F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).where("one is not null")
+    return opened(rows, docs.columns)
 
 
 def _mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], lo: float, hi: float, budget: float) -> DataFrame:
