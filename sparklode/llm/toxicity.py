@@ -9,8 +9,8 @@ expect; the segments of running text that cover most of that count are taken one
 (Trained by the library alone, on windows of toxic text, the toxic dictionary fills with prose: see the README for figures.)
 
 A document's measures are how many of its windows, and how large a share of them, are at least 1, 2, ..., STEPS bytes apart. A logistic
-calibration, on documents of the sample that no dictionary has seen, weighs these thresholds and turns them into a score; its
-intercept is such that at 0.5 one clean document is lost for COST toxic ones caught, if both are as frequent.
+calibration weighs these thresholds and turns them into a score. It is fitted on each half of the sample with dictionaries of the other half, so
+on documents that these haven't seen; the dictionaries that are used then come from the whole sample. The intercept is such that at 0.5 one clean document is lost for COST toxic ones caught, if both are as frequent.
 
 Defined results: null and empty texts score what a text without windows scores; without labels of both classes all
 scores are 0.0; with a single document of a class it serves for training and for calibration; any text length is read whole; repeated rows
@@ -161,13 +161,22 @@ def fit(sample: list[tuple[str, str]]) -> dict | None:
     sides = {k: [t for label, t in sample if label == k] for k in ("0", "1")}
     if not all(sides.values()):
         return None
-    trained = {k: _distinct(v[::2]) for k, v in sides.items()}
-    model = {"shared": shared_dictionary(trained["0"]), "ordinary": b"", "toxic": contrastive_cover(trained["1"], trained["0"], OWN_BYTES)}
-    held = [(k, windows(t)) for k, v in sides.items() for t in v[1::2] or v]
-    x, y = Distance(model).features([w for _, w in held]), np.array([k == "1" for k, _ in held], float)
-    weights = logistic(x, y)
+    halves = [{k: v[i::2] for k, v in sides.items()} for i in range(2)]
+    x, y = [], []
+    for trained, held in (halves, halves[::-1]):
+        distance = Distance(_dictionaries({k: trained[k] or held[k] for k in sides}))
+        for k, texts in held.items():
+            x.append(distance.features([windows(t) for t in texts]))
+            y += [k == "1"] * len(texts)
+    weights = logistic(np.concatenate(x), np.array(y, float))
     weights[-1] -= np.log(COST)
-    return model | {"weights": weights}
+    return _dictionaries(sides) | {"weights": weights}
+
+
+def _dictionaries(sides: dict[str, list[str]]) -> dict[str, bytes]:
+    """What both dictionaries begin with, and what each has besides, from the texts of each class."""
+    toxic, ordinary = _distinct(sides["1"]), _distinct(sides["0"])
+    return {"shared": shared_dictionary(ordinary), "ordinary": b"", "toxic": contrastive_cover(toxic, ordinary, OWN_BYTES)}
 
 
 def _scores(distance: Distance, weights: np.ndarray, texts: pa.Array) -> np.ndarray:
