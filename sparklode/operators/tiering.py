@@ -27,10 +27,13 @@ def rotate(store: Store, age: int = ROTATE_AFTER, now: int | None = None) -> tup
             size = store.files.size(r["local_path"])
             if size < 0:
                 raise FileNotFoundError(r["local_path"])
-            store.files.delete(target)
-            store.files.copy(r["local_path"], target)
-            if (copied := store.files.size(target)) != size:
+            beside = f"{store.remote_root}/.partial-{r['id']}"  # a listing never shows a part of a segment under its name
+            store.files.delete(beside)
+            store.files.copy(r["local_path"], beside)
+            if (copied := store.files.size(beside)) != size:
                 raise OSError(f"{copied} of {size} bytes arrived")
+            store.files.delete(target)  # of an attempt that ended before the catalog knew of it
+            store.files.rename(beside, target)
             urls[r["id"]] = target
         except Exception as error:  # noqa: BLE001  one segment's trouble doesn't keep others from moving
             failed.append(f"{r['id']}: {error}")
