@@ -23,6 +23,7 @@ from ._common import partitions
 DRAWS = 64  # hash functions
 CODE_BITS = 28  # of a sample's identity
 RANGE_ROWS, MOST_RANGES, SAMPLED = 100, 16_384, 8
+BLOCK = 128  # split points that a row is compared with at a time
 
 
 def split_points(docs: DataFrame) -> list[tuple[int, int]]:
@@ -37,16 +38,20 @@ def split_points(docs: DataFrame) -> list[tuple[int, int]]:
 
 
 def with_range(rows: DataFrame, points: list[tuple[int, int]]) -> DataFrame:
-    """``rows`` (key, hash, ...) with range, the number of split points that are not behind the row: by binary search, a column for each step."""
-    rows = rows.withColumn("range", F.lit(0))
+    """``rows`` (key, hash, ...) with range, the number of split points that are not behind the row: its place in a block of BLOCK points, after its block's.
+
+    Points are hexadecimal digits, which sort as the numbers do. It is one expression that is never null: a filter on range, also one that the optimizer
+    infers, has it once. A column for each step of a binary search was written out in the steps' number of powers.
+    """
     if not points:
-        return rows
-    keys, hashes = (F.split(F.lit(",".join(str(p[i]) for p in points)), ",").cast("array<bigint>") for i in range(2))  # folded into constants
-    for step in (1 << k for k in range(len(points).bit_length() - 1, -1, -1)):
-        at = F.col("range") + F.lit(step - 1)
-        k, h = F.get(keys, at), F.get(hashes, at)
-        rows = rows.withColumn("range", F.when((k < F.col("key")) | ((k == F.col("key")) & (h <= F.col("hash"))), F.col("range") + step).otherwise(F.col("range")))
-    return rows
+        return rows.withColumn("range", F.lit(0))
+    digits = ["".join(f"{n + (1 << 63):016x}" for n in p) for p in points]
+    sign = F.lit(-(1 << 63))
+    own = F.concat(*(F.lpad(F.lower(F.hex(F.col(c).bitwiseXOR(sign))), 16, "0") for c in ("key", "hash")), F.lit("~"))  # behind an equal point
+    known = lambda some: F.split(F.lit(",".join(some)), ",")  # noqa: E731  folded into a constant
+    before = lambda some: F.coalesce(F.array_position(F.sort_array(F.array_append(some, own)), own).cast("int"), F.lit(1)) - 1
+    block = F.greatest(before(known(digits[::BLOCK])) - 1, F.lit(0)) * BLOCK
+    return rows.withColumn("range", block + before(F.slice(known(digits), block + 1, BLOCK)))
 
 
 def ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

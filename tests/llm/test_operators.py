@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows, extra columns; and on empty ones."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -528,6 +529,17 @@ def test_fingerprints_cross_ranges_and_ties(spark):
     assert sorted(r["edited_sha256"] for r in found) == sorted(want)
 
 
+def test_fingerprints_by_many_split_points(spark, monkeypatch):
+    r = random.Random(13)
+    points = sorted({(r.choice([-(1 << 63), -7, 0, 7, r.randrange(-(1 << 62), 1 << 62)]), r.randrange(-(1 << 63), 1 << 63)) for _ in range(600)})
+    rows = [*points[::5], *((k, h - 1) for k, h in points[::7]), *((k, h + 1) for k, h in points[::7]), (-(1 << 63), -(1 << 63)), ((1 << 63) - 1, (1 << 63) - 1)]
+    got = fingerprints.with_range(spark.createDataFrame(rows, "key long, hash long"), points).collect()
+    assert len(got) == len(rows) and all(x["range"] == bisect.bisect_right(points, (x["key"], x["hash"])) for x in got)
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
+    texts = spark.createDataFrame([(i, prose(r, 8)) for i in range(700)], "doc_id long, text string")
+    assert len(fingerprints.fingerprints(texts)._jdf.queryExecution().optimizedPlan().toString()) < 400_000  # the search is not written out for each step
+
+
 def test_media(spark):
     r = np.random.default_rng(5)
     tune = lambda notes: np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (n / 12) * np.arange(250) / 2000) * np.hanning(250) for n in notes])
