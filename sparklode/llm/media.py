@@ -6,8 +6,8 @@ Filters over the integral image of these frames compare two regions each; a filt
 at the most frequent offset the share of differing bits over their overlap decides, if it is at most MOST_ERRORS. A key is half of the bits of a
 frame with half of those of another, GAPS frames later: so bits may differ in either half, and yet unrelated recordings hardly share one.
 
-Recordings with equal fingerprints are folded into classes before anything is compared. Keys travel packed; all recordings are looked up, and
-tried with all that share LEAST_HITS keys at one offset. What that finds of the recordings within MOST_ERRORS is in the README.
+Recordings with equal fingerprints are folded into classes before anything is compared. Fingerprints travel, keys do not; all recordings are looked up
+in blocks of queries, and tried with all that share LEAST_HITS keys at one offset. What that finds of the recordings within MOST_ERRORS is in the README.
 
 Defined results: null, empty and too short recordings have an empty fingerprint and match nothing but each other's kind, which
 is one class; an odd last byte is ignored; ties go to the offset nearest 0, then the smaller one, and to the smaller id; repeated ids
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import cut, partitions, prepare
-from ._exchange import dealt, pack, packed
+from ._exchange import dealt
 from ._words import U, mix
 
 WINDOW, HOP = 512, 64  # samples
@@ -29,6 +29,8 @@ LOWEST, HIGHEST = 110.0, 880.0  # Hz
 SPAN = 16  # frames that the widest filter covers
 GAPS = (6, 12, 24)  # frames between the two of a key
 LEAST_HITS, MOST_ERRORS = 2, 0.2
+BLOCK_BYTES = 1 << 20  # of fingerprints of the queries that a task holds, 12 keys for each 4
+FRAMES, AT_ONCE = 1 << 16, 1 << 22  # looked up at a time; hits, or frames compared, at a time
 #: kind of region, first pitch class, pitch classes and frames of each filter, by rule.
 FILTERS = [(kind, first, height, width) for kind, heights in ((0, (3, 6)), (1, (2, 4)), (2, (4, 6))) for height in heights for first, width in ((0, 4), (12 - height, 8), ((12 - height) // 2, 16))][:16]
 LIMITS = (-0.25, 0.0, 0.25)
@@ -121,62 +123,114 @@ def keys_of(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(place)
 
 
-def shared_offsets(prints: DataFrame, parts: int) -> DataFrame:
-    """query, target, at (offset), hits for all query classes and all classes; ``prints``: id, fingerprint, asked."""
+def bit_errors(at: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], of: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Share of differing bits over the overlap of fingerprints a[of] and b[to] at the offsets ``at``."""
+    sides = [(np.concatenate(x), np.cumsum(n) - n, n) for x, n in ((x, np.array([len(f) for f in x])) for x in (a, b))]
+    (x, x0, nx), (y, y0, ny) = sides
+    left, right = np.maximum(0, at), np.maximum(0, -at)
+    n = np.minimum(nx[of] - left, ny[to] - right)
+    out = np.ones(len(at))
+    some = np.flatnonzero(n > 0)
+    for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(n[some]) // AT_ONCE)) + 1) if len(some) else []:
+        m = n[part]
+        begin = np.cumsum(m) - m
+        step = np.arange(m.sum()) - np.repeat(begin, m)
+        bits = np.bitwise_count(x[np.repeat(x0[of[part]] + left[part], m) + step] ^ y[np.repeat(y0[to[part]] + right[part], m) + step])
+        out[part] = np.add.reduceat(bits.astype(np.int64), begin) / (32 * m)
+    return out
 
-    def dealt_out(batches):
-        for batch in batches:
-            keys, owner, place = [], [], []
-            for k, data in enumerate(batch.column(1).to_pylist()):
-                key, at = keys_of(np.frombuffer(data, "<u4"))
-                keys.append(key)
-                owner.append(np.full(len(key), k))
-                place.append(at)
-            if keys:
-                key = np.concatenate(keys)
-                about = [np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(2).to_pylist(), np.uint8)]
-                yield from pack(parts, key, np.concatenate(owner), about, [(key // U(parts)).astype(np.uint32), np.concatenate(place)])
-
-    def counted(batches):
-        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-        (ids, asked), owner, (key, place) = packed(blobs, ["i8", "u1"], ["u4", "i4"])
-        order = np.argsort(key, kind="stable")
-        key, owner, place = key[order], owner[order], place[order].astype(np.int64)
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        last = np.r_[first[1:], len(key)]
-        mine = np.flatnonzero(asked[owner] == 1)
-        group = np.searchsorted(first, mine, side="right") - 1
-        for start in range(0, len(mine), 20_000):
-            q, g = mine[start : start + 20_000], group[start : start + 20_000]
-            size = last[g] - first[g]
-            for some in np.array_split(np.arange(len(q)), max(1, int(size.sum()) // 2_000_000 + 1)):
-                n = size[some]
-                left = np.repeat(q[some], n)
-                right = np.repeat(first[g[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                other = ids[owner[left]] != ids[owner[right]]
-                left, right = left[other], right[other]
-                found, hits = np.unique(np.c_[ids[owner[left]], ids[owner[right]], place[left] - place[right]], axis=0, return_counts=True)
-                for a in range(0, len(found), 1 << 16):
-                    b = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(found[b, 0]), pa.array(found[b, 1]), pa.array(found[b, 2].astype(np.int32)), pa.array(hits[b].astype(np.int32))], ["query", "target", "at", "hits"])
-
-    return dealt(prints.select("id", "fingerprint", "asked").mapInArrow(dealt_out, "to int, blob binary"), parts).mapInArrow(counted, "query long, target long, at int, hits int")
-
-
-def bit_errors(pairs: DataFrame) -> DataFrame:
-    """query, target, at, hits, error of ``pairs`` (query, target, at, hits, a, b): differing bits over the overlap at that offset."""
+
+def all_keys(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the fingerprints, whose they are (ascending), and their frames."""
+    found = [keys_of(x) for x in prints]
+    return np.concatenate([k for k, _ in found]), np.repeat(np.arange(len(found)), [len(k) for k, _ in found]), np.concatenate([p for _, p in found]).astype(np.int64)
+
+
+def best_offsets(index: tuple[np.ndarray, ...], queries: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """query, target (their places), offset and hits of all that share at least LEAST_HITS keys at their most frequent offset. index: sorted keys of the queries, whose, frames."""
+    known, whose, frame = index
+    key, owner, place = all_keys(targets)
+    order = np.argsort(key)
+    low, high = np.zeros((2, len(key)), np.int64)
+    low[order], high[order] = (np.searchsorted(known, key[order], side) for side in ("left", "right"))
+    hit = np.flatnonzero(high > low)
+    n = (high - low)[hit]
+    longest = max(map(len, targets))
+    span = longest + max(map(len, queries))
+    total = np.cumsum(np.bincount(owner[hit], n, len(targets))).astype(np.int64)
+    out, first = [], 0
+    while first < len(targets):
+        base = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, base + AT_ONCE, "right")))  # whole targets, one at least
+        here = slice(*np.searchsorted(owner[hit], (first, last)))
+        codes, counts = [], []
+        for part in np.array_split(np.arange(here.start, here.stop), int(n[here].sum()) // AT_ONCE + 1):
+            m, right = n[part], np.repeat(hit[part], n[part])
+            left = np.repeat(low[hit[part]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            code, count = np.unique((owner[right] * len(queries) + whose[left]) * span + (frame[left] - place[right] + longest), return_counts=True)
+            codes.append(code)
+            counts.append(count)
+        code, hits = codes[0], counts[0]
+        if len(codes) > 1:
+            code, back = np.unique(np.concatenate(codes), return_inverse=True)
+            hits = np.bincount(back, np.concatenate(counts), len(code)).astype(np.int64)
+        code, hits = code[hits >= LEAST_HITS], hits[hits >= LEAST_HITS]
+        pair, at = code // span, code % span - longest
+        order = np.lexsort((at, np.abs(at), -hits, pair))
+        order = order[np.r_[True, pair[order][1:] != pair[order][:-1]][: len(order)]]
+        out.append((pair[order] % len(queries), pair[order] // len(queries), at[order], hits[order]))
+        first = last
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def matches(classes: DataFrame, parts: int) -> DataFrame:
+    """query, code, target, at (offset), hits, error, size of all pairs within MOST_ERRORS; ``classes``: id, code, size, fingerprint, asked.
+
+    A task has a block of the queries, whose keys it sorts, and looks a share of all classes up in them: what chance makes of single hits
+    stays in its memory. Fingerprints travel once for each block, and a block's queries once for each share.
+    """
+    asked = classes.where("asked")
+    blocks = max(1, -(-(asked.agg(F.sum(F.length("fingerprint")).alias("n")).first()["n"] or 0) // BLOCK_BYTES))
+    place = lambda n, salt: F.pmod(F.xxhash64("code", "id", F.lit(salt)), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = ["id", "code", "size", "fingerprint"]
+    a = asked.select(spread(parts).alias("share"), place(blocks, 1).alias("block"), F.lit(0).alias("side"), *columns)
+    b = classes.select(place(parts, 2).alias("share"), spread(blocks).alias("block"), F.lit(1).alias("side"), *columns)
+    schema = "query long, code long, target long, at int, hits int, error double, size long"
 
     def compared(batches):
+        index, queries, ids, codes = None, [], [], []
         for batch in batches:
-            out = []
-            for at, a, b in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-                a, b = a[max(0, at) :], b[max(0, -at) :]
-                n = min(len(a), len(b))
-                out.append(float(np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n)) if n else 1.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, pa.float64())], ["query", "target", "at", "hits", "error"])
-
-    return pairs.select("query", "target", "at", "hits", "a", "b").mapInArrow(compared, "query long, target long, at int, hits int, error double")
+            side, data = batch.column(0).to_numpy(), batch.column(4).to_pylist()
+            prints = [np.frombuffer(x, "<u4") for x in data]
+            cut_at = int((side == 0).sum())
+            queries += prints[:cut_at]
+            ids += batch.column(1).to_pylist()[:cut_at]
+            codes += batch.column(2).to_pylist()[:cut_at]
+            if cut_at == len(side) or not queries:
+                continue
+            if index is None:
+                key, whose, frame = all_keys(queries)
+                order = np.argsort(key)
+                index = key[order], whose[order], frame[order]
+                del key, whose, frame, order
+            others, sizes = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            frames = np.cumsum([len(x) for x in prints])
+            for part in np.split(np.arange(cut_at, len(side)), np.flatnonzero(np.diff(frames[cut_at:] // FRAMES)) + 1):
+                targets = [prints[i] for i in part]
+                q, t, at, hits = best_offsets(index, queries, targets)
+                error = bit_errors(at, queries, targets, q, t) if len(q) else np.zeros(0)
+                near = [i for i in np.flatnonzero(error <= MOST_ERRORS).tolist() if queries[q[i]].tobytes() != targets[t[i]].tobytes()]  # not itself
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[q[i]] for i in near], pa.int64()), pa.array([codes[q[i]] for i in near], pa.int64()), pa.array([others[part[t[i]]] for i in near], pa.int64()), pa.array(at[near].astype(np.int32), pa.int32()),
+                        pa.array(hits[near].astype(np.int32), pa.int32()), pa.array(error[near], pa.float64()), pa.array([sizes[part[t[i]]] for i in near], pa.int64()),
+                    ],
+                    [c.split()[0] for c in schema.split(", ")],
+                )
+
+    both = a.unionByName(b).select((F.col("block") * parts + F.col("share")).alias("to"), "side", *columns)
+    return dealt(both, blocks * parts).sortWithinPartitions("side").select("side", *columns).mapInArrow(compared, schema)
 
 
 def align(media: DataFrame, queries) -> DataFrame:
@@ -189,16 +243,10 @@ def align(media: DataFrame, queries) -> DataFrame:
     key = F.sha2("fingerprint", 256)
     classes = prints.groupBy(key.alias("key")).agg(F.min("id").alias("class_id"), F.count("*").alias("size"), F.max("asked").alias("asked"), F.first("fingerprint").alias("fingerprint"), F.sort_array(F.array(F.min("id"), F.max("id"))).alias("ends"))
     classes = cut(classes)
-    one = classes.select(F.col("class_id").alias("id"), "fingerprint", F.col("asked").cast("int").alias("asked"))
-    offsets = shared_offsets(one, 4 * parts).groupBy("query", "target", "at").agg(F.sum("hits").alias("hits"))
-    best = offsets.groupBy("query", "target").agg(F.max(F.struct("hits", -F.abs("at"), -F.col("at"))).alias("b")).select("query", "target", (-F.col("b.col3")).cast("int").alias("at"), F.col("b.hits").cast("int").alias("hits"))
-    best = best.where(F.col("hits") >= LEAST_HITS)
-    sides = classes.select(F.col("class_id"), "fingerprint", "size")
-    pairs = best.join(sides.select(F.col("class_id").alias("query"), F.col("fingerprint").alias("a")), "query").join(sides.select(F.col("class_id").alias("target"), F.col("fingerprint").alias("b")), "target")
-    near = bit_errors(pairs).where(F.col("error") <= MOST_ERRORS).join(sides.select(F.col("class_id").alias("target"), "size"), "target")
-    near = near.groupBy("query").agg(F.sum("size").alias("others"), F.min(F.struct("error", F.col("target").alias("id"), "at")).alias("best"))
+    near = matches(classes.select(F.col("class_id").alias("id"), F.xxhash64("fingerprint").alias("code"), "size", "fingerprint", "asked").where(F.length("fingerprint") > 0), parts)
+    near = near.groupBy("query", "code").agg(F.sum("size").alias("others"), F.min(F.struct("error", F.col("target").alias("id"), "at")).alias("best"))
     asked = prints.where("asked").select("id", key.alias("key"), (F.length("fingerprint") / 4).cast("long").alias("n_frames"))
-    found = asked.join(classes.select("key", "class_id", "size", "ends"), "key").join(near, F.col("class_id") == F.col("query"), "left")
+    found = asked.join(classes.select("key", "class_id", "size", "ends", F.xxhash64("fingerprint").alias("own")), "key").join(near, (F.col("class_id") == F.col("query")) & (F.col("own") == F.col("code")), "left")
     twin = F.when(F.col("size") > 1, F.when(F.col("class_id") != F.col("id"), F.col("class_id")).otherwise(F.col("ends")[1]))
     return found.select(
         "id", "n_frames", "class_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_matches"),

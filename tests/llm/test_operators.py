@@ -583,6 +583,41 @@ def test_media_finds_what_brute_force_finds(spark):
     assert sum(min(found[q], brute[q]) for q in asked) >= 0.9 * sum(brute.values()) and all(found[q] <= brute[q] for q in asked)
 
 
+def test_media_in_blocks_against_all_keys(spark, monkeypatch):
+    """Several blocks of queries, shared silence, few hits at a time, repeated ids: the same as from counting all shared keys."""
+    r = np.random.default_rng(23)
+    base = [r.integers(0, 1 << 32, int(r.integers(30, 90)), np.uint32) for _ in range(12)]
+    prints = [(i, x) for i, x in enumerate(base)] + [(20 * i, np.r_[np.zeros(15, np.uint32), base[i][7:], np.zeros(15, np.uint32)]) for i in range(12)]
+    monkeypatch.setattr(media, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(media, "AT_ONCE", 300)
+    monkeypatch.setattr(media, "fingerprinted", lambda df: df.select("id", F.col("audio").alias("fingerprint")))
+    table = spark.createDataFrame([(i, x.astype("<u4").tobytes(), 1) for i, x in prints], "id long, audio binary, rate int")
+
+    def wanted(a, b):
+        at = Counter()
+        for (k, i), (h, j) in ((x, y) for x in zip(*media.keys_of(a)) for y in by_key[id(b)].get(x[0], ())):
+            at[int(i) - int(j)] += 1
+        if not at or (most := max(at.values())) < media.LEAST_HITS:
+            return None
+        best = min((k for k, v in at.items() if v == most), key=lambda k: (abs(k), k))
+        x, y = a[max(0, best) :], b[max(0, -best) :]
+        n = min(len(x), len(y))
+        error = np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n)
+        return (error, best) if error <= media.MOST_ERRORS else None
+
+    by_key = {}
+    for _, b in prints:
+        for h, j in zip(*media.keys_of(b)):
+            by_key.setdefault(id(b), {}).setdefault(h, []).append((h, j))
+    expected = []
+    for q, a in prints:
+        if q % 20 == 0:
+            near = sorted((*w, i) for i, b in prints if b is not a and (w := wanted(a, b)))
+            expected.append((q, len(a), len(near)))
+    found = media.align(table, F.col("id") % 20 == 0).collect()
+    assert sorted((x["id"], x["n_frames"], x["n_matches"]) for x in found) == sorted(expected) and sum(e[2] for e in expected) >= 12
+
+
 def test_media_of_odd_recordings(spark):
     silent = bytes(16000)
     rows = [(20, silent, 2000, "x"), (20, silent, 2000, "x"), (1, silent, 2000, "x"), (40, b"", 2000, "x"), (60, None, None, "x"), (None, silent, 2000, "x")]
