@@ -7,7 +7,8 @@ the positions of the shared token bound their overlap. What passes is verified o
 earlier line, by doc_id and line number, matches it, whether that one goes as well or not.
 
 Equal lines are folded first, in map tasks and then by a hash of their token set; lines of one token match equal ones only and end there. Of a token that many lines share, only
-pairs with its first line are tried at first; the lines that this leaves unmatched are then tried with all earlier ones.
+pairs with its first line are tried at first; the lines that this leaves unmatched are then tried with all earlier ones whose parities of tokens differ
+in few enough places, which no match can fail.
 
 Defined results: lines with fewer words than a shingle match lines of the same words; lines without words are kept; a null text stays null and
 has no lines; a document may be left with an empty text, which ``dedup`` keeps; rows with the same id are documents of their own, in the order
@@ -30,8 +31,10 @@ from .substring_dedup import blocks
 
 SHINGLE = 5
 FEW = 8  # lines that share a token and are tried pair by pair
-ROWS = "kind int, token long, doc long, line int, n int, at int, other_doc long, other_line int"
-_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+OFTEN = 16  # on the scale of the rarity: from twice the mean counter on, a token's lines go with their parities
+BITS = [f"bits{i}" for i in range(4)]  # parities of a line's tokens by a hash of each, 64 in each column
+ROWS = "kind int, token long, doc long, line int, n int, at int, other_doc long, other_line int, " + ", ".join(f"{b} long" for b in BITS)
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), *(pa.int64() for _ in BITS))
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,12 +79,19 @@ def line_tokens(texts: list[bytes], counts: np.ndarray | None = None) -> tuple[n
     return text, lines - first[text], place[fresh], runs[fresh]
 
 
+def parities(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each set, which begin at ``begin``, 4 numbers of 64 bits: no more of them differ between two sets than tokens do."""
+    place = mix(token ^ U(0x3C6EF372FE94F82B))
+    bit = U(1) << (place & U(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where(place >> U(62) == U(i), bit, U(0)), begin) for i in range(len(BITS))], axis=1)
+
+
 def sketch(docs: DataFrame) -> np.ndarray:
     return rarity(docs, lambda batches: (shingles(texts)[1] for _, texts in blocks(batches)))
 
 
 def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
-    """Prefix tokens (kind 0) and set hashes (kind 1) of the lines, each set once for each block, and what equals a line of its block (kind 2)."""
+    """Prefix tokens (kind 0; kind 3, with the set's parities, where a token is frequent) and set hashes (kind 1) of the lines, each set once for each block, and what equals a line of its block (kind 2)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # SKETCH bytes
 
     def rows(kind: int, batches):
@@ -112,8 +122,15 @@ def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
             at = np.arange(len(line)) - begin[line]
             prefix = n - (3 * n + 3) // 4 + 1
             chosen = (at < prefix[line]) & first[line] & (n[line] > 1)
-            token, line, at = token[chosen], line[chosen], at[chosen]
-            yield from rows(0, pack(parts, token, text[line], own, [token, at.astype(np.uint16), np.minimum(n[line], 1 << 30).astype(np.int32), number[line].astype(np.int32)]))
+            often = chosen & (counts[(token & U(SKETCH - 1)).astype(np.int64)] >= OFTEN)
+            for kind, some in ((0, chosen & ~often), (3, often)):
+                of = line[some]
+                fields = [token[some], at[some].astype(np.uint16), np.minimum(n[of], 1 << 30).astype(np.int32), number[of].astype(np.int32)]
+                if kind == 3 and len(of):
+                    these = np.zeros(len(n), bool)
+                    these[of] = True
+                    fields += [*parities(token[these[line]], np.cumsum(n[these]) - n[these])[np.cumsum(these)[of] - 1].T]
+                yield from rows(kind, pack(parts, token[some], text[of], own, fields))
 
     return docs.mapInArrow(indexed, "kind int, to int, blob binary").repartitionById(parts, F.col("to"))
 
@@ -129,7 +146,7 @@ def candidates(indexed: DataFrame) -> DataFrame:
     """kind 0: a line that equals an earlier one; kind 1: a line (doc, line) and an earlier one to try; kind 2: a posting of a token that many share."""
 
     def found(batches):
-        kept: dict[int, list[bytes]] = {0: [], 1: [], 2: []}
+        kept: dict[int, list[bytes]] = {0: [], 1: [], 2: [], 3: []}
         for batch in batches:
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 kept[kind].append(blob)
@@ -141,8 +158,12 @@ def candidates(indexed: DataFrame) -> DataFrame:
         again = np.r_[False, key[order][1:] == key[order][:-1]][: len(order)]
         yield _batch(0, doc=doc[order][again], line=line[order][again])
         (ids,), owner, (token, at, n, line) = packed(kept[0], ["i8"], ["u8", "u2", "i4", "i4"])
+        (more_ids,), more_owner, more = packed(kept[3], ["i8"], ["u8", "u2", "i4", "i4", *["u8"] * len(BITS)])
         kept.clear()
-        doc = ids[owner]
+        rare = len(token)  # those from here on have parities, the others zeros; a token's are all of one kind
+        parity = np.vstack([np.zeros((1, len(BITS)), np.uint64), np.stack(more[4:], axis=1)])
+        doc = np.r_[ids[owner], more_ids[more_owner]]
+        token, at, n, line = (np.concatenate(x) for x in zip((token, at, n, line), more[:4], strict=True))
         order = np.lexsort((line, doc, token))
         token, at, n, line, doc = (x[order] for x in (token, at.astype(np.int64), n.astype(np.int64), line, doc))
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
@@ -158,7 +179,8 @@ def candidates(indexed: DataFrame) -> DataFrame:
             x.append(np.repeat(many[0], many[1] - 1))
             y.append(np.concatenate([np.arange(a + 1, a + k) for a, k in zip(*many, strict=True)]))
             hot = np.concatenate([np.arange(a, a + k) for a, k in zip(*many, strict=True)])
-            yield _batch(2, token=token[hot].view(np.int64), doc=doc[hot], line=line[hot], n=n[hot], at=at[hot])
+            bits = dict(zip(BITS, parity[np.maximum(order[hot] - rare + 1, 0)].T.copy().view(np.int64), strict=True))
+            yield _batch(2, token=token[hot].view(np.int64), doc=doc[hot], line=line[hot], n=n[hot], at=at[hot], **bits)
         if x:
             x, y = np.concatenate(x), np.concatenate(y)
             least = -(-3 * (n[x] + n[y]) // 7)
@@ -231,11 +253,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     pairs = cut(pairs.join(equal.distinct(), ["doc", "line"], "left_anti"))
     matched = cut(verify(docs, pairs, parts).unionByName(equal).distinct())
     many = found.where("kind = 2")
-    open_lines = many.select("token", "doc", "line", "n", "at").join(matched, ["doc", "line"], "left_anti")
-    x = many.select("token", F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("n").alias("m"), F.col("at").alias("other_at"))
+    open_lines = many.select("token", "doc", "line", "n", "at", *BITS).join(matched, ["doc", "line"], "left_anti")
+    x = many.select("token", F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("n").alias("m"), F.col("at").alias("other_at"), *(F.col(b).alias(f"other_{b}") for b in BITS))
     earlier = F.struct("other_doc", "other_line") < F.struct("doc", "line")
     fits = (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (7 * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at")) >= 3 * (F.col("n") + F.col("m")))
-    more = open_lines.join(x, "token").where(earlier & fits).select("doc", "line", "other_doc", "other_line").distinct()
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in BITS), F.lit(0))  # at most as many tokens as are in one set only, a seventh of both where sets match
+    more = open_lines.join(x, "token").where(earlier & fits & (7 * differ <= F.col("n") + F.col("m"))).select("doc", "line", "other_doc", "other_line").distinct()
     more = cut(more.join(pairs, ["doc", "line", "other_doc", "other_line"], "left_anti"))
     return cut(matched.unionByName(verify(docs, more, parts)).distinct()) if more.limit(1).count() else matched
 

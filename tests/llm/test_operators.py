@@ -160,6 +160,26 @@ def test_line_dedup(spark, docs, rows, empty):
     assert line_dedup.dedup(empty).count() == 0 and line_dedup.cleaned(empty).count() == 0
 
 
+def test_line_dedup_of_a_passage_with_many_edits(spark, monkeypatch):
+    """Lines of one passage, each with words of its own: those that no parity rules out are all that goes to verification, and the result is exact."""
+    r = random.Random(41)
+    passage = [r.choice(VOCABULARY) + str(i) for i in range(64)]
+    texts = []
+    for i in range(240):
+        words = list(passage)
+        for k in r.sample(range(4, 60), r.choice((1, 2, 2, 2))):
+            words[k] = f"own{i}x{k}"
+        texts.append((i, " ".join(words)))
+    tried = []
+    verify = line_dedup.verify
+    monkeypatch.setattr(line_dedup, "verify", lambda docs, pairs, parts: (tried.append(pairs.count()), verify(docs, pairs, parts))[1])
+    got = line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    sets = [shingles(t) for _, t in texts]
+    alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    assert {x["doc_id"]: x["n_removed"] for x in got.collect()} == {i: int(any(alike(sets[i], sets[j]) for j in range(i))) for i in range(len(sets))}
+    assert sum(tried) < 3 * sum(alike(sets[i], sets[j]) for i in range(240) for j in range(i))
+
+
 def test_line_dedup_of_repeated_and_null_ids(spark):
     a, b, c, d = ("\n".join(f"{x} line {i} of so many words {x}{i}" for i in range(3)) for x in "abcd")
     rows = [(1, a), (7, f"{a}\n{b}"), (7, f"{c}\n{d}"), (8, f"{d}\n{d}"), (None, a), (None, a), (9, None), (9, ""), (10, c), (10, c)]
