@@ -6,9 +6,10 @@ least 0.75 alike share one of the x - ceil(0.75 x) + 1 rarest of the one and lik
 the positions of the shared token bound their overlap. What passes is verified on the lines themselves. A line goes if any
 earlier line, by doc_id and line number, matches it, whether that one goes as well or not.
 
-Equal lines are folded first, in map tasks and then by a hash of their token set; lines of one token match equal ones only and end there. Of a token that many lines share, only
-pairs with its first line are tried at first; the lines that this leaves unmatched are then tried with all earlier ones whose parities of tokens differ
-in few enough places, which no match can fail.
+Equal lines are folded first, in map tasks and then by a hash of their token set; lines of one token match equal ones only and end there. Of a token that many lines share, each
+is tried at first only with the NEAREST earlier ones, of WINDOW, by parities of their tokens: one match is enough, so that a group of near copies
+costs pairs in proportion to its lines. Lines that this leaves unmatched, and that have more to try, are then tried with all earlier ones but
+copies, if their parities differ in few enough places, which no match can fail.
 
 Defined results: lines with fewer words than a shingle match lines of the same words; lines without words are kept; a null text stays null and
 has no lines; a document may be left with an empty text, which ``dedup`` keeps; rows with the same id are documents of their own, in the order
@@ -31,6 +32,9 @@ from .substring_dedup import blocks
 
 SHINGLE = 5
 FEW = 8  # lines that share a token and are tried pair by pair
+NEAREST = 2  # earlier lines that a line is tried with at first for each token that more lines share
+WINDOW = 4096  # earlier lines that these are chosen from
+LOOKED_UP = 50_000  # pairs whose documents are picked by a broadcast of their ids
 OFTEN = 16  # on the scale of the rarity: from twice the mean counter on, a token's lines go with their parities
 BITS = [f"bits{i}" for i in range(4)]  # parities of a line's tokens by a hash of each, 64 in each column
 ROWS = "kind int, token long, doc long, line int, n int, at int, other_doc long, other_line int, " + ", ".join(f"{b} long" for b in BITS)
@@ -86,6 +90,41 @@ def parities(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(place >> U(62) == U(i), bit, U(0)), begin) for i in range(len(BITS))], axis=1)
 
 
+def may_match(n: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the lengths of sets x and y, and the places of a token that they share, leave room for a match."""
+    least = -(-3 * (n[x] + n[y]) // 7)
+    return (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= least)
+
+
+def nearest(first: np.ndarray, length: np.ndarray, n: np.ndarray, at: np.ndarray, parity: np.ndarray, bits: np.ndarray, keep: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (earlier, later) of each posting of these runs with the ``keep`` of the ``window`` before it that it may match and whose parities differ least; and the postings with others to try.
+
+    A run is the postings of a token in the order of their lines; ``parity[bits]`` are those of the postings. One that doesn't differ at all is enough.
+    """
+    rank = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    posting = np.repeat(first, length) + rank
+    tried = np.minimum(rank, window)
+    xs, ys, left = [], [], [posting[rank > window]]
+    for some in np.split(np.arange(len(posting)), np.flatnonzero(np.diff(np.cumsum(tried) >> 18)) + 1):
+        y = np.repeat(posting[some], tried[some])
+        x = y - 1 - np.arange(len(y)) + np.repeat(np.cumsum(tried[some]) - tried[some], tried[some])
+        fits = may_match(n, at, x, y)
+        x, y = x[fits], y[fits]
+        differ = np.bitwise_count(parity[bits[x]] ^ parity[bits[y]]).sum(axis=1).astype(np.int64)
+        fits = 7 * differ <= n[x] + n[y]
+        x, y, differ = x[fits], y[fits], differ[fits]
+        order = np.lexsort((x, differ, y))
+        x, y, differ = x[order], y[order], differ[order]
+        begin = np.flatnonzero(np.r_[True, y[1:] != y[:-1]][: len(y)])
+        count = np.diff(np.r_[begin, len(y)])
+        place = np.arange(len(y)) - np.repeat(begin, count)
+        taken = (place < keep) & ((place == 0) | (np.repeat(differ[begin], count) > 0))
+        xs.append(x[taken])
+        ys.append(y[taken])
+        left.append(y[~taken])
+    return np.concatenate(xs), np.concatenate(ys), np.unique(np.concatenate(left))
+
+
 def sketch(docs: DataFrame) -> np.ndarray:
     return rarity(docs, lambda batches: (shingles(texts)[1] for _, texts in blocks(batches)))
 
@@ -135,7 +174,7 @@ def index(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
     return docs.mapInArrow(indexed, "kind int, to int, blob binary").repartitionById(parts, F.col("to"))
 
 
-def _batch(kind: int, **columns) -> pa.RecordBatch:
+def _batch(kind: int | np.ndarray, **columns) -> pa.RecordBatch:
     names = [c.split()[0] for c in ROWS.split(", ")]
     n = len(next(iter(columns.values())))
     columns["kind"] = np.full(n, kind)
@@ -143,7 +182,7 @@ def _batch(kind: int, **columns) -> pa.RecordBatch:
 
 
 def candidates(indexed: DataFrame) -> DataFrame:
-    """kind 0: a line that equals an earlier one; kind 1: a line (doc, line) and an earlier one to try; kind 2: a posting of a token that many share."""
+    """kind 0: a line that equals an earlier one; kind 1: a line (doc, line) and an earlier one to try; kind 2 and 3: a posting of a token that many share, 3 if its line has more earlier ones to try."""
 
     def found(batches):
         kept: dict[int, list[bytes]] = {0: [], 1: [], 2: [], 3: []}
@@ -176,15 +215,18 @@ def candidates(indexed: DataFrame) -> DataFrame:
                 y += [runs + j] * j
         many = first[length > FEW], length[length > FEW]
         if len(many[0]):
-            x.append(np.repeat(many[0], many[1] - 1))
-            y.append(np.concatenate([np.arange(a + 1, a + k) for a, k in zip(*many, strict=True)]))
-            hot = np.concatenate([np.arange(a, a + k) for a, k in zip(*many, strict=True)])
-            bits = dict(zip(BITS, parity[np.maximum(order[hot] - rare + 1, 0)].T.copy().view(np.int64), strict=True))
-            yield _batch(2, token=token[hot].view(np.int64), doc=doc[hot], line=line[hot], n=n[hot], at=at[hot], **bits)
+            own = np.maximum(order - rare + 1, 0)
+            near, later, more = nearest(*many, n, at, parity, own, NEAREST, WINDOW)
+            x.append(near)
+            y.append(later)
+            of = np.zeros(len(token), np.int64)
+            of[more] = 1
+            hot = np.concatenate([np.arange(a, a + k) if of[a : a + k].any() else np.zeros(0, np.int64) for a, k in zip(*many, strict=True)])
+            bits = dict(zip(BITS, parity[own[hot]].T.copy().view(np.int64), strict=True))
+            yield _batch(2 + of[hot], token=token[hot].view(np.int64), doc=doc[hot], line=line[hot], n=n[hot], at=at[hot], **bits)
         if x:
             x, y = np.concatenate(x), np.concatenate(y)
-            least = -(-3 * (n[x] + n[y]) // 7)
-            fits = (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1 >= least)
+            fits = may_match(n, at, x, y)
             pair = np.unique(np.c_[doc[y[fits]], line[y[fits]], doc[x[fits]], line[x[fits]]], axis=0)
             yield _batch(1, doc=pair[:, 0], line=pair[:, 1], other_doc=pair[:, 2], other_line=pair[:, 3])
 
@@ -249,18 +291,23 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     found = cut(candidates(index(docs, sketch(docs), parts)))
     equal = found.where("kind = 0").select("doc", "line")
+    copies = equal.distinct()
     pairs = found.where("kind = 1").select("doc", "line", "other_doc", "other_line").distinct()
-    pairs = cut(pairs.join(equal.distinct(), ["doc", "line"], "left_anti"))
+    pairs = cut(pairs.join(copies, ["doc", "line"], "left_anti"))
     matched = cut(verify(docs, pairs, parts).unionByName(equal).distinct())
-    many = found.where("kind = 2")
-    open_lines = many.select("token", "doc", "line", "n", "at", *BITS).join(matched, ["doc", "line"], "left_anti")
+    many = found.where("kind >= 2").join(copies, ["doc", "line"], "left_anti")  # what matches a copy matches the first one
+    open_lines = many.where("kind = 3").select("token", "doc", "line", "n", "at", *BITS).join(matched, ["doc", "line"], "left_anti")
     x = many.select("token", F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("n").alias("m"), F.col("at").alias("other_at"), *(F.col(b).alias(f"other_{b}") for b in BITS))
     earlier = F.struct("other_doc", "other_line") < F.struct("doc", "line")
     fits = (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (7 * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at")) >= 3 * (F.col("n") + F.col("m")))
     differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in BITS), F.lit(0))  # at most as many tokens as are in one set only, a seventh of both where sets match
     more = open_lines.join(x, "token").where(earlier & fits & (7 * differ <= F.col("n") + F.col("m"))).select("doc", "line", "other_doc", "other_line").distinct()
     more = cut(more.join(pairs, ["doc", "line", "other_doc", "other_line"], "left_anti"))
-    return cut(matched.unionByName(verify(docs, more, parts)).distinct()) if more.limit(1).count() else matched
+    if not (n := more.count()):
+        return matched
+    if n <= LOOKED_UP:
+        docs = docs.join(F.broadcast(more.select(F.explode(F.array("doc", "other_doc")).alias("doc_id")).distinct()), "doc_id", "left_semi")
+    return cut(matched.unionByName(verify(docs, more, parts)).distinct())
 
 
 def without_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:

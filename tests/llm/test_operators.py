@@ -180,6 +180,74 @@ def test_line_dedup_of_a_passage_with_many_edits(spark, monkeypatch):
     assert sum(tried) < 3 * sum(alike(sets[i], sets[j]) for i in range(240) for j in range(i))
 
 
+def removed_by_brute_force(texts):
+    """Of lines by id: whether an earlier one is alike."""
+    sets = {i: shingles(t) for i, t in texts}
+    return {i: int(any(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in sets if j < i)) for i in sets}
+
+
+def edited_passage(r, lines):
+    """(id, passage with one word of its own): lines match where their words are at most three places apart, a ninth of all pairs; and copies of some."""
+    passage = [r.choice(VOCABULARY) + str(i) for i in range(64)]
+    texts = []
+    for i in range(lines):
+        words, at = list(passage), r.randrange(2, 62)
+        words[at] = f"own{i}"
+        texts.append((i, " ".join(words)))
+    return texts + [(lines + i, t) for i, t in texts[:: 3] * 3]
+
+
+def test_line_dedup_of_many_lines_that_match_many(spark, monkeypatch):
+    """What goes to verification grows with the lines of a group of near copies, not with its pairs that match."""
+    texts = [(k, t) for k, (_, t) in enumerate(edited_passage(random.Random(43), 300))]
+    tried = []
+    verify = line_dedup.verify
+    monkeypatch.setattr(line_dedup, "verify", lambda docs, pairs, parts: (tried.append(pairs.count()), verify(docs, pairs, parts))[1])
+    got = line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    assert {x["doc_id"]: x["n_removed"] for x in got.collect()} == removed_by_brute_force(texts)
+    assert 0 < sum(tried) <= 3 * 300
+
+
+@pytest.mark.parametrize("looked_up", [0, 10**6])
+def test_line_dedup_of_lines_that_the_nearest_leave_open(spark, monkeypatch, looked_up):
+    """With one earlier line of three to try at first, the others are still tried: the result is the same."""
+    texts = [(k, t) for k, (_, t) in enumerate(edited_passage(random.Random(47), 120))]
+    tried = []
+    verify = line_dedup.verify
+    monkeypatch.setattr(line_dedup, "verify", lambda docs, pairs, parts: (tried.append(pairs.count()), verify(docs, pairs, parts))[1])
+    for name, value in (("NEAREST", 1), ("WINDOW", 3), ("LOOKED_UP", looked_up)):
+        monkeypatch.setattr(line_dedup, name, value)
+    got = line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    assert {x["doc_id"]: x["n_removed"] for x in got.collect()} == removed_by_brute_force(texts)
+    assert len(tried) == 2 and tried[1] > 0
+
+
+@pytest.mark.parametrize("keep, window", [(1, 3), (2, 5), (2, 1000)])
+def test_nearest_postings(keep, window):
+    r = np.random.default_rng(5)
+    first, length = np.array([2, 20, 60]), np.array([9, 40, 30])
+    n, at, bits = r.integers(20, 30, 90), r.integers(0, 4, 90), r.integers(0, 12, 90)
+    parity = np.zeros((12, 4), np.uint64)
+    parity[:, :2] = r.integers(0, 8, (12, 2))
+    x, y, left = line_dedup.nearest(first, length, n, at, parity, bits, keep, window)
+    want, open_ones = set(), set()
+    for a, k in zip(first.tolist(), length.tolist()):
+        for j in range(a, a + k):
+            found = []
+            for i in range(max(a, j - window), j):
+                least = -(-3 * (n[i] + n[j]) // 7)
+                differ = sum(int(p ^ q).bit_count() for p, q in zip(parity[bits[i]].tolist(), parity[bits[j]].tolist()))
+                if 4 * min(n[i], n[j]) >= 3 * max(n[i], n[j]) and min(n[i] - at[i], n[j] - at[j]) >= least and 7 * differ <= n[i] + n[j]:
+                    found.append((differ, i))
+            found.sort()
+            taken = found[: 1 if found and found[0][0] == 0 else keep]
+            want |= {(i, j) for _, i in taken}
+            if len(taken) < len(found) or j - a > window:
+                open_ones.add(j)
+    assert len(x) == len(want) and set(zip(x.tolist(), y.tolist())) == want
+    assert left.tolist() == sorted(open_ones)
+
+
 def test_line_dedup_of_repeated_and_null_ids(spark):
     a, b, c, d = ("\n".join(f"{x} line {i} of so many words {x}{i}" for i in range(3)) for x in "abcd")
     rows = [(1, a), (7, f"{a}\n{b}"), (7, f"{c}\n{d}"), (8, f"{d}\n{d}"), (None, a), (None, a), (9, None), (9, ""), (10, c), (10, c)]
