@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pathlib import Path
 
-from ..functions.trigrams import MOST_TRIGRAMS, keyword_trigrams, label_pair, label_pairs, trigram_number, trigrams
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from ..functions.trigrams import MOST_TRIGRAMS, items, keyword_trigrams, label_pair
 from ..plans.request import QueryRequest
 
+ITEMS = [T.StructField("kind", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("numbers", T.ArrayType(T.IntegerType()))]
+
 
 def overlapping(catalog: DataFrame, start: int = 0, end: int = 0) -> DataFrame:
     """Segments whose bounds meet the inclusive window; 0 leaves a side open."""
@@ -39,17 +43,16 @@ def prune(catalog: DataFrame, request: QueryRequest) -> DataFrame:
 def describe(logs: DataFrame, by: str = "id") -> DataFrame:
     """A row for each value of column ``by``: bounds, row_count, label_keys, label_pairs, trigrams, by grouped aggregation.
 
-    Keys, pairs and trigrams are taken from the rows in one reading, as (kind, text), and made distinct before they are collected, so what is
+    Keys, pairs and trigrams are taken from the rows in one reading, by arrays of bytes, and made distinct in each task and again before they are collected, so what is
     collected for a segment is bounded by its variety and not by its rows: at most 2^24 trigrams, of which more than MOST_TRIGRAMS are left out.
     """
     zero = lambda c: F.coalesce(c, F.lit(0))
     bounds = logs.groupBy(by).agg(zero(F.min("timestamp")).alias("min_timestamp"), zero(F.max("timestamp")).alias("max_timestamp"), F.count("*").alias("row_count"))
-    item = lambda kind: lambda text: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    logs.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # workers find this library where the driver does
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
-    items = F.concat(
-        F.transform(F.map_keys(labels), item(0)), F.transform(label_pairs(labels), item(1)), F.transform(trigrams(F.coalesce("line", F.lit(""))), item(2))
-    )
-    seen = logs.select(by, F.explode(items).alias("item")).select(by, "item.*").distinct().withColumn("number", F.when(F.col("kind") == 2, trigram_number(F.col("text"))))
+    said_of = T.StructType([T.StructField(by, logs.schema[by].dataType), *ITEMS])
+    seen = logs.select(by, labels.alias("labels"), F.coalesce("line", F.lit("")).cast("binary").alias("line")).mapInArrow(items, said_of)
+    seen = seen.select(by, "kind", "text", F.explode_outer("numbers").alias("number")).distinct()
     part = F.when(F.col("kind") == 2, F.shiftright("number", 12)).otherwise(-1)  # 4096 trigrams at most are collected as single values
     seen = seen.groupBy(by, "kind", part.alias("part")).agg(F.count("*").alias("n"), F.collect_list("text").alias("texts"), F.collect_list("number").alias("numbers"))
     texts = lambda kind: F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("texts")))))

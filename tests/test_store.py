@@ -2,13 +2,14 @@ import io
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparklode import cli
 from sparklode.client import payload, sample_rows
 from sparklode.operators import compaction, search, tiering
-from sparklode.operators.pruning import prune
+from sparklode.operators.pruning import describe, prune
 from sparklode.operators.store import Store, flatten, flush_name, parse_bounds, segment_name
 from sparklode.plans.request import Matcher, QueryRequest
 from sparklode.sources.push import PushError, decode, decode_msgpack, decoded, invalid
@@ -254,6 +255,40 @@ def test_pruning_is_sound_and_waves_agree(store):
     assert search.sources(store.catalog, one) == []
 
 
+def test_description_against_brute_force(spark):
+    """Short, empty, null, long and non-ASCII lines, null labels and values, interleaved ids: the same as row by row; and no line is exploded into its trigrams."""
+    r = random.Random(3)
+    lines = [None, "", "a", "AB", "aBc", "é", "日本", "x" * 70_000, *("".join(r.choice("abCDé日 \0") for _ in range(r.randrange(60))) for _ in range(300))]
+    labels = [None, {}, {"a": "b"}, {"a": None}, {"é": "", "Z": "\0"}, {"a": "c", "b": "b"}]
+    rows = [(i % 7 if i % 11 else None, i, line, labels[i % 6]) for i, line in enumerate(lines * 2)]
+    logs = spark.createDataFrame(rows, "id long, timestamp long, line string, labels map<string,string>").coalesce(2)
+    want = {}
+    for of, _, line, pairs in rows:
+        keys, both, grams = want.setdefault(of, (set(), set(), set()))
+        data = "".join(c.lower() if "A" <= c <= "Z" else c for c in line or "").encode()
+        grams.update(int.from_bytes(data[i : i + 3], "big") for i in range(len(data) - 2))
+        keys.update(pairs or {})
+        both.update(f"{k}\0{v}" for k, v in (pairs or {}).items() if v is not None)
+    want.pop(None)
+    for batch in ("10000", "5"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {x["id"]: (x["label_keys"], x["label_pairs"], x["trigrams"]) for x in describe(logs).where("id is not null").collect()}
+        assert got == {k: tuple(map(sorted, v)) for k, v in want.items()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = describe(logs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert max(i for i, x in enumerate(plan) if "Generate" in x) < min(i for i, x in enumerate(plan) if "MapInArrow" in x)
+
+
+def test_trigrams_cross_chunks(monkeypatch):
+    from sparklode.functions import trigrams as module
+
+    data, offsets = np.frombuffer(b"abcdefgXYZ" * 9, np.uint8), np.array([3, 3, 4, 11, 13, 16, 90])
+    want = sorted(int.from_bytes(bytes(data[i : i + 3]).lower(), "big") for a, b in zip(offsets[:-1], offsets[1:], strict=True) for i in range(a, b - 2))
+    for chunk in range(1, 12):
+        monkeypatch.setattr(module, "CHUNK", chunk)
+        assert sorted(np.concatenate(list(module.trigrams(data, offsets))).tolist()) == want
+
+
 def test_streaming_ingest_and_tail(spark, store, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
