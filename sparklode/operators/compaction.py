@@ -13,7 +13,7 @@ from .search import scan
 from .store import LEVELS, Store, catalog_rows, segment_name
 
 MIN_FILES, MAX_FILES = 8, 128
-ROWS_PER_FILE = 20_000_000
+ROWS_PER_FILE, BYTES_PER_FILE = 1_000_000, 64 << 20  # of a segment; a task sorts the rows of one file, and BYTES_PER_FILE are of flush files
 
 
 def limits(min_files: int = MIN_FILES, max_files: int = MAX_FILES) -> tuple[int, int]:
@@ -25,7 +25,8 @@ def limits(min_files: int = MIN_FILES, max_files: int = MAX_FILES) -> tuple[int,
 def compact(store: Store, min_files: int = MIN_FILES, max_files: int = MAX_FILES, now: int | None = None, below: int | None = None) -> str | None:
     """Merge the oldest flush files into a segment; its id, or None if there are too few. With ``below`` only batches of smaller numbers are merged.
 
-    Rows are dealt by ranges of time and sorted within, so a segment's files and row groups have narrow bounds. Readers go by the
+    Rows are dealt by ranges of time (and of row_id where times are equal), one for each ROWS_PER_FILE rows or BYTES_PER_FILE bytes, and sorted within, so what
+    a task sorts doesn't grow with the input, and a segment's files and row groups have narrow bounds. Readers go by the
     catalog, which swaps the sources for the segment at once: rows are never seen twice, and never missing, as the sources' files stay for the
     store's grace time for searches that were planned before. The swap takes place only if the segment has as many rows as its
     sources and no other compaction has taken one of them meanwhile; else this one's segment is dropped and the result is None.
@@ -41,8 +42,9 @@ def compact(store: Store, min_files: int = MIN_FILES, max_files: int = MAX_FILES
     rows = sum(r["row_count"] or 0 for r in found)
     beside = f"{store.root}/segments/.partial-{now}-{uuid.uuid4().hex[:8]}"
     logs = scan(store.spark, [r["local_path"] for r in found])
-    files = max(1, -(-rows // ROWS_PER_FILE))
-    written, first, last = store.write(logs.repartitionByRange(files, "timestamp").sortWithinPartitions("timestamp", "row_id"), beside, LEVELS["best"])
+    size = sum(store.files.size(r["local_path"]) for r in found)
+    files = max(1, -(-rows // ROWS_PER_FILE), -(-size // BYTES_PER_FILE))
+    written, first, last = store.write(logs.repartitionByRange(files, "timestamp", "row_id").sortWithinPartitions("timestamp", "row_id"), beside, LEVELS["best"])
     if written != rows:
         raise OSError(f"{written} of {rows} rows were read from the flush files")
     name = segment_name(first, last, now)

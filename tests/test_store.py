@@ -90,6 +90,21 @@ def test_compaction_conserves_rows_and_swaps_at_once(store):
     assert store.catalog.stats().first().asDict() == {"segments_total": 1, "segments_local": 1, "segments_remote": 0, "rows_total": len(rows), "min_timestamp": rows[0][0], "max_timestamp": rows[-1][0]}
 
 
+def test_compaction_deals_rows_of_one_time_to_tasks_of_bounded_size(store, monkeypatch):
+    """By rows and by bytes, also where all timestamps are equal."""
+    rows = [(7, f"line {i}", {"a": "b"}) for i in range(400)]
+    for limit in ({"ROWS_PER_FILE": 50}, {"BYTES_PER_FILE": 500}):
+        with monkeypatch.context() as patch:
+            for name, value in limit.items():
+                patch.setattr(compaction, name, value, raising=False)
+            for i in range(2):
+                store.flush(frame(store.spark, payload(rows[i * 200 : (i + 1) * 200])), batch=i)
+            path = f"{store.root}/segments/{compaction.compact(store, 2)}"
+        sizes = [r["count"] for r in search.scan(store.spark, [path]).groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) >= 5 and max(sizes) < 150 and sum(sizes) == 400
+        store.catalog.remove(path.rpartition("/")[2])
+
+
 def test_flush_of_the_same_batch_replaces(store):
     for _ in range(2):
         store.flush(frame(store.spark, payload(sample_rows(5))), batch=3)
