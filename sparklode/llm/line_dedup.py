@@ -19,6 +19,7 @@ result; other columns are carried along, but ``dedup`` replaces those named n_li
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from ._common import NODE, ROW, cut, numbered, opened, partitions, prepare, seal
 from ._exchange import pack, packed
 from ._rarity import SKETCH, rarity
 from ._words import _ODD, U, mix, word_hashes
-from .substring_dedup import blocks
+from .substring_dedup import BLOCK, blocks
 
 SHINGLE = 5
 FEW = 8  # lines that share a token and are tried pair by pair
@@ -238,6 +239,23 @@ def candidates(indexed: DataFrame) -> DataFrame:
     return indexed.mapInArrow(batched, ROWS)
 
 
+def wanted_sets(docs: list[int], texts: list[str | None], wanted: list[list]) -> Iterator[tuple]:
+    """hub_doc, hub_line, salt, doc, line and the tokens of each wanted line that has some; only wanted lines are looked at, those of many documents at once."""
+    lines, asked, size = [], [], 0
+    for k, (doc, text, some) in enumerate(zip(docs, texts, wanted, strict=True)):
+        parts = (text or "").encode("utf-8", "replace").split(b"\n")
+        place = {n: len(lines) + i for i, n in enumerate({w["line"] for w in some if w["line"] < len(parts)})}
+        lines += [parts[n] for n in place]
+        size += sum(len(parts[n]) for n in place)
+        asked += [(place[w["line"]], w["hub_doc"], w["hub_line"], w["salt"], doc, w["line"]) for w in some if w["line"] in place]
+        if size >= BLOCK or k == len(docs) - 1:
+            of, _, line, token = line_tokens(lines)
+            cuts = np.searchsorted(line, np.arange(len(of) + 1)).tolist()
+            own = {n: token[cuts[i] : cuts[i + 1]].tobytes() for i, n in enumerate(of.tolist())}
+            yield from ((*row, own[n]) for n, *row in asked if n in own)
+            lines, asked, size = [], [], 0
+
+
 def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     """doc, line of the pairs (doc, line, other_doc, other_line) that are at least 0.75 alike; a line with many partners is salted."""
     hub = [F.col("other_doc").alias("hub_doc"), F.col("other_line").alias("hub_line")]
@@ -250,14 +268,7 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
 
     def sets(batches):
         for batch in batches:
-            rows = []
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                _, number, line, token = line_tokens([(text or "").encode("utf-8", "replace")])
-                cuts = np.searchsorted(line, np.arange(len(number) + 1))
-                place = {k: i for i, k in enumerate(number.tolist())}
-                for w in wanted:
-                    if (i := place.get(w["line"])) is not None:
-                        rows.append((w["hub_doc"], w["hub_line"], w["salt"], doc, w["line"], token[cuts[i] : cuts[i + 1]].tobytes()))
+            rows = list(wanted_sets(*(batch.column(i).to_pylist() for i in range(3))))
             for start in range(0, len(rows), 1024):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[start : start + 1024]], t) for i, t in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
 

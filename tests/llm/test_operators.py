@@ -248,6 +248,25 @@ def test_nearest_postings(keep, window):
     assert left.tolist() == sorted(open_ones)
 
 
+def test_line_dedup_verifies_wanted_lines_only(monkeypatch):
+    """Tokens are worked out once for the wanted lines of many documents, not for each document's whole text; the same as from whole texts."""
+    from sparklode.llm import line_dedup
+
+    r = random.Random(4)
+    texts = [None, "", "\n\n", *("\n".join(" ".join(r.choice("abcdé") for _ in range(r.randrange(12))) for _ in range(r.randrange(1, 9))) for _ in range(60))]
+    wanted = [[{"line": r.randrange(10), "hub_doc": r.randrange(9), "hub_line": 1, "salt": 2} for _ in range(3)] for _ in texts]
+    want = []
+    for doc, (text, some) in enumerate(zip(texts, wanted, strict=True)):
+        _, number, line, token = line_dedup.line_tokens([(text or "").encode()])
+        sets = {n: token[line == i].tobytes() for i, n in enumerate(number.tolist())}
+        want += [(w["hub_doc"], 1, 2, doc, w["line"], sets[w["line"]]) for w in some if w["line"] in sets]
+    tokens, calls = line_dedup.line_tokens, []
+    monkeypatch.setattr(line_dedup, "line_tokens", lambda lines: calls.append(len(lines)) or tokens(lines))
+    assert list(line_dedup.wanted_sets(list(range(len(texts))), texts, wanted)) == want and len(calls) == 1
+    monkeypatch.setattr(line_dedup, "BLOCK", 50)
+    assert list(line_dedup.wanted_sets(list(range(len(texts))), texts, wanted)) == want and len(calls) > 5
+
+
 def test_line_dedup_of_repeated_and_null_ids(spark):
     a, b, c, d = ("\n".join(f"{x} line {i} of so many words {x}{i}" for i in range(3)) for x in "abcd")
     rows = [(1, a), (7, f"{a}\n{b}"), (7, f"{c}\n{d}"), (8, f"{d}\n{d}"), (None, a), (None, a), (9, None), (9, ""), (10, c), (10, c)]
