@@ -4,7 +4,7 @@ A string of ``size`` bytes that occurs in two documents has the same minimiser i
 the minimisers of all texts are exchanged by 32 bits of their hash beside those that choose the partition, with 64 bits of a hash of the text around each
 and the minimiser itself, so far as strings with that minimiser reach. What has the same surroundings as a document with a smaller id is a repeat through and through. Where the surroundings differ, the
 first document of each of them is asked for the text itself. It goes to the shard of its minimiser, which builds the suffix
-array of all it gets by induced sorting, compares neighbours by permuted common prefixes, and so finds every string of ``size`` bytes that
+array of all it gets that may repeat by induced sorting, compares neighbours by permuted common prefixes, and so finds every string of ``size`` bytes that
 another surrounding from a document with a smaller id also has. Documents then meet the runs found for them and are cut.
 
 Texts are shuffled packed with the runs of their partition, twice; minimisers travel packed. A shard gets each surrounding
@@ -35,6 +35,7 @@ SHARD = 6 << 20  # bytes of surroundings in one suffix array, but for a single m
 SIDE = (SIZE - GRAM) // 2  # a string of SIZE bytes with a minimiser has so many bytes before it or behind it
 NONE = 0xFF  # no byte of UTF-8
 REACH = 2 * SIZE - GRAM  # bytes around a minimiser
+STEP = 9  # places of a string that are looked at together for rows that can't have one in common
 RUNS = ["i8", "u4"], ["i4", "i4"]  # of a document: id, crc32 of its text; of a run: begin, end
 
 
@@ -231,14 +232,15 @@ def repeated_runs(around: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.n
     """row, begin, end (in its bytes) of the runs of strings of SIZE bytes that a row with a smaller document has too; ``around`` has a text a row."""
     text = np.ascontiguousarray(np.c_[around, np.full(len(around), NONE, np.uint8)]).ravel()
     order = suffix_array(text, SIZE)
-    shared = common_prefixes(text, order, SIZE)
-    row, column = order // (REACH + 1), order % (REACH + 1)
     lack = around == NONE
     left, right = lack[:, : SIZE - GRAM].sum(axis=1), lack[:, SIZE - GRAM :].sum(axis=1)
-    fits = (column >= left[row]) & (column + SIZE <= REACH - right[row])
-    order, row, column = order[fits], row[fits], column[fits]
+    place = np.arange(REACH + 1)
+    fits = (place >= left[:, None]) & (place + SIZE <= REACH - right[:, None])
+    order = order[fits.ravel()[order]]
     if not len(order):
         return (np.zeros(0, np.int64),) * 3
+    shared = common_prefixes(text, order, SIZE)  # of strings that fit, each with the one before
+    row, column = order // (REACH + 1), order % (REACH + 1)
     begins = np.flatnonzero(np.r_[True, shared[order[1:]] < SIZE])
     least = np.minimum.reduceat(doc[row], begins)
     again = doc[row] > np.repeat(least, np.diff(np.r_[begins, len(row)]))
@@ -250,6 +252,26 @@ def repeated_runs(around: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.n
     return of, begin, end - 1 + SIZE
 
 
+def may_repeat(around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Rows that may have a string of SIZE bytes, with their minimiser in it, that another document's row has too.
+
+    Such a string begins at one of the first SIZE - GRAM + 1 bytes, of which each STEP have all but STEP - 1 of their strings' bytes in common:
+    a row whose bytes there are no other document's, by a hash, for none of these steps, takes no part. Equal bytes have equal hashes.
+    """
+    kept = np.zeros(len(around), bool)
+    for first in range(0, SIZE - GRAM + 1, STEP):
+        begin, end = min(first + STEP - 1, SIZE - GRAM), first + SIZE
+        key = np.zeros(len(around), np.uint64)
+        for at in (*range(begin, end - 8, 8), end - 8):
+            key = mix(key + np.ascontiguousarray(around[:, at : at + 8]).view(np.uint64).ravel())
+        order = np.argsort(key)
+        begins = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]][: len(key)])
+        if len(begins):
+            others = np.minimum.reduceat(doc[order], begins) < np.maximum.reduceat(doc[order], begins)
+            kept[order[np.repeat(others, np.diff(np.r_[begins, len(key)]))]] = True
+    return np.flatnonzero(kept)
+
+
 def _chunks(order: np.ndarray, fresh: np.ndarray, most: int):
     """Slices of ``order`` that end where a group begins (``fresh``), of at most ``most`` rows, but for a single group's."""
     start = 0
@@ -285,10 +307,12 @@ def shard_runs(sent: DataFrame, parts: int) -> DataFrame:
         (ids, crcs), owner, (at, text) = packed(blobs, ["i8", "u4"], ["i4", f"V{REACH}"])
         del blobs
         around = text.view(np.uint8).reshape(-1, REACH)
+        some = may_repeat(around, ids[owner])
+        owner, at, around = owner[some], at[some], around[some]
         words = np.ascontiguousarray(around[:, SIZE - GRAM : SIZE]).view(np.uint64)
         gram = mix(words[:, 0] + mix(words[:, 1]))
         order = np.argsort(gram, kind="stable")
-        fresh = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]])
+        fresh = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]][: len(gram)])
         for part in _shards(around, order, fresh):
             of, begin, stop = repeated_runs(around[part], ids[owner[part]])
             of = part[of]

@@ -330,6 +330,50 @@ def test_substring_dedup_splits_hot_minimisers(monkeypatch):
     assert (covered(parts) == whole).all()
 
 
+def test_substring_dedup_sorts_only_what_may_repeat(monkeypatch):
+    """Surroundings that differ from all others' close to the minimiser don't go into suffix arrays, and no string that two documents have is lost by that."""
+    r = np.random.default_rng(5)
+    n, size, reach = 300, substring_dedup.SIZE, substring_dedup.REACH
+    around = r.integers(97, 123, (n, reach)).astype(np.uint8)
+    around[:, 34:50] = 65
+    for k in range(120, n):  # of 48 to 52 bytes in common with an earlier one, at any place about the minimiser
+        a, length = r.integers(0, 35), r.integers(48, 53)
+        around[k, a : a + length] = around[r.integers(0, 60), a : a + length]
+    doc = np.arange(n) // 2
+    some = substring_dedup.may_repeat(around, doc)
+
+    def strings(rows):
+        return {(k, c): around[k, c : c + size].tobytes() for k in rows for c in range(reach - size + 1)}
+
+    owners: dict = {}
+    for (k, c), string in strings(range(n)).items():
+        owners.setdefault((c, string), set()).add(int(doc[k]))
+    wanted = {k for (k, c), string in strings(range(n)).items() if len(owners[c, string]) > 1}
+    assert wanted and wanted <= set(some.tolist()) and not set(some.tolist()) & set(range(60, 120))  # nobody has anything of those
+    one = substring_dedup.may_repeat(around[:1], doc[:1]), substring_dedup.may_repeat(around[:0], doc[:0])
+    assert [len(x) for x in one] == [0, 0]
+
+    sorted_bytes, asked = [], substring_dedup.suffix_array
+    monkeypatch.setattr(substring_dedup, "suffix_array", lambda data, depth: sorted_bytes.append(len(data)) or asked(data, depth))
+
+    class Frame:
+        def mapInArrow(self, f, schema):  # noqa: N802
+            ids, crcs = doc.astype(np.int64), np.zeros(n, np.uint32)
+            return list(f(list(substring_dedup.pack(1, np.zeros(n, np.uint64), np.arange(n), [ids, crcs], [np.full(n, 34, np.int32), around.view(f"V{reach}").ravel()]))))
+
+    got = np.zeros((n // 2 + 1, reach), bool)
+    for batch in substring_dedup.shard_runs(Frame(), 1):
+        for blob in batch.column("blob").to_pylist():
+            (ids, _), owner, (begin, end) = substring_dedup.packed([blob], *substring_dedup.RUNS)
+            for k, a, b in zip(ids[owner].tolist(), begin.tolist(), end.tolist()):
+                got[k, a:b] = True
+    want = np.zeros_like(got)
+    for (k, c), string in strings(range(n)).items():
+        if min(owners[c, string]) < doc[k]:
+            want[doc[k], c : c + size] = True
+    assert (got == want).all() and sum(sorted_bytes) == len(some) * (reach + 1) < n * (reach + 1)
+
+
 @pytest.mark.parametrize("trial", range(20))
 def test_suffix_array(trial):
     r = np.random.default_rng(trial)
