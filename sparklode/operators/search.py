@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -71,22 +71,30 @@ def rows_and_errors(catalog: Catalog, request: QueryRequest) -> tuple[list, list
 
 
 def query_waves(catalog: Catalog, request: QueryRequest, wave_rows: int = 50_000_000) -> DataFrame:
-    """As ``query``, but the newest segments first, and no more once all others are older than the last row that is needed."""
+    """As ``query``, but the newest segments first, and no more once all others are older than the last row that is needed.
+
+    A wave reads its own segments only, and of them the times of the newest matching rows. The rows themselves are read once, in the end, from
+    where the last row that is needed lies, so no segment is read more than twice however many waves there are.
+    """
     spark, limit = catalog.spark, request.effective_limit
-    rest, taken = sources(catalog, request), []
-    while True:
-        size = 0
+    condition(spark, request)
+    rest, taken, times = sources(catalog, request), [], []
+    while rest:
+        wave, size = [], 0
         while rest and (not size or size + (rest[0][0]["row_count"] or 0) <= wave_rows):
             row, path = rest.pop(0)
             size += max(1, row["row_count"] or 0)
-            taken.append(path)
-        found = query_paths(spark, taken, request)
+            wave.append(path)
+        taken += wave
         if not rest:
-            return found
-        kept = found.select("timestamp").collect()  # limit rows at most
-        if len(kept) == limit and min(r["timestamp"] for r in kept) > max(r["max_timestamp"] for r, _ in rest):
-            return found
+            break
+        found = select(scan(spark, wave), request).select("timestamp").orderBy(F.desc("timestamp")).limit(limit)
+        times = sorted([*times, *(r["timestamp"] for r in found.collect())], reverse=True)[:limit]  # limit of each wave at most
+        if len(times) == limit:
+            request = replace(request, start=times[-1] or request.start)  # so many rows are as new as that
+            rest = [(row, path) for row, path in rest if row["max_timestamp"] >= times[-1]]
         wave_rows *= 4
+    return query_paths(spark, taken, request)
 
 
 @dataclass

@@ -270,6 +270,34 @@ def test_pruning_is_sound_and_waves_agree(store):
     assert search.sources(store.catalog, one) == []
 
 
+def test_waves_read_no_source_again_and_again(store, monkeypatch):
+    """Flush files whose times interleave, so that every wave has rows that are needed."""
+    rows = list(sample_rows(400))
+    for i in range(8):
+        store.flush(frame(store.spark, payload(rows[i::8])), batch=i)
+    request = QueryRequest(limit=40)
+    want = search.query(store.catalog, request).collect()
+    read, scan = [], search.scan
+    monkeypatch.setattr(search, "scan", lambda spark, paths: read.extend(paths) or scan(spark, paths))
+    assert search.query_waves(store.catalog, request, wave_rows=1).collect() == want
+    assert len(set(read)) == 8 and len(read) <= 16
+    read.clear()
+    last = QueryRequest(limit=3)  # the newest row is in one file, and the last row that is needed in another
+    assert search.query_waves(store.catalog, last, wave_rows=1).collect() == want[:3]
+    assert len(set(read)) < 8
+
+
+@pytest.mark.parametrize("times", [(-9, -7, -5, -3, -1, 0), (-3, 0, 0, 0, 2, 2), (4, 4, 4, 4, 4, 4)])
+def test_waves_with_times_about_zero_and_equal_ones(store, times):
+    for i in range(3):
+        for j in (0, 3):
+            store.flush(frame(store.spark, {"streams": [{"stream": {"a": "b"}, "values": [[str(times[i + j]), f"{i} {j}"]]}]}), batch=i + j)
+    for limit in range(1, 7):
+        for start in (0, -7, -3):
+            request = QueryRequest(start=start, limit=limit)
+            assert search.query_waves(store.catalog, request, wave_rows=1).collect() == search.query(store.catalog, request).collect()
+
+
 def test_description_against_brute_force(spark):
     """Short, empty, null, long and non-ASCII lines, null labels and values, interleaved ids: the same as row by row; and no line is exploded into its trigrams."""
     r = random.Random(3)
