@@ -42,8 +42,8 @@ def valid_payloads(payloads: DataFrame) -> DataFrame:
     return payloads.where(rejection(F.col("streams")).isNull())
 
 
-def flatten(payloads: DataFrame) -> DataFrame:
-    """Rows of payloads; values without a readable timestamp are left out, a missing line is empty.
+def flatten(payloads: DataFrame, unread: Observation | None = None) -> DataFrame:
+    """Rows of payloads; values without a readable timestamp are left out, a missing line is empty. ``unread`` gets n, the number of values left out.
 
     row_id orders rows of equal timestamp: a digest of the payload, then the positions of stream and value, the
     same however often a task runs.
@@ -57,6 +57,7 @@ def flatten(payloads: DataFrame) -> DataFrame:
         parse_timestamp(F.get("value", F.lit(0))).alias("timestamp"), F.coalesce(F.get("value", F.lit(1)), F.lit("")).alias("line"), "labels",
         F.concat_ws("-", "digest", number("i"), number("j")).alias("row_id"),
     )
+    rows = rows.observe(unread, F.count_if(F.col("timestamp").isNull()).alias("n")) if unread else rows
     return rows.where("timestamp is not null").select(*LOG_SCHEMA.fieldNames())
 
 
@@ -87,7 +88,8 @@ class Store:
     def flush(self, payloads: DataFrame, batch: int | None = None, index: int = 0) -> str:
         """Write a batch of payloads as one flush file and catalog it; the same batch number replaces what it wrote before.
 
-        The rows are written once; their bounds come with that, keys and filters from one reading of the file. Every attempt has a
+        The payloads are worked out once; the rows' bounds come with that, keys and filters from one reading of the file. Only if values without a readable
+        timestamp were left out, whose streams may have keys that no row has, the payloads are worked out again. Every attempt has a
         path of its own, so what an earlier attempt wrote stays readable until it is out of use.
         """
         batch = time.time_ns() if batch is None else batch
@@ -95,15 +97,17 @@ class Store:
         again = self.catalog.read().where(F.col("id").startswith(prefix) & F.col("id").endswith(f"-{batch:0{WIDTH}d}")).select("id", "local_path").collect()
         payloads = valid_payloads(payloads)
         attempt = uuid.uuid4().hex[:8]
-        n, low, high = self.write(flatten(payloads), beside := f"{self.root}/flush/.partial-{index}-{batch}-{attempt}", self.level)
-        # Keys of accepted streams are kept even if none of their values has a readable timestamp.
-        keys = payloads.select(F.explode("streams").alias("s")).select(F.explode(F.map_keys("s.stream")).alias("key")).distinct()
-        keys = sorted(r["key"] for r in keys.collect())  # bounded by the variety of keys
+        unread = Observation()
+        n, low, high = self.write(flatten(payloads, unread), beside := f"{self.root}/flush/.partial-{index}-{batch}-{attempt}", self.level)
+        keys = F.coalesce("label_keys", F.array().cast("array<string>"))
+        if unread.get["n"]:  # keys of accepted streams, which all have values, are kept even if none of these has a readable timestamp
+            found = payloads.select(F.explode("streams").alias("s")).select(F.explode(F.map_keys("s.stream")).alias("key")).distinct()
+            keys = F.array(*(F.lit(k) for k in sorted(r["key"] for r in found.collect()))).cast("array<string>")  # bounded by the variety of keys
         name = flush_name(index, low, high, batch)
         self.move(beside, path := f"{self.root}/flush/{name}.{attempt}", n)
         described = describe(self.spark.read.schema(LOG_SCHEMA).parquet(path).withColumn("id", F.lit(name)))
         one = self.spark.createDataFrame([(name,)], "id string").join(described, "id", "left")
-        added = catalog_rows(one, "flush", F.lit(path), F.lit(0)).withColumn("label_keys", F.array(*map(F.lit, keys)).cast("array<string>"))
+        added = catalog_rows(one, "flush", F.lit(path), F.lit(0)).withColumn("label_keys", keys)
         self.catalog.change(add=added, remove=[r["id"] for r in again if r["id"] != name], trash=[r["local_path"] for r in again], ids=[name])
         return name
 

@@ -298,6 +298,19 @@ def test_waves_with_times_about_zero_and_equal_ones(store, times):
             assert search.query_waves(store.catalog, request, wave_rows=1).collect() == search.query(store.catalog, request).collect()
 
 
+def test_flush_works_payloads_out_once(store):
+    """Unless a value without a readable timestamp may have keys that no row has; a stream without values is rejected with its payload."""
+    good = {"stream": {"a": "1", "b": "2"}, "values": [["5", "x"]]}
+    for batch, (more, times, keys) in enumerate((([], 1, ["a", "b"]), ([{"stream": {"c": "1"}, "values": [["no", "y"]]}], 2, ["a", "b", "c"]), ([{"stream": {"d": "1"}, "values": []}], 1, []))):
+        seen = store.spark.sparkContext.accumulator(0)
+        rows = store.spark.sparkContext.parallelize([([good, *more],)], 1).map(lambda r, seen=seen: (seen.add(1), r)[1])
+        name = store.flush(store.spark.createDataFrame(rows, PUSH_SCHEMA), batch=batch)
+        assert seen.value == times
+        assert store.catalog.read().where(F.col("id") == name).first()["label_keys"] == keys
+    name = store.flush(store.spark.createDataFrame([([],)], PUSH_SCHEMA), batch=9)
+    assert store.catalog.read().where(F.col("id") == name).first()["label_keys"] == []
+
+
 def test_description_against_brute_force(spark):
     """Short, empty, null, long and non-ASCII lines, null labels and values, interleaved ids: the same as row by row; and no line is exploded into its trigrams."""
     r = random.Random(3)
